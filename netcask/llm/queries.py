@@ -35,9 +35,15 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard)
+    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats)
 }
 
 ORACLE_SQL: dict[str, str] = {
