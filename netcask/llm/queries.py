@@ -41,9 +41,15 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats)
+    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats, op8_decontaminate)
 }
 
 ORACLE_SQL: dict[str, str] = {
