@@ -47,9 +47,15 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .units import dedup_units
+
+    return dedup_units(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats, op8_decontaminate)
+    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats, op8_decontaminate, op10_units)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -239,7 +239,7 @@ def edges(*columns: np.ndarray) -> np.ndarray:
 
 
 def numpy_rows(batch: pa.RecordBatch) -> np.ndarray:
-    cols = {n: batch.column(n).to_numpy() for n in batch.schema.names}
+    cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
     rows = np.empty(batch.num_rows, [(n, c.dtype) for n, c in cols.items()])
     for n, c in cols.items():
         rows[n] = c
