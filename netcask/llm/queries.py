@@ -47,6 +47,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrappers import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .units import dedup_units
 
@@ -55,7 +61,7 @@ def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats, op8_decontaminate, op10_units)
+    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats, op8_decontaminate, op9_extract, op10_units)
 }
 
 ORACLE_SQL: dict[str, str] = {
