@@ -18,6 +18,7 @@ each match; empty tables give an empty result; other columns are ignored; texts
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -162,7 +164,7 @@ class Items:
         return found
 
 
-_items: dict[int, tuple[object, Items]] = {}
+_items: dict[str, Items] = {}
 
 
 def _built(block: list[tuple[object, str]], rate: float, key: str) -> Items:
@@ -185,9 +187,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, block_chars: int
         yield block
 
 
-def _key(block, rate) -> str:
-    import hashlib
-
+def _key(block: list[tuple[object, str]], rate: float) -> str:
     return hashlib.sha256(repr((rate, block)).encode()).hexdigest()
 
 
@@ -203,6 +203,7 @@ def find_leaks(
     """(id, item, distance) of every item that a text holds within its edit budget."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, distance int"
+    pa_kind = to_arrow_type(items.schema[item_col].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(items, item_col, item_text_col):
         key = _key(block, rate)
@@ -220,22 +221,24 @@ def find_leaks(
                     names=[id_col, item_col, "distance"],
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        pa_kind = to_arrow_type(items.schema[item_col].dataType)
         out = out.unionByName(docs.select(id_col, text_col).mapInArrow(run, schema))
     return out
 
 
+def leaked(block: list[tuple[object, str]], rate: float):
+    """A function of texts: whether they hold an item of the block."""
+    key = _key(block, rate)
+
+    def run(texts: pd.Series) -> pd.Series:
+        hit = np.zeros(len(texts), bool)
+        hit[[i for i, _, _ in _built(block, rate, key).search([normal(t) for t in texts])]] = True
+        return pd.Series(hit)
+
+    return F.pandas_udf(run, "boolean")
+
+
 def drop_leaked(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds an item within its edit budget."""
     for block in item_blocks(items, item_col, item_text_col):
-        key = _key(block, rate)
-
-        def leaked(texts: pd.Series, block=block, key=key) -> pd.Series:
-            hit = np.zeros(len(texts), bool)
-            hit[[i for i, _, _ in _built(block, rate, key).search([normal(t) for t in texts])]] = True
-            return pd.Series(hit)
-
-        docs = docs.where(~F.pandas_udf(leaked, "boolean")(F.col(text_col)))
+        docs = docs.where(~leaked(block, rate)(F.col(text_col)))
     return docs

@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_components
 
@@ -29,6 +35,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bm25 import search
+
+    return search(_table(spark, sf_dir, "documents"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import shard_documents
 
@@ -61,7 +73,7 @@ def op10_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash, op3_pack, op4_url_filter, op6_shard, op7_repeats, op8_decontaminate, op9_extract, op10_units)
+    for f in (op1_quality, op2_simhash, op3_pack, op4_url_filter, op5_search, op6_shard, op7_repeats, op8_decontaminate, op9_extract, op10_units)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 from .components import components
 
 SHINGLE, RADIUS, SEED = 4, 3 + 1, 42
@@ -235,3 +235,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id, and of equal ids the smallest digest of the text; of equal rows one."""
+    who, t, k = (free_name(docs, x) for x in ("who", "t", "k"))
+    named = docs.withColumn(t, F.xxhash64(text_col)).withColumn(k, F.xxhash64(id_col, F.isnull(id_col)))
+    rows = materialize(fingerprints(named.withColumn(who, F.struct(F.isnull(id_col).alias("n"), F.col(id_col).alias("i"), F.col(t).alias("t"), F.col(k).alias("k"))), who, text_col, shingle), "simhash-rows")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-distinct")
+    of = materialize(components(links(distinct, radius)), "simhash-roots")
+    linked = of.join(distinct, of["node"] == distinct["fp"])
+    kept = linked.groupBy("root").agg(F.min("id").alias("id")).select("id")
+    alone = distinct.join(of.select(F.col("node").alias("fp")), "fp", "left_anti").select("id")
+    stay = materialize(kept.unionByName(alone).select(F.col("id.k").alias(k), F.col("id.t").alias(t)), "simhash-kept")
+    # equal rows are combined before the shuffle that the join then needs no other for
+    return named.dropDuplicates([k, t]).join(stay, [k, t], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
