@@ -15,6 +15,7 @@ gives an empty result; other columns are ignored; a text of any length is tokeni
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,8 +32,23 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import materialize
 
 CAPACITY, END_ID, GROUP = 4096, 1, 200_000
-#: Chunks whose ids are kept, at most; then the table starts anew.
-KEPT = 300_000
+#: Chunks, and lower-case parts of chunks, whose ids a worker keeps, at most (about 300 MB); then the table starts anew.
+KEPT, KEPT_PARTS = 800_000, 500_000
+
+
+class Chunks(dict):
+    """Ids of chunks, made when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        ids = self.encode(chunk)
+        if len(chunk) <= 64:
+            self[chunk] = ids
+        return ids
 
 
 class ChunkTokenizer:
@@ -40,47 +56,32 @@ class ChunkTokenizer:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
+        self.tokens = self.whole.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(33, 256) if not chr(i).isspace()}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed: the file's own pattern
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]+")
-        self.chunks: dict[bytes, bytes] = {}
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall  # fixed: the file's own pattern
+        self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
         self.parts: dict[str, bytes] = {}
+        self.chunks = Chunks(self._encode)
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= KEPT_PARTS:
+            self.parts.clear()
+        shown = part if part.isascii() else part.translate(self.shown)
+        ids = self.parts[part] = struct.pack(f"<{len(found := self.tokens(shown))}I", *[x.id for x in found])
+        return ids
 
     def _encode(self, chunk: bytes) -> bytes:
+        if chunk.isascii() and chunk.isalpha():  # one part, as most are
+            part = chunk.decode().lower()
+            return self.parts.get(part) or self._part(part)
         text = chunk.decode("utf-8", "replace")
-        if "<|" in text or not self.plain.fullmatch(text):  # may hold a special token, or needs the normaliser
+        if "<|" in text or not self.plain(text):  # may hold a special token, or needs the normaliser
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in self.split.findall(text.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= KEPT:
-                    self.parts.clear()
-                shown = part if part.isascii() else part.translate(self.shown)
-                ids = self.parts[part] = np.array([x.id for x in self.model.tokenize(shown)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.parts.get(part) or self._part(part) for part in self.split(text.lower())])
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        kept = self.chunks
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            pass
-        out = []
-        for w in words:
-            ids = kept.get(w)
-            if ids is None:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                ids = self._encode(w)
-                if len(w) <= 64:
-                    kept[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
