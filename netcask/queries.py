@@ -500,3 +500,100 @@ def pktgen_ranges(spark, sf_dir):
     d = generate.generate(spark, 5000, src_ip="10.0.0.1-10.0.0.10", dst_ip="192.168.1.7/26", sport="4000-4002", dport=53, pps=4000)
     seen = headers.decode(F.col("data"))
     return d.select("pkt_idx", *[seen[k].alias(k) for k in ("src_ip", "dst_ip", "sport", "dport")], read_be(F.col("data"), 46, 4).alias("seq"), "ts_ns")
+
+
+# files and buffers, there and back
+
+
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS pkt_idx, ts_ns, frame_len, least(cap_len, 200) AS n, CASE WHEN frame_len > least(cap_len, 200) THEN 4 ELSE 0 END AS flags FROM pk")
+def pcap_roundtrip(spark, sf_dir):
+    from .sources.pcap import decode_files, encode_files
+
+    d = encode_files(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), ["src"], snap=200)
+    got = decode_files(d.select(F.col("src").cast("string").alias("path"), "content"))
+    return got.select(F.col("path").cast("long").alias("src"), "pkt_idx", "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"), "flags")
+
+
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS place, ts_ns, frame_len, cap_len AS n FROM pk")
+def packed_roundtrip(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from .sources.packed import pack_stream, unpack_stream
+
+    d = unpack_stream(pack_stream(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), 16384))
+    w = Window.partitionBy("src").orderBy("buffer_no", "place")
+    return d.select("src", (F.row_number().over(w) - 1).cast("long").alias("place"), "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"))
+
+
+@query("""SELECT pkt_idx, CASE WHEN r % 10 = 0 THEN 'keyframes' WHEN r <= 20 THEN 'no_sync' ELSE '' END AS link
+          FROM (SELECT pkt_idx, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) AS r FROM pk)""")
+def arista7150_sync(spark, sf_dir):
+    """A keyframe in ten, a second apart; two of them make the clock."""
+    from pyspark.sql import Window
+
+    from .operators.ticks import stamp_ticks
+
+    r = F.row_number().over(Window.partitionBy("src").orderBy("pkt_idx"))
+    d = _pk(spark, sf_dir).select("pkt_idx", "src", r.alias("r"))
+    t = F.col("r").cast("long") * 100_000_000
+    d = d.select(
+        "pkt_idx",
+        "src",
+        t.alias("ts_ns"),
+        F.pmod(F.col("r").cast("long") * 35_000_000, F.lit(1 << 31)).alias("ticks"),
+        F.when(F.col("r") % 10 == 0, F.col("r").cast("long") * 35_000_000).alias("key_ticks"),
+        F.when(F.col("r") % 10 == 0, t).alias("key_utc_ns"),
+    )
+    return stamp_ticks(d).select("pkt_idx", "link")
+
+
+# composed pipelines
+
+
+@query("SELECT pkt_idx, least(cap_len, 96) AS n FROM pk WHERE flags & 2 = 0 AND vlan_id IS NULL AND ip_proto = 6 AND dport = 80 ORDER BY pkt_idx LIMIT 400")
+def capture_pipeline(spark, sf_dir):
+    from . import cli
+
+    d = cli.capture(_pk(spark, sf_dir, True), filter="tcp dst port 80", discard=["crc"], packet_count=400, snap=96)
+    return d.select("pkt_idx", F.length("data").cast("long").alias("n"))
+
+
+@query("SELECT pkt_idx, a + (row_number() OVER (ORDER BY pkt_idx) * 1000000000) // 2000 AS ts_ns FROM pk, (SELECT arg_min(ts_ns, pkt_idx) AS a FROM pk WHERE pkt_idx BETWEEN 50 AND 900 AND ip_proto = 17 AND vlan_id IS NULL) WHERE pkt_idx BETWEEN 50 AND 900 AND ip_proto = 17 AND vlan_id IS NULL")
+def replay_pipeline(spark, sf_dir):
+    from . import cli
+
+    return cli.replay(_pk(spark, sf_dir, True), range="50-900", filter="udp", pps="2k").select("pkt_idx", "ts_ns")
+
+
+@query("SELECT pkt_idx, least(cap_len, 40) AS n, CASE WHEN vlan_id IS NULL AND ip_proto = 6 THEN 'tcp' ELSE 'other' END AS way FROM pk WHERE vlan_id IS NULL AND ip_proto = 6 OR pkt_idx % 1 = 0 AND NOT (vlan_id IS NULL AND ip_proto = 6)")
+def graph_pipeline(spark, sf_dir):
+    from .plans.graph import Graph
+
+    g = Graph()
+    src = g.source("src", _pk(spark, sf_dir, True))
+    f = src.connect(g.node("filter:bpf=tcp", "f"))
+    f.connect(g.node("snap:snap=40", "a"))
+    f.connect("not_matched", g.node("snap:snap=40", "b"))
+    out = g.build()
+    a, b = (out[n, ""].select("pkt_idx", F.length("data").cast("long").alias("n"), F.lit(w).alias("way")) for n, w in (("a", "tcp"), ("b", "other")))
+    return a.unionByName(b)
+
+
+# beyond the packet steps: plain relational work over the same view
+
+
+@query("SELECT src, ip_proto, count(*) AS pkts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM pk GROUP BY ROLLUP (src, ip_proto)")
+def rollup_traffic(spark, sf_dir):
+    return _pk(spark, sf_dir).rollup("src", "ip_proto").agg(F.count("*").alias("pkts"), F.sum("frame_len").alias("bytes"))
+
+
+@query("SELECT src_ip, bytes FROM (SELECT src_ip, CAST(sum(frame_len) AS BIGINT) AS bytes FROM pk GROUP BY 1) ORDER BY bytes DESC, src_ip LIMIT 10")
+def top_talkers(spark, sf_dir):
+    return _pk(spark, sf_dir).groupBy("src_ip").agg(F.sum("frame_len").alias("bytes")).orderBy(F.desc("bytes"), "src_ip").limit(10)
+
+
+@query("""SELECT c_nationkey, count(*) AS pkts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM pk JOIN customer ON c_custkey = src_ip - 167772160 GROUP BY 1""")
+def traffic_by_nation(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    d = _pk(spark, sf_dir).withColumn("c_custkey", F.col("src_ip") - 167772160)
+    return d.join(c, "c_custkey").groupBy("c_nationkey").agg(F.count("*").alias("pkts"), F.sum("frame_len").alias("bytes"))
