@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 PASSAGE, THRESHOLD = 512, 0.7
 TRAIN_DOCS, TRAIN_PASSAGES = 4000, 24
 CLASSES, PAIRS, HIDDEN, GATE, EPOCHS = 64, 256, 24, 12, 40
@@ -186,7 +188,7 @@ def with_score(docs: DataFrame, model, keep: list[str], text_col: str = "text",
             scores = [model.score((t.as_py() or "").encode()) for t in b.column(n)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(scores, pa.float64())], names=[*keep, score_col])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_nc_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(free_name(docs, "text"))).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -199,5 +201,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows scored below ``threshold``."""
     model = train(docs, labels, id_col, text_col, label_col)
-    scored = with_score(docs, model, docs.columns, text_col, "_nc_score")
-    return scored.where(F.col("_nc_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name(docs, "score")
+    scored = with_score(docs, model, docs.columns, text_col, score)
+    return scored.where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

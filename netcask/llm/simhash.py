@@ -95,7 +95,7 @@ def sliced(fps: np.ndarray, word_of: np.ndarray, lane_of: np.ndarray, words: int
 
 def within(planes: np.ndarray, fps: np.ndarray, words: np.ndarray, full: np.ndarray, radius: int) -> np.ndarray:
     """For each (fingerprint, word), the lanes at most ``radius`` bits away; ``full``: the lanes that hold anything."""
-    bits = int(radius).bit_length()
+    bits = max(1, int(radius).bit_length())
     out = np.zeros(len(fps), np.uint64)
     live = np.arange(len(fps))
     count = [np.zeros(len(fps), np.uint64) for _ in range(bits)]

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, written_path
+from .common import free_name, materialize, shuffle_partitions, written_path
 
 SPAN, GRAM, BLOCK = 200, 40, 54
 #: Contexts of one core that meet in a task, at most.
@@ -498,8 +498,8 @@ def drop_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def cut(text, starts, ends):
         return pd.Series([t if t is None or a is None else cut_text(t.encode(), a, b) for t, a, b in zip(text, starts, ends, strict=True)], dtype=object)
 
-    tid = F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256))
-    keyed = docs.withColumn("_nc_tid", tid)
-    joined = keyed.join(found.select(F.col("tid").alias("_nc_tid"), F.col("starts").alias("_nc_starts"), F.col("ends").alias("_nc_ends")), "_nc_tid", "left")
-    new = F.when(F.col("_nc_starts").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("_nc_starts"), F.col("_nc_ends")))
+    key, a, z = (free_name(docs, x) for x in ("tid", "starts", "ends"))
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)))
+    joined = keyed.join(found.select(F.col("tid").alias(key), F.col("starts").alias(a), F.col("ends").alias(z)), key, "left")
+    new = F.when(F.col(a).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(a), F.col(z)))
     return joined.select(*[(new.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
