@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K, EVERY, K1, B = 10, 20, 1.2, 0.75
-BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 16 << 20, 500, 24
+BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 32 << 20, 500, 24
 
 
 def terms(text: str | None) -> Counter:
@@ -54,23 +54,27 @@ def load(blob: bytes) -> dict[str, np.ndarray]:
 
 def build(ids: list[int | None], texts: list[str | None]) -> dict[str, np.ndarray]:
     """Postings of a shard, sorted by (term, document)."""
-    bags = [terms(t) for t in texts]
-    lead = [max(b, key=lambda w: (b[w], w)) if b else "" for b in bags]
-    order = sorted(range(len(ids)), key=lambda i: (lead[i], i))
-    term = [digests(bags[i]) for i in order]
-    doc = np.repeat(np.arange(len(order)), [len(t) for t in term])
-    tf = np.fromiter((n for i in order for n in bags[i].values()), np.int32)
-    term = np.concatenate(term) if term else np.empty(0, np.uint64)
+    made = []
+    for t in texts:  # words are dropped as soon as they are digested
+        bag = terms(t)
+        made.append((max(bag, key=lambda w: (bag[w], w)) if bag else "", digests(bag), np.fromiter(bag.values(), np.int32, len(bag))))
+    order = sorted(range(len(ids)), key=lambda i: (made[i][0], i))
+    size = [len(made[i][1]) for i in order]
+    doc = np.repeat(np.arange(len(order), dtype=np.int32), size)
+    term = np.concatenate([made[i][1] for i in order]) if order else np.empty(0, np.uint64)
+    tf = np.concatenate([made[i][2] for i in order]) if order else np.empty(0, np.int32)
+    length = np.array([int(made[i][2].sum()) for i in order], np.int64)
+    del made
     by = np.lexsort((doc, term))
     term, doc, tf = term[by], doc[by], tf[by]
     first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
     return {
         "ids": np.array([-1 if ids[i] is None else ids[i] for i in order], np.int64),
         "null": np.array([ids[i] is None for i in order], bool),
-        "length": np.array([sum(bags[i].values()) for i in order], np.int64),
+        "length": length,
         "term": term[first],
         "first": np.append(first, len(term)).astype(np.int64),
-        "doc": doc.astype(np.int32),
+        "doc": doc,
         "tf": tf,
     }
 
