@@ -121,3 +121,88 @@ def token_bucket(df: DataFrame, pps: float | None = None, bps: float | None = No
         return pdf.assign(depart_ns=out)
 
     return df.groupBy(by).applyInPandas(shape, schema)
+
+
+def parse_script(text: str) -> list[tuple[str, float]]:
+    """Pacing commands, apart by lines or ``;``: ``pps N``, ``bw N``, ``speedup N``, ``for N unit``, ``pause N unit``, ``stop``."""
+    units = {"s": NS, "ms": 1_000_000, "us": 1000, "ns": 1, "sec": NS, "m": 60 * NS}
+    out: list[tuple[str, float]] = []
+    for line in text.replace(";", "\n").splitlines():
+        words = line.split("#")[0].split()
+        if not words:
+            continue
+        name, rest = words[0], words[1:]
+        if name == "stop" and not rest:
+            out.append(("stop", 0))
+        elif name in ("pps", "bw", "speedup") and len(rest) == 1 and float(rest[0]) > 0:
+            out.append((name, float(rest[0])))
+        elif name in ("for", "pause") and len(rest) in (1, 2) and rest[-1] in units | {rest[0]: 0}:
+            out.append((name, float(rest[0]) * (units[rest[1]] if len(rest) == 2 else NS)))
+        else:
+            raise ValueError(f"unknown command {line.strip()!r}")
+    return out
+
+
+def adjust_script(df: DataFrame, script: str, by: str = "src") -> DataFrame:
+    """New times by a script of pacing commands, for each capture in order; packets after ``stop`` are left out.
+
+    A rate holds until the next ``for`` has run its time, then the commands after it follow; the last rate holds to the end. A change to a speedup
+    starts anew from the last packet. A fold, like the shaper."""
+    import pandas as pd
+
+    commands = parse_script(script)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pkt_idx")
+        todo = list(commands)
+        mode, rate, until, stopped = "speedup", 1.0, None, False
+        last_in = last_out = None
+        base_in = base_out = 0
+        last_size = 0
+        out = []
+
+        def step() -> None:
+            nonlocal mode, rate, until, stopped, last_out, base_in, base_out
+            while todo:
+                name, value = todo.pop(0)
+                if name == "for":
+                    until = last_out + value
+                    return
+                if name == "pause":
+                    last_out += value
+                    base_out += value
+                elif name == "stop":
+                    stopped = True
+                    return
+                else:
+                    mode, rate = name, value
+                    base_in, base_out = last_in, last_out
+            until = None
+
+        first = int(pdf["ts_ns"].iloc[0])
+        for stamp, size in zip(pdf["ts_ns"], pdf["cap_len"], strict=True):
+            ts = stamp - first  # doubles are exact enough from there
+            if last_out is None:
+                last_in = last_out = base_in = base_out = 0
+                step()
+            elif until is not None and last_out >= until:
+                step()
+            if stopped:
+                break
+            if mode == "speedup":
+                last_out = base_out + (ts - base_in) / rate
+            elif mode == "pps":
+                last_out += NS / rate
+            else:
+                last_out += last_size * 8 * NS / rate
+            last_in, last_size = ts, size
+            out.append(first + int(last_out))
+        return pdf.iloc[: len(out)].assign(ts_ns=out)
+
+    return df.groupBy(by).applyInPandas(run, df.schema)
+
+
+def jitter(df: DataFrame, low_ns: int, high_ns: int, seed: int = 0) -> DataFrame:
+    """Uniform extra delay from a hash of the index and the seed; packets keep their order."""
+    extra = low_ns + F.pmod(F.xxhash64("pkt_idx", F.lit(seed)), F.lit(high_ns - low_ns + 1))
+    return with_running_max(df.withColumn("ts_ns", F.col("ts_ns") + extra), F.col("ts_ns"), "_t").withColumn("ts_ns", F.col("_t")).drop("_t")

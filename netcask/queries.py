@@ -596,3 +596,24 @@ def traffic_by_nation(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
     d = _pk(spark, sf_dir).withColumn("c_custkey", F.col("src_ip") - 167772160)
     return d.join(c, "c_custkey").groupBy("c_nationkey").agg(F.count("*").alias("pkts"), F.sum("frame_len").alias("bytes"))
+
+
+@query("SELECT pkt_idx, a + (r * 1000000) AS ts_ns FROM (SELECT pkt_idx, src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) AS r, first_value(ts_ns) OVER (PARTITION BY src ORDER BY pkt_idx) AS a FROM pk) WHERE r <= 500")
+def ts_adjust_script(spark, sf_dir):
+    """A thousand packets a second for half a second, then nothing."""
+    d = timing.adjust_script(_pk(spark, sf_dir).select("pkt_idx", "src", "ts_ns", "cap_len"), "pps 1000; for 500 ms; stop")
+    return d.select("pkt_idx", "ts_ns")
+
+
+@query()
+def jitter(spark, sf_dir):
+    return timing.jitter(_pk(spark, sf_dir), 0, 1000, seed=3).select("pkt_idx", "ts_ns")
+
+
+@query("SELECT src, CAST(sum(cap_len + 16) AS BIGINT) AS bytes, count(*) AS pkts FROM pk GROUP BY src")
+def packed_repack(spark, sf_dir):
+    from .sources.packed import pack_stream, repack_stream, unpack_stream
+
+    d = repack_stream(pack_stream(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), 4096), 65536)
+    sizes = d.groupBy("src").agg(F.sum(F.length("buffer")).alias("bytes"))
+    return sizes.join(unpack_stream(d).groupBy("src").agg(F.count("*").alias("pkts")), "src").select("src", "bytes", "pkts")

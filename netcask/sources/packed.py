@@ -72,3 +72,13 @@ def unpack_stream(df: DataFrame, by: str = "src") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[by, "buffer_no", "place", "ts_ns", "flags", "frame_len", "data"])
 
     return df.select(by, "buffer_no", "buffer").mapInArrow(run, f"`{by}` {kind}, buffer_no long, place int, ts_ns long, flags int, frame_len int, data binary")
+
+
+def repack_stream(df: DataFrame, buf_size: int = 1 << 20, by: str = "src") -> DataFrame:
+    """Buffers of another size with the same packets, in order."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    d = unpack_stream(df, by)
+    order = F.row_number().over(Window.partitionBy(by).orderBy("buffer_no", "place")) - 1
+    return pack_stream(d.withColumn("pkt_idx", order.cast("long")), buf_size, by)

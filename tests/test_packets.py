@@ -286,3 +286,21 @@ def test_streaming_matches_batch(spark, sf, tmp_path):
     want = {r["period"]: r["pkts"] for r in metrics.raw_rates(pk, 3_600_000_000_000).collect()}
     got = {int(r["start"].timestamp()) // 3600: r["pkts"] for r in windows.collect()}
     assert got and all(want[p] == n for p, n in got.items())
+
+
+def test_pacing_script(spark):
+    assert timing.parse_script("pps 10; for 2 s\npause 5 ms # wait\nspeedup 2;stop") == [("pps", 10.0), ("for", 2e9), ("pause", 5e6), ("speedup", 2.0), ("stop", 0)]
+    for bad in ("fly 3", "pps", "pps -1", "for x s"):
+        with pytest.raises(ValueError):
+            timing.parse_script(bad)
+    rows = [(i, 0, i * 10_000_000, 100) for i in range(6)]
+    df = spark.createDataFrame(rows, "pkt_idx long, src long, ts_ns long, cap_len long")
+
+    def times(script):
+        return [r["ts_ns"] for r in timing.adjust_script(df, script).orderBy("pkt_idx").collect()]
+
+    assert times("speedup 2") == [i * 5_000_000 for i in range(6)]
+    assert times("pps 1000") == [(i + 1) * 1_000_000 for i in range(6)]
+    assert times("bw 800000") == [i * 1_000_000 for i in range(6)]
+    assert times("pps 1000; for 2 ms; pause 7 ms; speedup 10") == [1_000_000, 2_000_000, 10_000_000, 11_000_000, 12_000_000, 13_000_000]
+    assert times("pps 1000; for 3 ms; stop") == [1_000_000, 2_000_000, 3_000_000]
