@@ -32,8 +32,8 @@ from tokenizers import Tokenizer, pre_tokenizers
 from .common import materialize
 
 CAPACITY, END_ID, GROUP = 4096, 1, 200_000
-#: Chunks, and lower-case parts of chunks, whose ids a worker keeps, at most (about 300 MB); then the table starts anew.
-KEPT, KEPT_PARTS = 800_000, 500_000
+#: Chunks, and lower-case parts of chunks, whose ids a worker keeps, at most (about 200 MB); then the table starts anew.
+KEPT, KEPT_PARTS = 500_000, 300_000
 
 
 class Chunks(dict):
