@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K, EVERY, K1, B = 10, 20, 1.2, 0.75
-BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 32 << 20, 500, 24
+BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 32 << 20, 500, 8
 
 
 def terms(text: str | None) -> Counter:
@@ -112,8 +112,10 @@ class Shard:
         by_block = np.argsort(block, kind="stable")  # terms stay in order, so equal documents add up alike
         start = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
         best: list[tuple[float, bool, int]] = []
-        for s in range(0, self.blocks, STEP):
-            some = order[s : s + STEP]
+        s, size = 0, STEP
+        while s < self.blocks:
+            some = order[s : s + size]
+            s, size = s + size, 2 * size  # few steps, whether the bounds prune much or little
             some = some[bound[some] > 0]
             if not len(some) or (len(best) == k and bound[some[0]] * (1 + 1e-9) < -best[-1][0]):
                 break
@@ -122,8 +124,9 @@ class Shard:
             posts = spread(self.cell[c], self.cell_end[c])
             docs = self.doc[posts]
             gain = np.repeat(of[pick], self.cell_end[c] - self.cell[c]) * self.impact[posts]
-            seen, inverse = np.unique(docs, return_inverse=True)
-            score = np.round(np.bincount(inverse, gain), 6)
+            total = np.bincount(docs, gain, len(self.ids))
+            seen = np.flatnonzero(total)
+            score = np.round(total[seen], 6)
             keep = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
             best = sorted([*best, *((-float(score[i]), bool(self.null[seen[i]]), int(self.ids[seen[i]])) for i in keep)])[:k]
         return [(None if null else i, -s) for s, null, i in best]
