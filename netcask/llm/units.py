@@ -1,9 +1,9 @@
 """Line hashing: repeated lines and sentences of lines go, but for the earliest occurrence.
 
-A text is cut at line breaks, and lines after sentence ends, so that a passage set into a longer line is seen too. Each unit of at
-least ``MIN_UNIT`` words is normalised (lower case, white space as one space) and digested; shorter ones have no say. Of equal
-digests the earliest by (id, digest of the text, place) stays. Of the others those go that
-stand in a run of at least ``MIN_RUN`` words: units with no other unit of enough words between them. Offsets are in characters of the original text.
+A text is cut at line breaks, and lines after sentence ends, so that a passage set into a longer line is seen too. Each unit that
+has a word is normalised (lower case, white space as one space) and digested. Of equal digests the earliest by (id, digest of the text, place)
+stays and all others go, however short they are and whatever stands around them. Units that go in a row are one span.
+Offsets are in characters of the original text.
 
 Equal units within a batch are settled where they are read: only the earliest of them is sent on, so a
 line found in a third of all documents is one row for each batch. Those rows are sorted by digest and read in one pass
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .substrings import edges, numpy_rows, signed
 
-MIN_UNIT, MIN_RUN = 3, 10
+#: Words of a unit, and of a span, at least: all that have a word.
+MIN_UNIT, MIN_RUN = 1, 1
 _UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n|\Z))[^\S\n]*\n?")
 _LAST = np.iinfo(np.int64).max
 ROW = "h long, c int, id long, t long, ord int, start int, stop int, words int, sure boolean"
 
 
 def units(text: str) -> Iterator[tuple[int, int, str, int]]:
-    """(start, stop, normalised, words) of every unit with enough words."""
+    """(start, stop, normalised, words) of every unit with a word."""
     for m in _UNIT.finditer(text):
         words = m.group().lower().split()
         if len(words) >= MIN_UNIT:
@@ -85,7 +86,7 @@ def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (id, t, ord), a row for each document with runs that are long enough."""
+    """Rows sorted by (id, t, ord), a row for each document with runs."""
     held = None
 
     def solve(r: np.ndarray) -> pa.RecordBatch:

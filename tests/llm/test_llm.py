@@ -459,6 +459,18 @@ def test_units(spark):
     assert units.dedup_units(docs_of(spark, [])).count() == 0
 
 
+def test_units_of_any_length_go(spark):
+    lines = ["Read our terms.", "Go!", "two  Words", "a hot line of nine words, found all over", "-"]
+    data = [(i, "".join(f"own text {i} {k} only here\n{line}\n" for k, line in enumerate(lines))) for i in range(40)]
+    for r in units.dedup_units(docs_of(spark, data)).collect():
+        text, kept, at = dict(data)[r[0]], [], 0
+        for a, z in [*r["spans"], (None, None)]:
+            kept.append(text[at:a])
+            at = z
+        assert "".join(kept) == (text if r[0] == 0 else "".join(f"own text {r[0]} {k} only here\n" for k in range(len(lines))))
+        assert r["n_removed_units"] == (0 if r[0] == 0 else len(lines))
+
+
 # search
 
 
