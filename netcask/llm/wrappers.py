@@ -9,8 +9,9 @@ merged after: a host with a third of all pages is one row for each task.
 
 The wrapper tells where the article is: among its subtrees outside boilerplate (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) the ``article`` with most text in slots, else ``main``, else an element named as
-content, else the body without texts that never change. Pages of the host are cut accordingly; a page without that place is
-wrapped by itself.
+content. Where none of these has text in slots, the one with most text of the highest rank is taken, or the whole body if it has more text in slots
+than that one has text. Only a host that has no such element loses texts that never change: those met three times or more,
+on pages that differ, and always the same as a whole. Pages of the host are cut accordingly; a page without that place is wrapped by itself.
 
 Blocks are joined by one newline; white space in a block is one space, which a line break counts as; character references are decoded once.
 
@@ -26,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,38 +133,44 @@ def events(html: str) -> Iterator[tuple]:
         yield ("close",)
 
 
-# A wrapper node: [times met, text (None, a text that is always the same, or 0 for a slot), characters in slots, order conflict, {signature: [least, most, node]}]
+# A wrapper node: [{page: times its text was met there}, text (None, the key of a text that is always the same, or 0 for a slot), characters of text, order conflict, {signature: [least, most, node]}]
 SLOT = 0
+#: A text that never changes is one if it was met so often; of more pages than that no node need know.
+MET = 3
 
 
 def new_node() -> list:
-    return [0, None, 0, False, {}]
+    return [{}, None, 0, False, {}]
+
+
+def text_key(text: str) -> str:
+    """A short text itself; of a longer one its beginning and a digest of the whole, which is never a short text."""
+    return text if len(text) <= 80 else f"{text[:48]}…{xxhash.xxh3_128_hexdigest(text)}"
 
 
 def page_wrapper(html: str) -> list:
     """The wrapper of one page: its own element tree, with runs of equal elements folded."""
     root = new_node()
-    root[0] = 1
+    page = xxhash.xxh3_64_hexdigest(html)  # equal pages are one
     path = [(root, [], [])]  # node, its texts, signatures in order
     for ev in events(html):
         if ev[0] == "open":
             node = new_node()
-            node[0] = 1
             path[-1][2].append((ev[1].sig, node))
             path.append((node, [], []))
         elif ev[0] == "close":
-            _finish(*path.pop())
+            _finish(page, *path.pop())
         elif ev[0] == "text" and ev[1].strip():
             path[-1][1].append(ev[1])
     while path:
-        _finish(*path.pop())
+        _finish(page, *path.pop())
     return root
 
 
-def _finish(node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
+def _finish(page: str, node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
     text = " ".join(" ".join(texts).split())
     if text:
-        node[1], node[2] = text[:80], len(text)
+        node[0], node[1], node[2] = {page: 1}, text_key(text), len(text)
     last = None
     counts: dict[str, int] = {}
     for sig, kid in kids:
@@ -170,7 +178,7 @@ def _finish(node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
             sig = sig.split(".")[0]
         if sig in node[4]:
             node[3] |= sig != last  # met again after others
-            align(node[4][sig][2], kid)
+            align(node[4][sig][2], kid, True)
         else:
             node[4][sig] = [0, 0, kid]
         counts[sig] = counts.get(sig, 0) + 1
@@ -179,9 +187,13 @@ def _finish(node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
         node[4][sig][:2] = [n, n]
 
 
-def align(a: list, b: list) -> None:
-    """Merge expression ``b`` into ``a``."""
-    a[0] += b[0]
+def align(a: list, b: list, same_page: bool = False) -> None:
+    """Merge expression ``b`` into ``a``. Times met add up within a page, but a page given again adds none."""
+    for page, n in b[0].items():
+        if page in a[0]:
+            a[0][page] = a[0][page] + n if same_page else max(a[0][page], n)
+        elif len(a[0]) < MET:
+            a[0][page] = n
     a[1] = b[1] if a[1] is None else a[1] if b[1] in (None, a[1]) else SLOT
     a[2] += b[2]
     both = [s for s in a[4] if s in b[4]]
@@ -190,7 +202,7 @@ def align(a: list, b: list) -> None:
         if sig in b[4]:
             least, most, node = b[4][sig]
             part[0], part[1] = min(part[0], least), max(part[1], most)
-            align(part[2], node)
+            align(part[2], node, same_page)
         else:
             part[0] = 0
     for sig, (_, most, node) in b[4].items():
@@ -198,7 +210,7 @@ def align(a: list, b: list) -> None:
             short = sig if len(a[4]) < KINDS else sig.split(".")[0]
             if short in a[4]:
                 a[4][short][1] = max(a[4][short][1], most)
-                align(a[4][short][2], node)
+                align(a[4][short][2], node, same_page)
             else:
                 a[4][short] = [0, most, node]
 
@@ -212,10 +224,8 @@ def expression(node: list) -> str:
     return f"({' '.join(parts)})+" if node[3] else " ".join(parts)
 
 
-def mass(node: list) -> int:
-    """Characters of text under a node, but for texts that are met several times and never change."""
-    fixed = node[0] > 2 and isinstance(node[1], str)
-    return (0 if fixed else node[2]) + sum(mass(k[2]) for k in node[4].values())
+def never_changes(node: list) -> bool:
+    return isinstance(node[1], str) and sum(node[0].values()) >= MET
 
 
 def _rank(sig: str) -> int:
@@ -232,37 +242,35 @@ def _is_noise(sig: str, inside_article: bool) -> bool:
     return Element(tag, f' class="{" ".join(names)}"', inside_article).noise
 
 
-def article_path(wrapper: list) -> list[str]:
-    """Signatures down to the article; empty: the whole page."""
-    best: tuple[int, int, list[str]] = (0, 0, [])
+def article_place(wrapper: list) -> tuple[list[str], set[str]]:
+    """Signatures down to the article (none: the whole page), and the keys of texts to leave out."""
+    best: tuple = ()
+    fixed: set[str] = set()
 
-    def walk(node: list, path: list[str]) -> None:
+    def walk(node: list, path: list[str], in_article: bool, in_noise: bool) -> tuple[int, int]:
+        """Characters in slots and of all text under a node, without boilerplate."""
         nonlocal best
+        slots, total = 0 if never_changes(node) else node[2], node[2]
+        if never_changes(node):
+            fixed.add(node[1])
         for sig, (_, _, kid) in node[4].items():
-            if not _is_noise(sig, any(s.split(".")[0] == "article" for s in path)):
-                here = [*path, sig]
-                if rank := _rank(sig):
-                    found = (rank, mass(kid), here)
-                    if found[:2] > best[:2]:
-                        best = found
-                walk(kid, here)
+            noise = in_noise or _is_noise(sig, in_article)
+            found = walk(kid, [*path, sig], in_article or sig.split(".")[0] == "article", noise)
+            if not noise:
+                slots, total = slots + found[0], total + found[1]
+        if path and total and not in_noise and (rank := _rank(path[-1])):
+            best = max(best, (slots > 0, rank, slots, total, -len(path), path), key=lambda x: x[:5])
+        return slots, total
 
-    walk(wrapper, [])
-    return best[2] if best[1] else []
+    slots, _ = walk(wrapper, [], False, False)
+    if not best:
+        return [], fixed
+    return ([] if not best[0] and slots > best[3] else best[5]), set()
 
 
-def fixed_texts(wrapper: list) -> list[str]:
-    """Texts that never change though met over again, for pages without an article element."""
-    out = []
-
-    def walk(node: list) -> None:
-        if node[0] > 2 and isinstance(node[1], str):
-            out.append(node[1])
-        for _, _, kid in node[4].values():
-            walk(kid)
-
-    walk(wrapper)
-    return out
+def article_path(wrapper: list) -> list[str]:
+    """Signatures down to the article; empty: the whole page."""
+    return article_place(wrapper)[0]
 
 
 def cut(html: str, path: list[str], fixed: set[str]) -> str | None:
@@ -275,7 +283,7 @@ def cut(html: str, path: list[str], fixed: set[str]) -> str | None:
     def end_block() -> None:
         text = " ".join("".join(run).split())
         run.clear()
-        if text and text[:80] not in fixed:
+        if text and text_key(text) not in fixed:
             blocks.append(text)
 
     for ev in events(html):
@@ -363,8 +371,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ways = [json.loads(w) for w in b.column(1).to_pylist()]
-            paths = [article_path(w) for w in ways]
-            found = [json.dumps([p, [] if p else fixed_texts(w)]) for p, w in zip(paths, ways, strict=True)]
+            found = [json.dumps([path, sorted(fixed)]) for path, fixed in map(article_place, ways)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["host", "place"])
 
     places = materialize(wrappers.mapInArrow(place, "host string, place string"), "page-places")

@@ -421,6 +421,26 @@ def test_deep_nesting():
     assert wrappers.extract("<div>" * 5000 + "x" + "</div>" * 5000, [], set()) == "x"
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, f"http://{h}.org/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in wrappers.extract_text(df).orderBy("page_id").collect()]
+
+
+def test_whole_texts_are_compared_and_copies_are_no_evidence(spark):
+    same_start = "The same eighty characters stand at the start of every one of these paragraphs, and then they differ: "
+    article = "<body><nav>Menu {i}</nav><article><h1>Head</h1><p>Only text</p></article>"
+    pages = [("a", article.format(i=0))] * 4  # copies of one page
+    pages += [("b", article.format(i=i)) for i in range(4)]  # equal articles of pages that differ
+    pages += [("c", f"<body><div><p>{same_start}{i}</p><p>Legal line</p></div>") for i in range(4)]
+    pages += [("d", "<body><div><p>A page without an article</p></div>")] * 4
+    pages += [("e", f"<body><article>Promotion</article><div><p>A long enough text that has no article about it, number {i}</p></div>") for i in range(4)]
+    want = ["Head\nOnly text"] * 8 + [f"{same_start}{i}\nLegal line" for i in range(4)]
+    want += ["A page without an article"] * 4 + [f"Promotion\nA long enough text that has no article about it, number {i}" for i in range(4)]
+    assert extracted(spark, pages) == want
+    # what never changes still goes where no article is
+    assert extracted(spark, [("f", f"<body><div>Legal line</div><p>text {i}</p>") for i in range(4)]) == [f"text {i}" for i in range(4)]
+
+
 # line hashing
 
 
