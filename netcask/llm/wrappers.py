@@ -16,15 +16,18 @@ on pages that differ, and always the same as a whole. Pages of the host are cut
 Blocks are joined by one newline; white space in a block is one space, which a line break counts as; character references are decoded once.
 
 Defined cases: null html gives an empty text, as does a page of boilerplate; a null url belongs to the host of the empty name; truncated pages are
-read as far as they go; nesting beyond ``DEPTH`` is flattened; repeated rows are rows; an empty table gives an empty result; other columns are ignored.
+read as far as they go; nesting beyond ``DEPTH`` is flattened in wrappers, but for articles in it, and read like any other; repeated rows are rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import json
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -33,9 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Levels of a wrapper. Deeper elements are part of the one above, unless they rank higher as an article than all around them.
 DEPTH = 48
-#: Hosts whose wrappers a task holds at once, and elements that a parent's wrapper tells apart, at most (beyond that, by tag only).
+#: Hosts whose wrappers a task holds at once, and elements that a host's wrapper tells apart under a parent, at most (beyond that, see ``fold``).
 HOSTS, KINDS = 2000, 64
+#: Stands in signatures for names not told apart; names are in lower case.
+OTHER = "ANY"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -59,13 +65,14 @@ HOLDS_ITEMS = set("ul ol dl table tbody thead tfoot".split())
 
 
 class Element:
-    __slots__ = ("blocks", "noise", "sig", "tag", "words")
+    __slots__ = ("blocks", "kept", "level", "noise", "rank", "sig", "source", "tag", "words")
 
     def __init__(self, tag: str, attrs: str, inside_article: bool):
         values = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
         names = " ".join(values.get(k, "") for k in ("class", "id")).lower()
         words = set(_WORD.findall(names))
-        self.tag, self.words = tag, words
+        self.source = self.tag = tag  # a role changes the latter
+        self.words = words
         self.sig = ".".join([tag, *sorted(re.sub(r"\d+", "0", names).split())])
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
         head = not inside_article and (tag == "header" or not words.isdisjoint(("header", "masthead")))
@@ -73,10 +80,29 @@ class Element:
         if values.get("role") == "main":
             self.tag = "main"
 
+    def put_under(self, above: Element | None, around: list[Element]) -> None:
+        """Set what depends on the open elements: ``noise`` holds for all inside, ``kept`` says whether wrappers have a node for it, ``level`` how many do down to here."""
+        level = above.level if above else 0
+        self.noise = self.noise or bool(above and above.noise)
+        self.kept, self.rank = level < DEPTH, 0  # the highest rank down to here, known beyond DEPTH only
+        if not self.kept:
+            highest = above.rank if len(around) > DEPTH else max(_rank(x.sig) for x in around)
+            own = 0 if self.noise else _rank(self.sig)
+            self.kept, self.rank = own > highest, max(own, highest)
+        self.level = level + self.kept
+
 
 def events(html: str) -> Iterator[tuple]:
     """("open", Element), ("close",), ("text", decoded text), ("break",): a well-formed stream of block elements, whatever the page's tags are like."""
     stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # tag: where in the stack it is
+
+    def innermost(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
+    def pop() -> None:
+        places[stack.pop().source].pop()
+
     at, size = 0, len(html)
     while at < size:
         m = _TOKEN.search(html, at)
@@ -100,35 +126,27 @@ def events(html: str) -> Iterator[tuple]:
             if tag == "br":
                 yield "text", " "
         elif closing:
-            if any(e.tag == tag or e.sig.split(".")[0] == tag for e in stack):
-                while stack:
-                    top = stack.pop()
-                    yield ("close",)
-                    if top.sig.split(".")[0] == tag:
-                        break
-            else:
+            k = innermost({tag})
+            if k < 0:
                 yield ("break",)
+            while len(stack) > k >= 0:
+                pop()
+                yield ("close",)
         elif tag in VOID:
             yield ("break",)
         else:
             if stack and stack[-1].tag in CLOSED_BY_BLOCK:
-                stack.pop()
+                pop()
                 yield ("close",)
-            if tag in CLOSED_BY_SAME:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in HOLDS_ITEMS and not (tag in ("td", "th") and stack[k].tag == "tr"):
-                        break
-                    if stack[k].tag in CLOSED_BY_SAME[tag]:
-                        while len(stack) > k:
-                            stack.pop()
-                            yield ("close",)
-                        break
-            if len(stack) < DEPTH:
-                e = Element(tag, m[3], any(x.tag == "article" for x in stack))
-                stack.append(e)
-                yield "open", e
-            else:
-                yield ("break",)
+            if tag in CLOSED_BY_SAME and (k := innermost(CLOSED_BY_SAME[tag])) > innermost(HOLDS_ITEMS):
+                while len(stack) > k:
+                    pop()
+                    yield ("close",)
+            e = Element(tag, m[3], bool(places["article"]))
+            e.put_under(stack[-1] if stack else None, stack)
+            places[tag].append(len(stack))
+            stack.append(e)
+            yield "open", e
     for _ in stack:
         yield ("close",)
 
@@ -148,37 +166,41 @@ def text_key(text: str) -> str:
     return text if len(text) <= 80 else f"{text[:48]}…{xxhash.xxh3_128_hexdigest(text)}"
 
 
-def page_wrapper(html: str) -> list:
+def page_wrapper(html: str, kinds: float = KINDS) -> list:
     """The wrapper of one page: its own element tree, with runs of equal elements folded."""
     root = new_node()
     page = xxhash.xxh3_64_hexdigest(html)  # equal pages are one
     path = [(root, [], [])]  # node, its texts, signatures in order
+    stack: list[Element] = []
     for ev in events(html):
         if ev[0] == "open":
-            node = new_node()
-            path[-1][2].append((ev[1].sig, node))
-            path.append((node, [], []))
+            stack.append(ev[1])
+            if ev[1].kept:
+                node = new_node()
+                path[-1][2].append((ev[1].sig, node))
+                path.append((node, [], []))
         elif ev[0] == "close":
-            _finish(page, *path.pop())
-        elif ev[0] == "text" and ev[1].strip():
+            if stack.pop().kept:
+                _finish(page, kinds, *path.pop())
+        elif ev[0] == "text" and ev[1].strip() and not (stack and stack[-1].noise and not stack[-1].kept):
             path[-1][1].append(ev[1])
     while path:
-        _finish(page, *path.pop())
+        _finish(page, kinds, *path.pop())
     return root
 
 
-def _finish(page: str, node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
+def _finish(page: str, kinds: float, node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
     text = " ".join(" ".join(texts).split())
     if text:
         node[0], node[1], node[2] = {page: 1}, text_key(text), len(text)
     last = None
     counts: dict[str, int] = {}
     for sig, kid in kids:
-        if sig not in node[4] and len(node[4]) >= KINDS:
-            sig = sig.split(".")[0]
+        if sig not in node[4] and len(node[4]) >= kinds:
+            sig = fold(sig)
         if sig in node[4]:
             node[3] |= sig != last  # met again after others
-            align(node[4][sig][2], kid, True)
+            align(node[4][sig][2], kid, kinds, True)
         else:
             node[4][sig] = [0, 0, kid]
         counts[sig] = counts.get(sig, 0) + 1
@@ -187,7 +209,7 @@ def _finish(page: str, node: list, texts: list[str], kids: list[tuple[str, list]
         node[4][sig][:2] = [n, n]
 
 
-def align(a: list, b: list, same_page: bool = False) -> None:
+def align(a: list, b: list, kinds: float = KINDS, same_page: bool = False) -> None:
     """Merge expression ``b`` into ``a``. Times met add up within a page, but a page given again adds none."""
     for page, n in b[0].items():
         if page in a[0]:
@@ -202,15 +224,15 @@ def align(a: list, b: list, same_page: bool = False) -> None:
         if sig in b[4]:
             least, most, node = b[4][sig]
             part[0], part[1] = min(part[0], least), max(part[1], most)
-            align(part[2], node, same_page)
+            align(part[2], node, kinds, same_page)
         else:
             part[0] = 0
     for sig, (_, most, node) in b[4].items():
         if sig not in a[4]:
-            short = sig if len(a[4]) < KINDS else sig.split(".")[0]
+            short = sig if len(a[4]) < kinds else fold(sig)
             if short in a[4]:
                 a[4][short][1] = max(a[4][short][1], most)
-                align(a[4][short][2], node, same_page)
+                align(a[4][short][2], node, kinds, same_page)
             else:
                 a[4][short] = [0, most, node]
 
@@ -242,12 +264,27 @@ def _is_noise(sig: str, inside_article: bool) -> bool:
     return Element(tag, f' class="{" ".join(names)}"', inside_article).noise
 
 
-def article_place(wrapper: list) -> tuple[list[str], set[str]]:
-    """Signatures down to the article (none: the whole page), and the keys of texts to leave out."""
+@lru_cache(4096)
+def fold(sig: str) -> str:
+    """The signature of all elements with that tag that are alike as boilerplate and as articles."""
+    tag, *names = sig.split(".")
+    if OTHER in names:
+        return sig
+    alike = ["ad"] if _is_noise(sig, True) else ["header"] if _is_noise(sig, False) else ["content"] if _rank(sig) == 1 else []
+    return ".".join([tag, OTHER, *alike])
+
+
+def fits(step: str | list[str], sig: str) -> bool:
+    """Whether an element is at a step of ``article_path``."""
+    return sig == step if isinstance(step, str) else fold(sig) == step[0] and sig not in step[1:]
+
+
+def article_place(wrapper: list) -> tuple[list[str | list[str]], set[str]]:
+    """Signatures down to the article (none: the whole page), and the keys of texts to leave out. A folded signature is followed by those told apart from it."""
     best: tuple = ()
     fixed: set[str] = set()
 
-    def walk(node: list, path: list[str], in_article: bool, in_noise: bool) -> tuple[int, int]:
+    def walk(node: list, path: list[str | list[str]], rank: int, in_article: bool, in_noise: bool) -> tuple[int, int]:
         """Characters in slots and of all text under a node, without boilerplate."""
         nonlocal best
         slots, total = 0 if never_changes(node) else node[2], node[2]
@@ -255,29 +292,30 @@ def article_place(wrapper: list) -> tuple[list[str], set[str]]:
             fixed.add(node[1])
         for sig, (_, _, kid) in node[4].items():
             noise = in_noise or _is_noise(sig, in_article)
-            found = walk(kid, [*path, sig], in_article or sig.split(".")[0] == "article", noise)
+            step = [sig, *sorted(s for s in node[4] if OTHER not in s)] if OTHER in sig else sig
+            found = walk(kid, [*path, step], _rank(sig), in_article or sig.split(".")[0] == "article", noise)
             if not noise:
                 slots, total = slots + found[0], total + found[1]
-        if path and total and not in_noise and (rank := _rank(path[-1])):
+        if rank and total and not in_noise:
             best = max(best, (slots > 0, rank, slots, total, -len(path), path), key=lambda x: x[:5])
         return slots, total
 
-    slots, _ = walk(wrapper, [], False, False)
+    slots, _ = walk(wrapper, [], 0, False, False)
     if not best:
         return [], fixed
     return ([] if not best[0] and slots > best[3] else best[5]), set()
 
 
-def article_path(wrapper: list) -> list[str]:
+def article_path(wrapper: list) -> list[str | list[str]]:
     """Signatures down to the article; empty: the whole page."""
     return article_place(wrapper)[0]
 
 
-def cut(html: str, path: list[str], fixed: set[str]) -> str | None:
+def cut(html: str, path: list[str | list[str]], fixed: set[str]) -> str | None:
     """The text of the article at ``path``; None if the page has no such place."""
     blocks: list[str] = []
     run: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # signature, whether inside noise, whether inside the article
+    stack: list[tuple[bool, bool, bool]] = []  # whether inside noise, inside the article, and on the path to it
     met = not path
 
     def end_block() -> None:
@@ -288,19 +326,19 @@ def cut(html: str, path: list[str], fixed: set[str]) -> str | None:
 
     for ev in events(html):
         if ev[0] == "text":
-            noise, inside = (stack[-1][1], stack[-1][2]) if stack else (False, not path)
+            noise, inside, _ = stack[-1] if stack else (False, not path, True)
             if inside and not noise:
                 run.append(ev[1])
             continue
         if ev[0] == "open":
             e = ev[1]
-            noise = e.noise or bool(stack and stack[-1][1])
-            inside = bool(stack and stack[-1][2]) or not path
-            depth = len(stack) + 1
-            if not inside and not noise and depth == len(path) and e.sig == path[-1] and [s[0] for s in stack] == path[:-1]:
-                inside = met = True
+            _, inside, on_path = stack[-1] if stack else (False, not path, True)
+            if e.kept:
+                on_path = on_path and e.level <= len(path) and fits(path[e.level - 1], e.sig)
+                if on_path and not inside and not e.noise and e.level == len(path):
+                    inside = met = True
             end_block()
-            stack.append((e.sig, noise, inside))
+            stack.append((e.noise, inside, on_path))
         elif ev[0] == "close":
             end_block()
             stack.pop()
@@ -310,12 +348,12 @@ def cut(html: str, path: list[str], fixed: set[str]) -> str | None:
     return "\n".join(blocks) if met else None
 
 
-def extract(html: str | None, path: list[str], fixed: set[str]) -> str:
+def extract(html: str | None, path: list[str | list[str]], fixed: set[str]) -> str:
     if not html:
         return ""
     text = cut(html, path, set() if path else fixed)
     if text is None:  # not built like its host's other pages
-        text = cut(html, article_path(page_wrapper(html)), set())
+        text = cut(html, article_path(page_wrapper(html, math.inf)), set())
     return text or ""
 
 
@@ -377,7 +415,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     places = materialize(wrappers.mapInArrow(place, "host string, place string"), "page-places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list[str], set[str]]] = {}
+        known: dict[str, tuple[list, set[str]]] = {}
         for b in batches:
             texts = []
             for page, where in zip(b.column(2), b.column(3).to_pylist(), strict=True):

@@ -441,6 +441,20 @@ def test_whole_texts_are_compared_and_copies_are_no_evidence(spark):
     assert extracted(spark, [("f", f"<body><div>Legal line</div><p>text {i}</p>") for i in range(4)]) == [f"text {i}" for i in range(4)]
 
 
+def test_elements_beyond_depth_and_kinds(spark):
+    deep, ends = "<div>" * 60, "</div>" * 60
+    pages = [("a", f"<body><div><article><p>First {i}</p>{deep}Deep {i}<nav>Menu</nav>{ends}<p>Last {i}</p></article></div>") for i in range(4)]
+    pages += [("b", f"<body>{deep}<p>Outside {i}</p><article><header>Head</header><p>Deep {i}</p></article>{ends}") for i in range(4)]
+    others = "".join(f'<div class="{a}{b}z">Box</div>' for a in "abcdefgh" for b in "abcdefghijkl")
+    pages += [("c", f'<body>{others}<article class="story">Story {i}</article>') for i in range(4)]
+    pages += [("d", f'<body><article class="k{c}">Story {c}</article><div class="ad{c}">Box</div>') for c in "abcdefgh" for c in [c, c * 2, c * 3, c * 4, c * 5, c * 6, c * 7, c * 8, c * 9]]
+    pages += [("e", '<body><div role="main"><p>One</p></main><p>Two</p></div><p>Three</p>')]
+    want = [f"First {i}\nDeep {i}\nLast {i}" for i in range(4)] + [f"Head\nDeep {i}" for i in range(4)] + [f"Story {i}" for i in range(4)]
+    want += [f"Story {c * n}" for c in "abcdefgh" for n in range(1, 10)] + ["One\nTwo\nThree"]
+    assert extracted(spark, pages) == want
+    assert wrappers.extract("<div>" * 3000 + "<article>x" + "</article>" + "</div>" * 3000, [], set()) == "x"
+
+
 # line hashing
 
 
