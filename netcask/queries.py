@@ -370,6 +370,12 @@ def rotate_size_bucket(spark, sf_dir):
     return files.rotate_by_size(select.range_filter(_pk(spark, sf_dir), "0-599", dense=True)[""], 4096).select("pkt_idx", "file_index")
 
 
+@query()
+def rotate_size_all(spark, sf_dir):
+    """The same over all packets; its recursive SQL would be too slow, so tests hold it against a plain fold."""
+    return files.rotate_by_size(_pk(spark, sf_dir), 4096).select("pkt_idx", "file_index")
+
+
 @query("SELECT pkt_idx, 'cap_' || lpad(CAST(pkt_idx // 1000 AS VARCHAR), 3, '0') || '_' || strftime(make_timestamp(ts_ns // 1000000000 * 1000000), '%Y%m%d-%H%M%S') || '.pcap' AS name FROM pk")
 def filename_template(spark, sf_dir):
     d = timing.batch_ids(_pk(spark, sf_dir), 1000, dense=True)

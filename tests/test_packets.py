@@ -13,6 +13,7 @@ from netcask.operators.ticks import LOST_SYNC, NO_SYNC, TickClock
 from netcask.plans.graph import Graph, parse_number, parse_size, parse_spec
 from netcask.plans.ranges import index_ranges, time_range
 from netcask.plans.streamspec import fields
+from netcask.queries import QUERIES
 from netcask.sources import packed, pcap
 from netcask.sources.packetview import packets
 
@@ -211,6 +212,18 @@ def test_delays():
         timing.delays_ns(2, 0, 2_000_000)
 
 
+def test_size_rotation_of_all_packets(spark, sf):
+    want, state = {}, {}
+    for r in packets(spark, sf).select("src", "pkt_idx", "cap_len").orderBy("pkt_idx").collect():
+        index, held = state.get(r["src"], (0, 24))
+        if held >= 4096:
+            index, held = index + 1, 24
+        state[r["src"]] = index, held + 16 + r["cap_len"]
+        want[r["pkt_idx"]] = index
+    assert len(want) > 600
+    assert dict(map(tuple, QUERIES["rotate_size_all"](spark, sf).collect())) == want
+
+
 def test_boundaries():
     assert [files.boundary(x) for x in (60, 90, 7, 3600, 4200, 86400)] == [60, 30, 1, 3600, 600, 86400]
 
