@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,17 +108,22 @@ def flow_sessions(df: DataFrame, idle_ns: int = FLOW_IDLE_NS) -> DataFrame:
 def balance_least_load(df: DataFrame, n: int) -> DataFrame:
     """Add ``output``: a new flow goes to the output with the least work so far (ties: the first), decided from the flows' totals in order of their first packets.
 
-    The decision for a flow depends on all before it. It is taken on flow rows, in buckets of time: an output's work is known up to the bucket's start, and
-    within a bucket flows are dealt to outputs in order of that work."""
-    width = 1_000_000_000
-    f = flows(df).withColumn("_bucket", F.call_function("div", F.col("first_ns"), F.lit(width)))
-    w = Window.partitionBy("_bucket").orderBy(F.desc("work"), "first_idx")
-    dealt = f.withColumn("_r", F.row_number().over(w) - 1)
-    rounds = F.call_function("div", F.col("_r"), F.lit(n))
-    place = F.col("_r") % n
-    out = F.when(rounds % 2 == 0, place).otherwise(n - 1 - place)  # heavy and light in turn even out within a bucket
-    turned = F.pmod(out + F.col("_bucket"), F.lit(n))
-    return with_flow_key(df).join(dealt.select(*KEY, turned.cast("long").alias("output")), KEY).drop(*KEY)
+    The decision for a flow depends on all before it, so this is a fold in order over the flow rows, in one task that holds n sums; packets aren't in it."""
+    f = flows(df).select(*KEY, "first_idx", "work")
+    schema = f.select(*KEY, F.lit(0).cast("long").alias("output")).schema
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = [(0, i) for i in range(n)]  # a heap
+        for b in batches:
+            outputs = []
+            for work in b.column("work").to_pylist():
+                load, i = loads[0]
+                heapq.heapreplace(loads, (load + (work or 0), i))
+                outputs.append(i)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEY), pa.array(outputs, pa.int64())], names=[*KEY, "output"])
+
+    dealt = f.repartition(1).sortWithinPartitions("first_idx", *KEY).mapInArrow(deal, schema)
+    return with_flow_key(df).join(dealt, KEY).drop(*KEY)
 
 
 def rings(df: DataFrame, n: int) -> DataFrame:

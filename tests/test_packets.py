@@ -198,6 +198,28 @@ def test_load_balance_keeps_flows_whole_and_even(spark, sf):
     assert len(loads) == 4 and max(loads) < 1.5 * min(loads)
 
 
+def test_load_balance_is_a_greedy_fold(spark, sf):
+    second = 1_000_000_000
+    rows = [(i, i * 3 * second, 10 + i, 1, 6, 1000 + i, 80, None, 60, 60) for i in range(12)]  # flows that start on multiples of n seconds
+    rows += [(100 + k, 40 * second + k, 99, 1, 6, 5000, 80, None, 1500, 1500) for k in range(50)]  # a heavy one
+    rows += [(200 + i, 41 * second + i * second // 7, 200 + i, 1, 6, 7000, 80, None, 60 + i, 60 + i) for i in range(40)]
+    small = spark.createDataFrame(rows, "pkt_idx long, ts_ns long, src_ip long, dst_ip long, ip_proto long, sport long, dport long, vlan_id long, frame_len long, cap_len long")
+    for df, n in ((small.repartition(5), 3), (packets(spark, sf), 4)):
+        work, first, of = {}, [], {}
+        for r in balance.with_flow_key(df).orderBy("pkt_idx").collect():
+            key = tuple(r[k] for k in balance.KEY)
+            if key not in work:
+                first.append(key)
+            work[key] = work.get(key, 0) + 300 + r["cap_len"]
+            of[r["pkt_idx"]] = key
+        loads, output = [0] * n, {}
+        for key in first:
+            output[key] = loads.index(min(loads))
+            loads[output[key]] += work[key]
+        got = dict(map(tuple, balance.balance_least_load(df, n).select("pkt_idx", "output").collect()))
+        assert got == {i: output[key] for i, key in of.items()}
+
+
 def test_token_bucket_spaces_packets(spark):
     rows = [(i, 0, 100, 0) for i in range(50)]
     out = timing.token_bucket(spark.createDataFrame(rows, "pkt_idx long, ts_ns long, frame_len int, src long"), pps=1000).orderBy("pkt_idx").collect()
