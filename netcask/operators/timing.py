@@ -43,7 +43,8 @@ def adjust_bandwidth(df: DataFrame, bits_per_second: int, start_at_ns: int | Non
 def repeat(df: DataFrame, times: int, zero_ts: bool = False) -> DataFrame:
     """The whole input ``times`` over, one period later each time; the period is (last - first) * n / (n - 1)."""
     whole = df.agg(F.min_by("ts_ns", "pkt_idx").alias("_a"), F.max_by("ts_ns", "pkt_idx").alias("_z"), F.count("*").alias("_n"), F.max("pkt_idx").alias("_top"))
-    period = F.when(F.col("_n") > 1, whole_div((F.col("_z") - F.col("_a")) * F.col("_n"), F.greatest(F.col("_n") - 1, F.lit(1)))).otherwise(0)
+    span = F.col("_z") - F.col("_a")  # times n it may be more than a long holds
+    period = F.when(F.col("_n") > 1, span + whole_div(span, F.greatest(F.col("_n") - 1, F.lit(1)))).otherwise(0)
     copies = df.crossJoin(F.broadcast(whole)).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))  # one row
     ts = F.col("ts_ns") + F.col("copy") * period
     return copies.withColumns({"ts_ns": F.when(F.col("copy") > 0, F.lit(0).cast("long")).otherwise(ts) if zero_ts else ts, "pkt_idx": F.col("copy") * (F.col("_top") + 1) + F.col("pkt_idx")}).drop("_a", "_z", "_n", "_top")

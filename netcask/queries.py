@@ -229,6 +229,11 @@ def ts_adjust_pps(spark, sf_dir):
     return timing.adjust_pps(_pk(spark, sf_dir).where("src = 1"), 3000, start_at_ns=1000000).select("pkt_idx", "ts_ns")
 
 
+@query("SELECT pkt_idx, 1000000 + ((row_number() OVER (ORDER BY pkt_idx)) * 1000000000) // 3000 AS ts_ns FROM pk")
+def ts_adjust_pps_all(spark, sf_dir):
+    return timing.adjust_pps(_pk(spark, sf_dir), 3000, start_at_ns=1000000).select("pkt_idx", "ts_ns")
+
+
 @query(f"SELECT pkt_idx, {FIRST} + CAST((coalesce(sum(cap_len) OVER (ORDER BY pkt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8000000000) // 1000000 AS BIGINT) AS ts_ns FROM pk")
 def ts_adjust_bw(spark, sf_dir):
     return timing.adjust_bandwidth(_pk(spark, sf_dir), 1_000_000).select("pkt_idx", "ts_ns")
@@ -240,6 +245,12 @@ def repeater(spark, sf_dir):
     return timing.repeat(_pk(spark, sf_dir).where("src = 0"), 3).select("pkt_idx", "ts_ns")
 
 
+@query("""SELECT copy * (top + 1) + pkt_idx AS pkt_idx, CAST(ts_ns + copy * ((z - a) * n // (n - 1)) AS BIGINT) AS ts_ns
+          FROM pk, (SELECT CAST(arg_min(ts_ns, pkt_idx) AS HUGEINT) AS a, arg_max(ts_ns, pkt_idx) AS z, count(*) AS n, max(pkt_idx) AS top FROM pk), (SELECT unnest([0, 1, 2]) AS copy)""")
+def repeater_all(spark, sf_dir):
+    return timing.repeat(_pk(spark, sf_dir), 3).select("pkt_idx", "ts_ns")
+
+
 @query("SELECT pkt_idx, ts_ns + 250000 AS ts_ns FROM pk")
 def delay_line_fixed(spark, sf_dir):
     return timing.delay_line(_pk(spark, sf_dir), 1, 250, 250).select("pkt_idx", "ts_ns")
@@ -570,6 +581,13 @@ def replay_pipeline(spark, sf_dir):
     return cli.replay(_pk(spark, sf_dir, True), range="50-900", filter="udp", pps="2k").select("pkt_idx", "ts_ns")
 
 
+@query("SELECT pkt_idx, a + (row_number() OVER (ORDER BY pkt_idx) * 1000000000) // 2000 AS ts_ns FROM pk, (SELECT arg_min(ts_ns, pkt_idx) AS a FROM pk WHERE ip_proto = 17 AND vlan_id IS NULL) WHERE ip_proto = 17 AND vlan_id IS NULL")
+def replay_pipeline_all(spark, sf_dir):
+    from . import cli
+
+    return cli.replay(_pk(spark, sf_dir, True), range="0-", filter="udp", pps="2k").select("pkt_idx", "ts_ns")
+
+
 @query("SELECT pkt_idx, least(cap_len, 40) AS n, CASE WHEN vlan_id IS NULL AND ip_proto = 6 THEN 'tcp' ELSE 'other' END AS way FROM pk WHERE vlan_id IS NULL AND ip_proto = 6 OR pkt_idx % 1 = 0 AND NOT (vlan_id IS NULL AND ip_proto = 6)")
 def graph_pipeline(spark, sf_dir):
     from .plans.graph import Graph

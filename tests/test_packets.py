@@ -246,6 +246,19 @@ def test_size_rotation_of_all_packets(spark, sf):
     assert dict(map(tuple, QUERIES["rotate_size_all"](spark, sf).collect())) == want
 
 
+def test_queries_over_all_packets(spark, sf):
+    n = packets(spark, sf).count()
+    counts = {name: QUERIES[name](spark, sf).count() for name in ("repeater_all", "ts_adjust_pps_all", "replay_pipeline_all")}
+    assert counts == {"repeater_all": 3 * n, "ts_adjust_pps_all": n, "replay_pipeline_all": packets(spark, sf).where("ip_proto = 17 and vlan_id is null").count()}
+
+
+def test_repeat_of_a_long_capture(spark):
+    z, n = 2_000_000_000_000_000, 5000
+    d = timing.repeat(spark.range(n).selectExpr("id AS pkt_idx", f"id * {z // (n - 1)} AS ts_ns"), 2)
+    last = z // (n - 1) * (n - 1)
+    assert d.agg(F.max("ts_ns")).first()[0] == last + last * n // (n - 1)
+
+
 def test_boundaries():
     assert [files.boundary(x) for x in (60, 90, 7, 3600, 4200, 86400)] == [60, 30, 1, 3600, 600, 86400]
 
