@@ -6,7 +6,7 @@ character classes and hashed class pairs, then ``h = tanh(x W + c)``. Gated atte
 attention weights are learned from them, by Adam on the cross entropy.
 
 Training is on a bounded sample: at most ``TRAIN_DOCS`` labelled documents outside the held-out part, those with the smallest
-hashes of their ids, and at most ``TRAIN_PASSAGES`` passages of each, evenly spaced. Scoring takes every passage of every document in one pass
+hashes of their ids, with all their passages. Of these, documents that would bring the sum of passages over ``TRAIN_PASSAGES`` are left out whole. Scoring takes every passage of every document in one pass
 without a shuffle. Held out is what has crc32 of the id, as text, mod 4 equal to 2. Ids, languages, sources and labels are no inputs of a score.
 
 Defined cases: null text is an empty one, one passage of zeros, scored like any other; a null id isn't held out; several labels of an id
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 PASSAGE, THRESHOLD = 512, 0.7
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 24
+TRAIN_DOCS, TRAIN_PASSAGES = 4000, 96_000
 CLASSES, PAIRS, HIDDEN, GATE, EPOCHS = 64, 256, 24, 12, 40
 WIDTH = CLASSES + PAIRS
 _STRIDE = 2048
@@ -147,7 +147,7 @@ def held_out(id_col: F.Column) -> F.Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS):
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES):
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(id_col)
@@ -161,13 +161,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             bags = []
             for text in b.column(2):
                 x = np.concatenate(list(passages((text.as_py() or "").encode())))
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).round().astype(int)]
                 bags.append((x * 255).round().clip(0, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
     # ``train_docs`` rows at most are broadcast; a repeated id gives one text
     held = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.first("y").alias("y"), F.min(text_col).alias("text"))
+    size = F.greatest(F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE), F.lit(1))
+    total, beyond = 0, []
+    for h, n in sorted(map(tuple, held.select(F.xxhash64(id_col), size).collect())):
+        if total + n > train_passages:
+            beyond.append(h)
+        else:
+            total += n
+    if beyond:
+        held = held.where(~F.xxhash64(id_col).isin(beyond))
     rows = sorted(held.select(id_col, "y", "text").mapInArrow(encode, "id string, y double, bag binary").collect(), key=lambda r: r["id"])
     y = np.array([r["y"] for r in rows])
     if len(rows) == 0 or y.min() == y.max():

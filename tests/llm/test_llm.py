@@ -627,3 +627,14 @@ def test_pipeline(spark, sf):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * 200
     packed = p.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_quality_trains_on_all_passages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * (quality.PASSAGE * 60 - i)) for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, bags, y: seen.append([len(b) for b in bags]))
+    quality.train(docs, labels)
+    quality.train(docs, labels, train_passages=60 * 5 + 59)
+    assert set(seen[0]) == {60} and len(seen[0]) > 5
+    assert seen[1] == [60] * 5
