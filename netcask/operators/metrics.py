@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +22,32 @@ def raw_rates(df: DataFrame, period_ns: int = 100_000_000) -> DataFrame:
 def smoothed_rates(df: DataFrame, period_ns: int = 100_000_000, alpha: float = 0.5) -> DataFrame:
     """Exponential moving averages, from zero; empty periods count as zero samples.
 
-    Between two periods with packets the average only decays, so gaps aren't filled in: each row weighs the earlier ones by
-    (1 - alpha) to the power of their distance. The last ``REACH`` periods are summed; what is older weighs less than a double can show."""
-    reach = 60
-    seconds = period_ns / 1e9
+    Between two periods with packets the average only decays, so gaps aren't filled in. Averages are folded in order of periods, in buckets of them;
+    each bucket starts with the periods before it that reach into it: what is older weighs less than a double can show, whatever ``alpha`` is."""
+    reach = max(60, math.ceil(math.log(2**-53) / math.log1p(-alpha))) if alpha < 1 else 60
+    width = max(100_000, reach)
     rates = raw_rates(df, period_ns)
-    # each period's sample goes to itself and to those of the following periods that have packets
-    w = Window.partitionBy("_bucket").orderBy("period").rangeBetween(-reach, 0)
-    width = 100_000
     b = rates.withColumn("_bucket", whole_div(F.col("period"), width)).withColumn("_copy", F.lit(0))
     spill = b.where(F.pmod(F.col("period"), F.lit(width)) >= width - reach).withColumns({"_bucket": F.col("_bucket") + 1, "_copy": F.lit(1)})
-    out = b.unionByName(spill)
-    items = F.collect_list(F.struct("period", "pkts", "cap_bytes", "link_bytes")).over(w)
-    out = out.withColumn("_items", items).where("_copy = 0")
-
-    def ema(name: str, scale: float):
-        return F.aggregate(
-            "_items",
-            F.lit(0.0),
-            lambda acc, x: acc + F.lit(alpha) * F.pow(F.lit(1 - alpha), (F.col("period") - x.period).cast("double")) * x[name] * F.lit(scale),
-        )
-
-    return out.select("period", ema("pkts", 1 / seconds).alias("pkt_rate"), ema("cap_bytes", 8 / seconds).alias("cap_bw"), ema("link_bytes", 8 / seconds).alias("link_bw"))
+    scales = (1e9 / period_ns, 8e9 / period_ns, 8e9 / period_ns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, state = None, 0, [0.0] * 3
+        for rows in batches:
+            out: list[tuple] = []
+            for bucket, period, copy, *sums in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                if bucket != at:
+                    at, last, state = bucket, period, [0.0] * 3
+                decay = (1 - alpha) ** (period - last)
+                state = [x * decay + alpha * v for x, v in zip(state, sums, strict=True)]
+                last = period
+                if not copy:
+                    out.append((period, *(x * k for x, k in zip(state, scales, strict=True))))
+            cols = [*zip(*out, strict=True)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), *[pa.float64()] * 3], strict=True)], names=["period", "pkt_rate", "cap_bw", "link_bw"])
+
+    both = b.unionByName(spill).select("_bucket", "period", "_copy", "pkts", "cap_bytes", "link_bytes")
+    return both.repartition("_bucket").sortWithinPartitions("_bucket", "period").mapInArrow(fold, "period long, pkt_rate double, cap_bw double, link_bw double")
 
 
 def error_counters(df: DataFrame, by: str = "src") -> DataFrame:

@@ -259,6 +259,19 @@ def test_repeat_of_a_long_capture(spark):
     assert d.agg(F.max("ts_ns")).first()[0] == last + last * n // (n - 1)
 
 
+@pytest.mark.parametrize("alpha", [0.5, 0.01])
+def test_averages_reach_back_whatever_alpha_is(spark, alpha):
+    r = random.Random(4)
+    rows = [(i, (99_000 + i * 3 + r.randrange(3)) * 1000, 60 + i % 50, 70 + i % 90) for i in range(1000)]
+    got = {x[0]: x[1:] for x in metrics.smoothed_rates(spark.createDataFrame(rows, "pkt_idx long, ts_ns long, cap_len long, frame_len long"), 1000, alpha).collect()}
+    of, state, want = {ts // 1000: (1, cap * 8, link * 8) for _, ts, cap, link in rows}, (0.0, 0.0, 0.0), {}
+    for period in range(min(of), max(of) + 1):
+        state = tuple(x + alpha * (v * 1e6 - x) for x, v in zip(state, of.get(period, (0, 0, 0)), strict=True))
+        if period in of:
+            want[period] = state
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], rel=1e-9) for p in want)
+
+
 def test_boundaries():
     assert [files.boundary(x) for x in (60, 90, 7, 3600, 4200, 86400)] == [60, 30, 1, 3600, 600, 86400]
 
