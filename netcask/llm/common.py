@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named in ``spark.checkpoint.dir``; where it is unset, a local one in local mode, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="netcask-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,8 +39,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed_table(df: DataFrame, label: str, buckets: int, column: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``column`` in the shared folder; ``drop_written`` takes it from the catalog."""
+    spark = df.sparkSession
+    name = f"nc_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", written_path(spark, label)).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 def drop_written(spark: SparkSession | None = None) -> None:
-    """Delete what ``materialize`` wrote. Only for the end of a session: results read those files lazily."""
+    """Delete what ``materialize`` and ``bucketed_table`` wrote. Only for the end of a session: results read those files lazily."""
+    while _tables:
+        session, name = _tables.pop()
+        with contextlib.suppress(Exception):
+            session.sql(f"DROP TABLE IF EXISTS {name}")
     while _written:
         session, path = _written.pop()
         with contextlib.suppress(Exception):

@@ -93,16 +93,26 @@ class Items:
             self.automaton.make_automaton()
         self.piece = np.array(piece, np.int64).reshape(-1, 4)
         letters = sorted({c for g, _ in groups for c in g})
-        self.code = np.zeros(0x110000, np.uint16)
+        self.code = np.zeros(0x110000, np.int32)
         for i, c in enumerate(letters, 1):
             self.code[ord(c)] = i
-        self.eq = np.zeros((len(groups), len(letters) + 1), np.uint64)
+        # masks of the letters that a group has, in order of (group, letter): 64 of a group at most
+        masks: dict[int, int] = {}
         for g, (text, _) in enumerate(groups):
             for i, c in enumerate(text):
-                self.eq[g, self.code[ord(c)]] |= np.uint64(1 << i)
+                key = g << 21 | int(self.code[ord(c)])
+                masks[key] = masks.get(key, 0) | 1 << i
+        self.eq_keys = np.array(sorted(masks), np.int64)
+        self.eq = np.array([masks[k] for k in self.eq_keys.tolist()], np.uint64)
         self.length = np.array([len(t) for t, _ in groups], np.int64)
         self.edits = np.array([e for _, e in groups], np.int64)
 
+    def mask(self, group: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Where each group has the letter, zero if it hasn't."""
+        key = group << 21 | letter
+        at = np.minimum(np.searchsorted(self.eq_keys, key), len(self.eq) - 1)
+        return np.where(self.eq_keys[at] == key, self.eq[at], np.uint64(0))
+
     def extend(self, codes: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether the group of each hit (a piece that starts at ``start``) is there within its edits."""
         g, inside = self.piece[piece, 2], self.piece[piece, 3]
@@ -119,7 +129,7 @@ class Items:
         score, best = m.copy(), m.copy()
         for j in range(int(size.max())):
             spot = at + j
-            e = self.eq[g, np.where((spot >= 0) & (spot < len(codes)), codes[np.clip(spot, 0, len(codes) - 1)], 0)]
+            e = self.mask(g, np.where((spot >= 0) & (spot < len(codes)), codes[np.clip(spot, 0, len(codes) - 1)], 0))
             diagonal = (((e & up) + up) ^ up) | e | down
             right, left = down | ~(diagonal | up), up & diagonal
             score += ((right >> top) & one).astype(np.int64) - ((left >> top) & one).astype(np.int64)

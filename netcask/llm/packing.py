@@ -5,9 +5,9 @@
    A document's ids are followed by id 1; only documents longer than a sequence are cut. Texts don't go further: the
    slim table of pieces (id, number, start, length, CRC of the ids) is written.
 2. Pieces are dealt evenly to tasks of about ``GROUP`` pieces. Each packs its own: pieces in falling order of length,
-   each placed where the sum over gaps of the squared number of open bins with that gap becomes smallest (a new bin is one
-   of the choices; full bins don't count). Bins that end with room are then refilled by best fit. What a task can
-   lose is a few bins in tens of thousands.
+   each placed where the sum over gaps of the squared number of open bins with that gap becomes smallest (full bins don't
+   count). A new bin is one of the choices until there are as many as the sum of lengths needs in any case; then only a piece that
+   fits nowhere opens one. What a task can lose is a few bins in tens of thousands.
 
 Defined cases: a null text is an empty one, one piece that holds id 1; repeated rows are rows; an empty table
 gives an empty result; other columns are ignored; a text of any length is tokenised whole.
@@ -15,9 +15,9 @@ gives an empty result; other columns are ignored; a text of any length is tokeni
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,15 +51,37 @@ class Chunks(dict):
         return ids
 
 
+# The settings of the one tokenizer file whose texts may be taken apart into chunks.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def splits_at_space(path: str) -> bool:
+    """Whether the file's settings are those that ``ChunkTokenizer`` takes apart."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before = told.get("pre_tokenizer") or {}
+    split, as_bytes = (before.get("pretokenizers") or [{}, {}])[:2] if len(before.get("pretokenizers") or []) == 2 else ({}, {})
+    return (
+        (told.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and split.get("pattern") == {"Regex": PATTERN}
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and (as_bytes.get("type"), as_bytes.get("add_prefix_space"), as_bytes.get("use_regex")) == ("ByteLevel", False, False)
+        and (told["model"].get("type"), told["model"].get("dropout")) == ("BPE", None)
+        and all(t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) and not t["lstrip"] and not t["rstrip"] for t in told["added_tokens"])
+    )
+
+
 class ChunkTokenizer:
-    """Ids of a text as little-endian 32-bit bytes, exactly as the tokenizer file gives them."""
+    """Ids of a text as little-endian 32-bit bytes, exactly as the tokenizer file gives them. Texts of other files than those known are encoded whole."""
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
+        self.by_chunk = splits_at_space(path)
         self.tokens = self.whole.model.tokenize
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(33, 256) if not chr(i).isspace()}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall  # fixed: the file's own pattern
+        self.split = regex.compile(PATTERN).findall
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
         self.parts: dict[str, bytes] = {}
         self.chunks = Chunks(self._encode)
@@ -77,10 +99,15 @@ class ChunkTokenizer:
             return self.parts.get(part) or self._part(part)
         text = chunk.decode("utf-8", "replace")
         if "<|" in text or not self.plain(text):  # may hold a special token, or needs the normaliser
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(chunk)
         return b"".join([self.parts.get(part) or self._part(part) for part in self.split(text.lower())])
 
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: bytes) -> bytes:
+        if not self.by_chunk:
+            return self._whole(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
@@ -120,10 +147,10 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
 
 
 class Bins:
-    """Open bins by gap."""
+    """Open bins by gap. ``least``: so many bins are needed in any case."""
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, least: int = 1 << 62):
+        self.capacity, self.least = capacity, least
         self.open: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.count = np.zeros(capacity + 1, np.int64)
         self.members: list[list[int]] = []
@@ -148,22 +175,24 @@ class Bins:
         after[0] = -1  # filling a bin adds nothing: 2 * (n[0] + 1) is not paid
         # from gap g: (n[g]-1)^2 - n[g]^2 + (n[g-size]+1)^2 - n[g-size]^2 = 2 (n[g-size] - n[g] + 1)
         cost = 2 * (after - n[size:] + 1)
-        cost[0] -= 1
+        cost[0] += 1
         cost[n[size:] == 0] = np.iinfo(np.int64).max
-        cost[c - size] = 2 * after[c - size] + 1  # a new bin
+        # a new bin; from ``least`` bins on one more is waste, so that only what fits nowhere opens one
+        worst = np.iinfo(np.int64).max
+        if len(self.members) < self.least or (c > size and cost[: c - size].min() == worst):
+            cost[c - size] = 2 * after[c - size] + 1
         return size + int(np.argmin(cost))
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece."""
-    bins = Bins(capacity)
+    bins = Bins(capacity, -(-int(lengths.sum()) // capacity))
     order = np.argsort(-lengths, kind="stable")
     for i in order.tolist():
         size = int(lengths[i])
         bins.put(i, size, bins.best_gap(size))
-    members = refill(bins.members, lengths, capacity)
     bin_of, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    for b, held in enumerate(members):
+    for b, held in enumerate(bins.members):
         at = 0
         for i in held:
             bin_of[i], offset[i] = b, at
@@ -171,30 +200,6 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.
     return bin_of, offset
 
 
-def refill(members: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Take apart bins that have room, and fill anew by best fit; keep that if it takes fewer."""
-    room = [(capacity - int(lengths[m].sum()), b) for b, m in enumerate(members)]
-    loose = [b for gap, b in room if gap > 0]
-    items = sorted((i for b in loose for i in members[b]), key=lambda i: (-int(lengths[i]), i))
-    gaps: list[tuple[int, int]] = []
-    packed: list[list[int]] = []
-    for i in items:
-        size = int(lengths[i])
-        at = bisect_left(gaps, (size, -1))
-        if at < len(gaps):
-            gap, b = gaps.pop(at)
-        else:
-            gap, b = capacity, len(packed)
-            packed.append([])
-        packed[b].append(i)
-        if gap > size:
-            insort(gaps, (gap - size, b))
-    if len(packed) >= len(loose):
-        return members
-    gone = set(loose)
-    return [m for b, m in enumerate(members) if b not in gone] + packed
-
-
 def pack_documents(
     docs: DataFrame,
     id_col: str = "doc_id",

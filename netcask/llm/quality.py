@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` bytes, covering all of its text. A passage is encoded by the square roots of the shares of its
-character classes and hashed class pairs, then ``h = tanh(x W + c)``. Gated attention weighs passages,
+character classes and hashed class pairs, in 255ths, then ``h = tanh(x W + c)``. Gated attention weighs passages,
 ``a = softmax(w . (tanh(h V) * sigmoid(h U)))``, and the document's score is ``sigmoid(o . sum(a h) + b)``. Only documents have labels;
 attention weights are learned from them, by Adam on the cross entropy.
 
@@ -53,18 +53,24 @@ _PAIR = CLASSES + (np.arange(CLASSES * CLASSES, dtype=np.uint64) * np.uint64(0x9
 
 
 def passages(text: bytes) -> Iterator[np.ndarray]:
-    """Encodings of all passages, ``_STRIDE`` at a time."""
+    """Encodings of all passages in 255ths, ``_STRIDE`` at a time; training and scoring see the same."""
     if not text:
-        yield np.zeros((1, WIDTH), np.float32)
+        yield np.zeros((1, WIDTH), np.uint8)
     for at in range(0, len(text), PASSAGE * _STRIDE):
         c = _FOLD[np.frombuffer(text, np.uint8, min(PASSAGE * _STRIDE, len(text) - at), at)]
         n = -(-len(c) // PASSAGE)
         base = np.arange(len(c)) // PASSAGE * WIDTH
         counts = np.bincount(base + c, minlength=n * WIDTH)
-        counts += np.bincount(base[1:] + _PAIR[c[:-1] * CLASSES + c[1:]], minlength=n * WIDTH)
+        pairs = base[1:] + _PAIR[c[:-1] * CLASSES + c[1:]]
+        counts += np.bincount(np.delete(pairs, np.s_[PASSAGE - 1 :: PASSAGE]), minlength=n * WIDTH)  # not those across passages
         size = np.full((n, 1), PASSAGE)
         size[-1] = len(c) - (n - 1) * PASSAGE
-        yield np.sqrt(counts.reshape(n, WIDTH) / size).astype(np.float32)
+        yield np.rint(255 * np.sqrt(counts.reshape(n, WIDTH) / size)).clip(0, 255).astype(np.uint8)
+
+
+def inputs(codes: np.ndarray) -> np.ndarray:
+    """The model's inputs, from 0 to 1."""
+    return codes.astype(np.float32) / np.float32(255)
 
 
 def sigmoid(x):
@@ -93,7 +99,7 @@ class Attention:
         return h, (np.tanh(h @ p["V"]) * sigmoid(h @ p["U"])) @ p["w"]
 
     def score(self, text: bytes) -> float:
-        h, e = (np.concatenate(x) for x in zip(*map(self.encode, passages(text)), strict=True))
+        h, e = (np.concatenate(x) for x in zip(*(self.encode(inputs(x)) for x in passages(text)), strict=True))
         a = np.exp(e - e.max())
         return float(sigmoid((a / a.sum()) @ h @ self.p["o"] + self.p["b"][0]))
 
@@ -160,8 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             bags = []
             for text in b.column(2):
-                x = np.concatenate(list(passages((text.as_py() or "").encode())))
-                bags.append((x * 255).round().clip(0, 255).astype(np.uint8).tobytes())
+                bags.append(b"".join(x.tobytes() for x in passages((text.as_py() or "").encode())))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
     # ``train_docs`` rows at most are broadcast; a repeated id gives one text
@@ -180,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(rows) == 0 or y.min() == y.max():
         return Constant(float((y.sum() + 1) / (len(y) + 2)))
     model = Attention()
-    model.fit([np.frombuffer(r["bag"], np.uint8).reshape(-1, WIDTH).astype(np.float32) / 255 for r in rows], y)
+    model.fit([inputs(np.frombuffer(r["bag"], np.uint8).reshape(-1, WIDTH)) for r in rows], y)
     return model
 
 

@@ -2,18 +2,18 @@
 
 1. One pass over the texts keeps a slim table (id, size, CRC, SHA-256); groups and their bytes come from it by a
    ``groupBy`` that combines before its shuffle, so a group that holds a third of all rows is one row here.
-2. Groups are dealt by digest to tasks. Each task starts with a partial partition (x, 0, ..., 0) for every group,
+2. Groups are dealt by digest to tasks of about ``BLOCK`` groups. Each task starts with a partial partition (x, 0, ..., 0) for every group,
    in blocks of at most ``BLOCK`` groups, and repeatedly combines the two of largest spread, the largest part of one with the
    smallest of the other. What is left is one tuple of ``n`` sums for a task.
-3. The driver combines these tuples, one for each task (their number is the number of shuffle partitions, not of
-   rows), in the same way. That gives the shard of every part of every tuple.
+3. Tuples are combined in the same way, ``FAN`` to one, in a tree of as many levels as there are powers of ``FAN`` in the
+   number of tasks. Going down the tree again gives the shard of every part of every tuple. The driver holds none of it.
 4. Slots: every row gets a bucket by its place in the job, written with it, so that even equal rows spread. Rows are
    counted by (bucket, shard), offsets are running sums of those few counts, and row numbers are taken within a
    bucket and shard. No task ever sees a whole shard.
 
 Defined cases: a null text counts as an empty one (size 8, CRC 0) and is of the same group; repeated rows are rows; an empty table
-gives an empty result; other columns are ignored. A group larger than the mean shard makes its shard larger, as groups
-are indivisible.
+gives an empty result; other columns are ignored. A group as large as the mean of the shards that are left has a shard of its own (there are
+fewer than ``n`` of these), and the others share the rest.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-BLOCK = 65_536
+BLOCK, FAN = 65_536, 256
 
 
 class Forest:
@@ -90,23 +90,46 @@ def differ_sizes(sizes: np.ndarray, n: int) -> np.ndarray:
     return forest.resolve(difference(blocks, forest)[1]) if blocks else np.empty(0, np.int64)
 
 
-def merge_sums(tuples: dict[int, np.ndarray], n: int) -> dict[tuple[int, int], int]:
-    """(task, its part) to shard, by differencing the tasks' tuples of sums."""
-    names = [(t, j) for t in sorted(tuples) for j in range(n)]
-    leaf = {x: i for i, x in enumerate(names)}
-    forest = Forest(len(names))
+def merge_sums(sums: np.ndarray) -> np.ndarray:
+    """By differencing tuples of sums, a row each: where each of their parts goes."""
+    forest = Forest(sums.size)
     start = []
-    for t in sorted(tuples):
-        order = np.argsort(-tuples[t], kind="stable")
-        start.append((tuples[t][order], [leaf[t, int(j)] for j in order]))
-    of = forest.resolve(difference(start, forest)[1]) if start else []
-    return {x: int(of[i]) for x, i in leaf.items()}
+    for i, s in enumerate(sums):
+        order = np.argsort(-s, kind="stable")
+        start.append((s[order], (i * sums.shape[1] + order).tolist()))
+    return forest.resolve(difference(start, forest)[1]).reshape(sums.shape)
+
+
+def merge_tree(parts: DataFrame, n: int, tasks: int, fan: int = FAN) -> DataFrame:
+    """(task, part, shard) from (task, part, bytes): tuples of ``fan`` tasks become one, and so on until one is left."""
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        task, part, size = (table.column(c).to_numpy() for c in ("task", "part", "bytes"))
+        names, row = np.unique(task, return_inverse=True)
+        sums = np.zeros((len(names), n), np.int64)
+        sums[row, part] = size
+        to = merge_sums(sums)[row, part]
+        return pa.table({"task": table.column("task"), "part": table.column("part"), "up": pa.array(np.full(len(task), key[0].as_py(), np.int64)), "shard": pa.array(to.astype(np.int32)), "bytes": table.column("bytes")})
+
+    schema = "task long, part int, up long, shard int, bytes long"
+    levels = []
+    while True:
+        level = materialize(parts.withColumn("up", F.expr(f"task div {fan}")).groupBy("up").applyInArrow(merge, schema), "shard-level")
+        levels.append(level)
+        tasks = -(-tasks // fan)
+        if tasks <= 1:
+            break
+        parts = level.groupBy(F.col("up").alias("task"), F.col("shard").alias("part")).agg(F.sum("bytes").alias("bytes"))
+    plan = levels.pop().select("task", "part", "shard")
+    while levels:
+        above = plan.select(F.col("task").alias("up"), F.col("part").alias("mid"), F.col("shard").alias("top"))
+        plan = levels.pop().withColumnRenamed("shard", "mid").join(above, ["up", "mid"]).select("task", "part", F.col("top").alias("shard"))
+    return plan
 
 
 def shard_documents(docs: DataFrame, n: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, size (UTF-8 bytes + 8), text_crc32, law ``bytes``, shard, slot (gapless from 0), grown_shard (null)."""
     spark = docs.sparkSession
-    tasks = shuffle_partitions(spark)
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     slim = materialize(
         docs.select(
@@ -117,24 +140,32 @@ def shard_documents(docs: DataFrame, n: int = 24, id_col: str = "doc_id", text_c
         ),
         "shard-rows",
     )
-    groups = slim.groupBy("digest").agg(F.sum("size").alias("bytes")).withColumn("task", F.pmod(F.xxhash64("digest"), F.lit(tasks)).cast("int"))
+    groups = materialize(slim.groupBy("digest").agg(F.sum("size").alias("bytes")), "shard-sizes")
+    count, left = groups.agg(F.count("*"), F.sum("bytes")).first()
+    alone: list[bytes] = []
+    for r in groups.orderBy(F.desc("bytes"), "digest").limit(n - 1).collect():  # n - 1 rows
+        if r["bytes"] * (n - len(alone)) < left:
+            break
+        alone.append(bytes(r["digest"]))
+        left -= r["bytes"]
+    rest = n - len(alone)
+    tasks = max(shuffle_partitions(spark), -(-count // BLOCK))
+    groups = groups.where(~F.col("digest").isin(alone)).withColumn("task", F.pmod(F.xxhash64("digest"), F.lit(tasks)))
 
     def deal(table: pa.Table) -> pa.Table:
         sizes, digests = table.column("bytes").to_numpy(), table.column("digest").to_pylist()
         order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], digests[i]))  # a rerun deals alike
         part = np.empty(len(sizes), np.int32)
-        part[order] = differ_sizes(sizes[order], n)
+        part[order] = differ_sizes(sizes[order], rest)
         return pa.table({"digest": table.column("digest"), "bytes": table.column("bytes"), "task": table.column("task"), "part": part})
 
-    dealt = materialize(groups.groupBy("task").applyInArrow(deal, "digest binary, bytes long, task int, part int"), "shard-groups")
-    tuples: dict[int, np.ndarray] = {}
-    for r in dealt.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")).collect():  # tasks x n rows
-        tuples.setdefault(r["task"], np.zeros(n, np.int64))[r["part"]] = r["bytes"]
-    shard_of = [(t, p, s) for (t, p), s in merge_sums(tuples, n).items()]
-    plan = spark.createDataFrame(shard_of, "task int, part int, shard int")
-    where = dealt.join(F.broadcast(plan), ["task", "part"]).select("digest", "shard")  # tasks x n rows, as said above
+    dealt = materialize(groups.groupBy("task").applyInArrow(deal, "digest binary, bytes long, task long, part int"), "shard-groups")
+    plan = merge_tree(dealt.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")), rest, tasks)
+    where = dealt.join(plan, ["task", "part"]).select("digest", "shard")
+    if alone:
+        where = where.unionByName(spark.createDataFrame([(bytearray(d), rest + k) for k, d in enumerate(alone)], "digest binary, shard int"))
     placed = materialize(
-        slim.join(where, "digest").select("id", "size", "crc", "shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)).cast("int").alias("bucket")),
+        slim.join(where, "digest").select("id", "size", "crc", "shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(tasks)).alias("bucket")),
         "shard-placed",
     )
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
@@ -143,7 +174,7 @@ def shard_documents(docs: DataFrame, n: int = 24, id_col: str = "doc_id", text_c
     inside = Window.partitionBy("shard", "bucket").orderBy("id", "size", "crc")
     return (
         placed.withColumn("row", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), ["shard", "bucket"])
+        .join(offsets, ["shard", "bucket"])
         .select(
             F.col("id").alias(id_col),
             "size",

@@ -7,8 +7,9 @@ set in over half of the shingles' XXH64 values (seed 42).
 Links: fingerprints that differ in at most ``RADIUS`` bits.
 
 1. Equal fingerprints are one row from here on (``groupBy`` with a combine before its shuffle): copies, however many, cost nothing.
-2. Candidates: the 64 bits are cut into ``RADIUS + 2`` blocks. With at most ``RADIUS`` differing bits, at least two
-   blocks are equal, so a fingerprint is put under every pair of blocks: 15 keys of about 21 bits. No link is missed.
+2. Candidates: the 64 bits are cut into ``RADIUS + s`` blocks. With at most ``RADIUS`` differing bits, at least ``s``
+   blocks are equal, so a fingerprint is put under every set of ``s`` blocks. No link is missed. ``s`` is 2 (15 keys of 21
+   bits) or, for more fingerprints, 3 (35 keys of 27 bits), 4 (70 of 32) or 5 (126 of 36), so that buckets keep their size.
 3. Comparison: each bucket's fingerprints are stored as 64 vertical bit planes, 64 fingerprints to a word. For every
    fingerprint against every word of its bucket, planes are XORed with the fingerprint's bit and added by bitwise
    carry-save counters; after every few planes the words in which all lanes have passed the radius are abandoned.
@@ -24,7 +25,9 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from .components import components
 SHINGLE, RADIUS, SEED = 4, 3 + 1, 42
 #: At most so many fingerprints of a bucket meet in one task, twice.
 CHUNK = 1024
+#: Fingerprints of a bucket on average, at most, before keys grow longer.
+FILL = 32
 #: Pairs (fingerprint, word of 64 others) that are compared at a time.
 STEP = 1 << 17
 _STRIDE = 1 << 19
@@ -75,11 +80,16 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     return docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of every pair of ``radius + 2`` blocks of the 64 bits."""
-    cuts = np.linspace(0, 64, radius + 3).round().astype(int)
+def block_masks(radius: int, spare: int = 2) -> list[int]:
+    """Masks of every set of ``spare`` of the ``radius + spare`` blocks of the 64 bits."""
+    cuts = np.linspace(0, 64, radius + spare + 1).round().astype(int)
     blocks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [x | y for x, y in combinations(blocks, 2)]
+    return [reduce(or_, some) for some in combinations(blocks, spare)]
+
+
+def spare_blocks(n: int, radius: int) -> int:
+    """Blocks to a key, so that a bucket of evenly spread fingerprints has ``FILL`` or fewer, if that can be."""
+    return next((s for s in range(2, 5) if n >> 64 * s // (radius + s) <= FILL), 5)
 
 
 def sliced(fps: np.ndarray, word_of: np.ndarray, lane_of: np.ndarray, words: int) -> np.ndarray:
@@ -182,9 +192,10 @@ def stars(fps: np.ndarray, bucket: np.ndarray, radius: int = RADIUS) -> tuple[np
     return fps[leaf], fps[root[leaf]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, spare: int | None = None) -> DataFrame:
     """Star edges (u, v) over distinct fingerprints ``fp`` that span every link."""
-    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(block_masks(radius))]
+    spare = spare or spare_blocks(distinct.count(), radius)
+    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for t, m in enumerate(block_masks(radius, spare))]
     put = distinct.select("fp", F.explode(F.array(*keys)).alias("b")).select("fp", "b.t", "b.k")
     sizes = materialize(put.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
     parts = F.ceil(F.col("n") / chunk).cast("int")

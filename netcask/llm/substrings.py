@@ -9,7 +9,8 @@ first, and a class of one suffix is dropped at once. The digits are chosen so th
    class share a core of ``SPAN - BLOCK + 1`` bytes. First pass: digests of cores, about one for 50 bytes of text, are sorted; classes
    whose core is met once hold no repeated window and are dropped.
 2. *Contexts.* For the rest, the second digit is a 128-bit digest of the whole stretch that a class's windows cover.
-   Classes equal in it are equal in every window. One of each set is left standing for all.
+   Classes equal in it are equal in every window. One of each set is left standing for all. Contexts of one core go to
+   different tasks: that a core has others is seen from its count, which is larger than the context's.
 3. *Bytes.* Where one core has several contexts, one copy of each context is sent, and the windows in it are sorted by
    8-byte digits (``equal_windows``), singles dropped after each digit. What is left are the repeated windows, returned
    as a bit mask of at most ``BLOCK`` bits. Cores with over ``GROUP`` contexts never meet in one task: their windows are
@@ -28,7 +29,6 @@ length are taken whole, their anchors in strides of bounded memory.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, shuffle_partitions, written_path
+from .common import bucketed_table, free_name, materialize, shuffle_partitions
 
 SPAN, GRAM, BLOCK = 200, 40, 54
 #: Contexts of one core that meet in a task, at most.
@@ -152,7 +152,8 @@ class Messages:
     def __init__(self, table: pa.Table):
         kind = table.column("kind").to_numpy()
         h1, h2, value = (table.column(c).to_numpy() for c in ("h1", "h2", "value"))
-        self.cores = set(h1[kind == CORE].view(np.uint64).tolist())
+        at = kind == CORE
+        self.cores = dict(zip(h1[at].view(np.uint64).tolist(), value[at].tolist(), strict=True))
         of = {k: np.flatnonzero(kind == k) for k in (SHIP, EQUAL, MASK)}
         self.ship = {(x, y): v for x, y, v in zip(h1[of[SHIP]].tolist(), h2[of[SHIP]].tolist(), value[of[SHIP]].tolist(), strict=True)}
         self.equal = set(zip(h1[of[EQUAL]].tolist(), h2[of[EQUAL]].tolist(), strict=True))
@@ -165,9 +166,9 @@ class Messages:
 
 def context_rows(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
     told = Messages(messages)
-    rows = [(signed(core), *c.context_digest(k)) for _, c in bucket_texts(table) for k, core in told.classes(c)]
-    u, n = counted(np.array(rows, [("core", "<i8"), ("s1", "<i8"), ("s2", "<i8")]))
-    return pa.table({"core": u["core"], "s1": u["s1"], "s2": u["s2"], "b": np.full(len(u), key[0].as_py(), np.int32), "n": n})
+    rows = [(signed(core), *c.context_digest(k), told.cores[core]) for _, c in bucket_texts(table) for k, core in told.classes(c)]
+    u, n = counted(np.array(rows, [("core", "<i8"), ("s1", "<i8"), ("s2", "<i8"), ("total", "<i8")]))
+    return pa.table({"core": u["core"], "s1": u["s1"], "s2": u["s2"], "total": u["total"], "b": np.full(len(u), key[0].as_py(), np.int32), "n": n})
 
 
 def shipped_rows(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
@@ -252,14 +253,14 @@ def message_batch(b: np.ndarray, kind: int, h1: np.ndarray, h2: np.ndarray, valu
 
 
 def repeated_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, b, n) sorted by h. Tells each bucket which of its cores are met again anywhere. A core has a row for each bucket at most."""
+    """Rows (h, b, n) sorted by h. Tells each bucket which of its cores are met again anywhere, and how often. A core has a row for each bucket at most."""
     held = None
 
     def tell(rows: np.ndarray) -> pa.RecordBatch:
         at = edges(rows["h"])
-        again = np.repeat(np.add.reduceat(rows["n"], at) > 1, np.diff(np.append(at, len(rows)))) if len(rows) else np.empty(0, bool)
-        r = rows[again]
-        return message_batch(r["b"], CORE, r["h"], np.zeros(len(r)), np.zeros(len(r)))
+        total = np.repeat(np.add.reduceat(rows["n"], at), np.diff(np.append(at, len(rows)))) if len(rows) else np.empty(0, np.int64)
+        r = rows[total > 1]
+        return message_batch(r["b"], CORE, r["h"], np.zeros(len(r)), total[total > 1])
 
     for batch in batches:
         if not batch.num_rows:
@@ -274,23 +275,19 @@ def repeated_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def equal_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (core, s1, s2, b, n) sorted. EQUAL to every bucket of a context met twice; SHIP to one bucket of each context whose core has several."""
-    held, prior = None, None  # rows of the last context so far; the core before it
+    """Rows (core, s1, s2, b, total, n) sorted by context; rows of one context are in one task, contexts of a core need not be.
 
-    def tell(rows: np.ndarray, before: int | None, after: int | None) -> Iterator[pa.RecordBatch]:
+    EQUAL to every bucket of a context met twice; SHIP to one bucket of each context whose core is met in others too: more often than the context is."""
+    held = None
+
+    def tell(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = edges(rows["core"], rows["s1"], rows["s2"])
-        sizes = np.diff(np.append(at, len(rows)))
-        multi = np.add.reduceat(rows["n"], at) > 1
-        r = rows[np.repeat(multi, sizes)]
+        times = np.add.reduceat(rows["n"], at)
+        r = rows[np.repeat(times > 1, np.diff(np.append(at, len(rows))))]
         yield message_batch(r["b"], EQUAL, r["s1"], r["s2"], np.zeros(len(r)))
-        core = rows["core"][at]
-        several = np.zeros(len(at), bool)
-        several[1:] |= core[1:] == core[:-1]
-        several[:-1] |= core[1:] == core[:-1]
-        several[0] |= before is not None and before == core[0]
-        several[-1] |= after is not None and after == core[-1]
+        several = rows["total"][at] > times
         r = rows[at[several]]
-        yield message_batch(r["b"], SHIP, r["s1"], r["s2"], multi[several])
+        yield message_batch(r["b"], SHIP, r["s1"], r["s2"], times[several] > 1)
 
     for batch in batches:
         if not batch.num_rows:
@@ -299,11 +296,10 @@ def equal_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         rows = rows if held is None else np.concatenate([held, rows])
         cut = int(edges(rows["core"], rows["s1"], rows["s2"])[-1])
         if cut:
-            yield from tell(rows[:cut], prior, int(rows["core"][cut]))
-            prior = int(rows["core"][cut - 1])
+            yield from tell(rows[:cut])
         held = rows[cut:]
     if held is not None:
-        yield from tell(held, prior, None)
+        yield from tell(held)
 
 
 def laid_out(lead: list[int], contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -395,15 +391,14 @@ def solve_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, found). rows: the columns of ``docs`` but the text, with tid (SHA-256 of the text) and n_bytes.
+    """(rows, found). rows: the columns of ``docs`` but the text as the struct ``row``, with tid (SHA-256 of the text) and n_bytes.
     found: for each tid that loses bytes: n_removed, n_spans, kept_sha256, and its removed runs as starts, ends."""
     spark = docs.sparkSession
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    keyed = docs.select("*", data.alias("_nc_data"), F.unhex(F.sha2(data, 256)).alias("_nc_tid"))
-    rows = materialize(
-        keyed.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col("_nc_tid").alias("tid"), F.octet_length("_nc_data").cast("long").alias("n_bytes")),
-        "substring-rows",
-    )
+    held, key = free_name(docs, "data"), free_name(docs, "tid")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], data.alias(held), F.unhex(F.sha2(data, 256)).alias(key))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = materialize(keyed.select(F.struct(*kept).alias("row") if kept else F.lit(None).cast("int").alias("row"), F.col(key).alias("tid"), F.octet_length(held).cast("long").alias("n_bytes")), "substring-rows")
     buckets = max(shuffle_partitions(spark), -(-(rows.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,19 +413,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
             kept = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(anchors, pa.binary())], names=["tid", "text", "anchors"])
 
-    long_ones = keyed.where(F.octet_length("_nc_data") >= SPAN).select(F.col("_nc_tid").alias("tid"), F.col("_nc_data").alias("text"))
+    long_ones = keyed.where(F.octet_length(held) >= SPAN).select(F.col(key).alias("tid"), F.col(held).alias("text"))
     texts = long_ones.mapInArrow(prepare, "tid binary, text binary, anchors binary").withColumn("b", F.pmod(F.xxhash64("tid"), F.lit(buckets)).cast("int"))
-    name = f"nc_texts_{uuid.uuid4().hex}"
-    (texts.repartition(buckets, "b").write.bucketBy(buckets, "b").sortBy("b").option("path", written_path(spark, "substring-texts")).saveAsTable(name))
-    table = spark.table(name)
+    table = bucketed_table(texts, "substring-texts", buckets, "b")
 
     def told(f, messages: DataFrame, schema: str) -> DataFrame:
         return table.groupBy("b").cogroup(messages.groupBy("b")).applyInArrow(f, schema)
 
     cores = table.groupBy("b").applyInArrow(core_rows, "h long, b int, n long")
     core_messages = materialize(cores.repartition("h").sortWithinPartitions("h").mapInArrow(repeated_cores, MESSAGE), "substring-cores")
-    contexts = told(context_rows, core_messages, "core long, s1 long, s2 long, b int, n long")
-    context_messages = materialize(contexts.repartition("core").sortWithinPartitions("core", "s1", "s2").mapInArrow(equal_contexts, MESSAGE), "substring-contexts")
+    contexts = told(context_rows, core_messages, "core long, s1 long, s2 long, total long, b int, n long")
+    # dealt by context, not by core, which a third of all texts may share
+    context_messages = materialize(contexts.repartition("core", "s1").sortWithinPartitions("core", "s1", "s2").mapInArrow(equal_contexts, MESSAGE), "substring-contexts")
     both = core_messages.unionByName(context_messages.where(F.col("kind") == SHIP))
     shipped = told(shipped_rows, both, "core long, s1 long, s2 long, b int, multi long, lead int, context binary")
     solved = materialize(shipped.repartition("core").sortWithinPartitions("core").mapInArrow(solve_contexts, MESSAGE + ", core long, w1 long, w2 long"), "substring-solved")
@@ -458,15 +452,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
         F.array(F.lit(0).cast("long")).alias("starts"),
         F.array("size").alias("ends"),
     )
-    found = whole.unionByName(found.join(whole.select("tid"), "tid", "left_anti"))
+    # both sides grow with the input: never broadcast
+    found = whole.unionByName(found.join(whole.select("tid").hint("merge"), "tid", "left_anti"))
     return rows, materialize(found, "substring-removed")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), starts and ends of the removed runs."""
     rows, found = repeated_spans(docs.select(id_col, text_col), text_col)
-    return rows.join(found, "tid", "left").select(
-        F.col(id_col),
+    return rows.join(found.hint("merge"), "tid", "left").select(
+        F.col(f"row.`{id_col}`").alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
@@ -500,6 +495,6 @@ def drop_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     key, a, z = (free_name(docs, x) for x in ("tid", "starts", "ends"))
     keyed = docs.withColumn(key, F.unhex(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)))
-    joined = keyed.join(found.select(F.col("tid").alias(key), F.col("starts").alias(a), F.col("ends").alias(z)), key, "left")
+    joined = keyed.join(found.select(F.col("tid").alias(key), F.col("starts").alias(a), F.col("ends").alias(z)).hint("merge"), key, "left")
     new = F.when(F.col(a).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(a), F.col(z)))
     return joined.select(*[(new.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
