@@ -1,22 +1,30 @@
-"""Exact BM25 top-k by block-max pruning over inverted indexes in shards, merged by global statistics.
+"""Exact BM25 top-k by block-max WAND over inverted indexes in shards, merged by global statistics.
 
-1. Rows are dealt to shards of about ``SHARD_BYTES`` of text by a hash of id and text. A shard's index: terms in order of their
-   64-bit digests; for each, postings cut at blocks of ``BLOCK`` documents (documents that share their commonest word stand together),
-   and for each block the term's greatest impact in it.
+1. A shard is a run of about ``SHARD_BYTES`` of text of one input split, indexed where it is read: texts aren't shuffled. Its index has
+   the terms in order of their 64-bit digests; for each, its postings, cut at blocks of ``BLOCK`` documents (documents that share
+   their commonest word stand together). Equal texts of a shard are one document with several ids.
 2. Document frequencies are summed over shards, the number and mean length of documents likewise: every shard scores with the same numbers.
-3. Queries' terms get their weights by a join with these frequencies and go, in blocks, to each shard. For a query the
-   greatest impacts give a bound for every block of documents; blocks are scored in falling order of their bounds until
-   the k-th best score found exceeds the next bound. No document that could be among the k best is skipped.
-4. Each shard gives its k best, and the k best of those are kept for each query.
-
-The query set is stated: rows whose id is divisible by ``EVERY``, their whole texts, against all rows in blocks. Equal scores rank by id.
+3. Queries' terms get their weights by a join with these frequencies, equal texts once. A query is first run in one shard; the k-th best
+   score found there is a threshold to begin with in all others.
+4. In a shard, term bounds (a term's weight by its greatest impact) and block bounds (by the greatest impact in the block) prune
+   as in block-max WAND, for all documents of the shard at once. A document can be a pivot only if the bounds of its terms reach the threshold:
+   the terms with most postings for their bound, which together stay below it, make none by themselves, so their cursors aren't moved until there is a
+   candidate. Blocks whose bounds don't reach the threshold are skipped. The postings of the other terms in the blocks that are left are
+   added up; documents that with the block bounds of the rest still reach the threshold are candidates. Only these are scored in
+   full, best bound first, in steps, with the threshold raised after each, until no bound reaches it.
+5. Each shard gives its k best, and the k best of those are kept for each query.
+
+Scores are compared as rounded to six digits; a bound prunes only if it is lower than the threshold by more than that. Equal scores rank by id.
+The query set is stated: rows whose id is divisible by ``EVERY``, their whole texts, against all rows. Ids are whole numbers.
 
 Defined cases: null and empty texts are in the index but have no terms, so they are never found and find nothing; null ids aren't
-queries, but are found; rows equal in id and text are one; an empty table gives an empty result; other columns are ignored.
+queries, but are found, after all others of their score; repeated rows count and are found as often as they are there, but
+ask once; a text larger than a shard is a shard; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K, EVERY, K1, B = 10, 20, 1.2, 0.75
-BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 32 << 20, 500, 8
+BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 32 << 20, 500, 32
+#: More than rounding moves a score.
+SLACK = 2e-6
 
 
 def terms(text: str | None) -> Counter:
@@ -52,39 +62,65 @@ def load(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
+class Builder:
+    """Takes rows, keeps their digested terms, gives the index of a shard."""
+
+    def __init__(self):
+        self.made: list[tuple[str, np.ndarray, np.ndarray]] = []  # commonest word, terms, times
+        self.ids: list[list[int | None]] = []
+        self.known: dict[bytes, int] = {}
+        self.rows = self.words = self.size = 0
+
+    def add(self, id_: int | None, text: str) -> None:
+        raw = text.encode("utf-8", "surrogatepass")
+        at = self.known.setdefault(hashlib.sha256(raw).digest(), len(self.made))
+        self.size += len(raw)
+        self.rows += 1
+        if at == len(self.made):
+            bag = terms(text)
+            self.made.append((max(bag, key=lambda w: (bag[w], w)) if bag else "", digests(bag), np.fromiter(bag.values(), np.int32, len(bag))))
+            self.ids.append([])
+        self.ids[at].append(id_)
+        self.words += int(self.made[at][2].sum())
+
+    def index(self) -> dict[str, np.ndarray]:
+        """Postings sorted by (term, document)."""
+        order = sorted(range(len(self.made)), key=lambda i: (self.made[i][0], i))
+        size = [len(self.made[i][1]) for i in order]
+        doc = np.repeat(np.arange(len(order), dtype=np.int32), size)
+        term = np.concatenate([self.made[i][1] for i in order]) if order else np.empty(0, np.uint64)
+        tf = np.concatenate([self.made[i][2] for i in order]) if order else np.empty(0, np.int32)
+        by = np.argsort(term, kind="stable")
+        term, doc, tf = term[by], doc[by], tf[by]
+        first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
+        ids = [x for i in order for x in self.ids[i]]
+        return {
+            "ids": np.array([-1 if x is None else x for x in ids], np.int64),
+            "null": np.array([x is None for x in ids], bool),
+            "copies": np.array([len(self.ids[i]) for i in order], np.int64),
+            "length": np.array([int(self.made[i][2].sum()) for i in order], np.int64),
+            "term": term[first],
+            "first": np.append(first, len(term)).astype(np.int64),
+            "doc": doc,
+            "tf": tf,
+        }
+
+
 def build(ids: list[int | None], texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Postings of a shard, sorted by (term, document)."""
-    made = []
-    for t in texts:  # words are dropped as soon as they are digested
-        bag = terms(t)
-        made.append((max(bag, key=lambda w: (bag[w], w)) if bag else "", digests(bag), np.fromiter(bag.values(), np.int32, len(bag))))
-    order = sorted(range(len(ids)), key=lambda i: (made[i][0], i))
-    size = [len(made[i][1]) for i in order]
-    doc = np.repeat(np.arange(len(order), dtype=np.int32), size)
-    term = np.concatenate([made[i][1] for i in order]) if order else np.empty(0, np.uint64)
-    tf = np.concatenate([made[i][2] for i in order]) if order else np.empty(0, np.int32)
-    length = np.array([int(made[i][2].sum()) for i in order], np.int64)
-    del made
-    by = np.lexsort((doc, term))
-    term, doc, tf = term[by], doc[by], tf[by]
-    first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
-    return {
-        "ids": np.array([-1 if ids[i] is None else ids[i] for i in order], np.int64),
-        "null": np.array([ids[i] is None for i in order], bool),
-        "length": length,
-        "term": term[first],
-        "first": np.append(first, len(term)).astype(np.int64),
-        "doc": doc,
-        "tf": tf,
-    }
+    made = Builder()
+    for i, t in zip(ids, texts, strict=True):
+        made.add(i, t or "")
+    return made.index()
 
 
 class Shard:
     def __init__(self, index: dict[str, np.ndarray], mean: float):
         self.ids, self.null, self.term, self.first, self.doc = (index[k] for k in ("ids", "null", "term", "first", "doc"))
+        self.row = np.concatenate(([0], np.cumsum(index["copies"])))
+        self.docs = len(index["length"])
         norm = K1 * (1 - B + B * index["length"] / max(mean, 1e-9))
         self.impact = index["tf"] * (K1 + 1) / (index["tf"] + norm[self.doc])
-        self.blocks = -(-len(self.ids) // BLOCK)
+        self.blocks = -(-self.docs // BLOCK)
         new = np.zeros(len(self.doc) + 1, bool)
         new[self.first] = True
         block = self.doc // BLOCK
@@ -95,8 +131,15 @@ class Shard:
         self.cell_block = block[self.cell]
         self.cell_most = np.maximum.reduceat(self.impact, self.cell) if len(self.cell) else np.empty(0)
         self.term_cell = np.searchsorted(self.cell, self.first)
+        self.term_most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(self.term) else np.empty(0)
+
+    def postings(self, cells: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and gains of the postings in these cells."""
+        at = spread(self.cell[cells], self.cell_end[cells])
+        return self.doc[at], np.repeat(weight, self.cell_end[cells] - self.cell[cells]) * self.impact[at]
 
-    def top(self, term: np.ndarray, weight: np.ndarray, k: int) -> list[tuple[int | None, float]]:
+    def top(self, term: np.ndarray, weight: np.ndarray, k: int, threshold: float = 0.0) -> list[tuple[int | None, float]]:
+        """The best (id, score), at most ``k``, of those that reach ``threshold``. ``term`` is in order, so that equal documents add up alike in every shard."""
         at = np.searchsorted(self.term, term)
         hit = np.flatnonzero(at < len(self.term))
         hit = hit[self.term[at[hit]] == term[hit]]
@@ -107,28 +150,45 @@ class Shard:
         cells = spread(a, z)
         of = np.repeat(weight, z - a)
         block = self.cell_block[cells]
-        bound = np.bincount(block, of * self.cell_most[cells], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        by_block = np.argsort(block, kind="stable")  # terms stay in order, so equal documents add up alike
-        start = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
+        most = of * self.cell_most[cells]
+        bound = np.bincount(block, most, self.blocks)
+        live = bound >= threshold - SLACK
+        if not live.any():
+            return []
+        term_bound = weight * self.term_most[at]
+        cheap = np.argsort(term_bound / (self.first[at + 1] - self.first[at]), kind="stable")
+        moves = np.ones(len(at), bool)  # whether a term's postings can make a pivot
+        moves[cheap[: int(np.searchsorted(np.cumsum(term_bound[cheap]), threshold - SLACK))]] = False
+        some = np.flatnonzero(np.repeat(moves, z - a) & live[block])
+        docs, gain = self.postings(cells[some], of[some])
+        part = np.bincount(docs, gain, self.docs)
+        rest = bound - np.bincount(block[some], most[some], self.blocks)
+        able = np.flatnonzero(part)
+        upto = part[able] + rest[able // BLOCK]
+        keep = np.flatnonzero(upto >= threshold - SLACK)
+        keep = keep[np.argsort(-upto[keep], kind="stable")]
+        able, upto = able[keep], upto[keep]
         best: list[tuple[float, bool, int]] = []
-        s, size = 0, STEP
-        while s < self.blocks:
-            some = order[s : s + size]
-            s, size = s + size, 2 * size  # few steps, whether the bounds prune much or little
-            some = some[bound[some] > 0]
-            if not len(some) or (len(best) == k and bound[some[0]] * (1 + 1e-9) < -best[-1][0]):
-                break
-            pick = by_block[spread(start[some], start[some + 1])]
-            c = cells[pick]
-            posts = spread(self.cell[c], self.cell_end[c])
-            docs = self.doc[posts]
-            gain = np.repeat(of[pick], self.cell_end[c] - self.cell[c]) * self.impact[posts]
-            total = np.bincount(docs, gain, len(self.ids))
-            seen = np.flatnonzero(total)
-            score = np.round(total[seen], 6)
-            keep = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
-            best = sorted([*best, *((-float(score[i]), bool(self.null[seen[i]]), int(self.ids[seen[i]])) for i in keep)])[:k]
+        s, size = 0, max(STEP, k)
+        while s < len(able) and upto[s] >= threshold - SLACK:
+            now = able[s : s + size]
+            s, size = s + size, 2 * size
+            wanted, inside = np.zeros(self.docs, bool), np.zeros(self.blocks, bool)
+            wanted[now], inside[now // BLOCK] = True, True
+            full = np.flatnonzero(inside[block])
+            docs, gain = self.postings(cells[full], of[full])
+            mine = wanted[docs]
+            score = np.round(np.bincount(docs[mine], gain[mine], self.docs)[now], 6)
+            if len(now) > k:
+                good = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                now, score = now[good], score[good]
+            for d, x in zip(now.tolist(), score.tolist(), strict=True):
+                if x >= threshold:
+                    rows = range(self.row[d], self.row[d + 1])
+                    best += sorted((-x, bool(self.null[r]), int(self.ids[r])) for r in rows)[:k]
+            best = sorted(best)[:k]
+            if len(best) == k:
+                threshold = max(threshold, -best[-1][0])
         return [(None if null else i, -s) for s, null, i in best]
 
 
@@ -138,97 +198,114 @@ def spread(a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def search(docs: DataFrame, k: int = K, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, rank from 1, doc_id, score) of the k best rows for each query."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by shard; a shard is of bounded size but for copies of one row, of which one is held."""
-        held: dict[tuple, None] = {}
-        shard = None
-
-        def done() -> pa.RecordBatch:
-            made = build([i for i, _ in held], [t for _, t in held])
-            return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([len(held)], pa.int64()), pa.array([int(made["length"].sum())], pa.int64()), pa.array([dump(**made)], pa.binary())], names=["shard", "n", "words", "blob"]
+def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards from (id, text), as they come."""
+
+    def done(made: Builder) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([made.rows], pa.int64()), pa.array([made.words], pa.int64()), pa.array([dump(**made.index())], pa.binary())], names=["n", "words", "blob"]
+        )
+
+    made = Builder()
+    for b in batches:
+        for i, t in zip(b.column(0), b.column(1), strict=True):
+            if made.size >= SHARD_BYTES:
+                yield done(made)
+                made = Builder()
+            made.add(i.as_py(), t.as_py())
+    if made.rows:
+        yield done(made)
+
+
+def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for blob in b.column(0):
+            x = load(blob.as_py())
+            copies = np.concatenate(([0], np.cumsum(x["copies"][x["doc"]])))
+            yield pa.RecordBatch.from_arrays([pa.array(x["term"].view(np.int64)), pa.array(np.diff(copies[x["first"]]))], names=["term", "df"])
+
+
+def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, term, tf) of (key, text)."""
+    for b in batches:
+        for key, text in zip(b.column(0), b.column(1), strict=True):
+            bag = terms(text.as_py())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key.as_py()] * len(bag), pa.binary()), pa.array(digests(bag).view(np.int64)), pa.array(np.fromiter(bag.values(), np.int32, len(bag)))], names=["key", "term", "tf"]
             )
 
-        for b in batches:
-            for s, i, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                if shard is not None and s != shard:
-                    yield done()
-                    held = {}
-                shard = s
-                held[i, t] = None
-        if shard is not None:
-            yield done()
-
-    table = materialize(dealt.select("shard", "id", "text").repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(index, "shard int, n long, words long, blob binary"), "bm25-shards")
-    n, words = table.agg(F.sum("n"), F.sum("words")).first()
-    n, mean = n or 0, (words or 0) / max(n or 0, 1)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0):
-                x = load(blob.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(x["term"].view(np.int64)), pa.array(np.diff(x["first"]))], names=["term", "df"])
-
-    df = table.select("blob").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-
-    def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, keys, term, tf = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bag = terms(t)
-                key = xxhash.xxh64_intdigest(t) >> 1
-                ids += [i] * len(bag)
-                keys += [key] * len(bag)
-                term.append(digests(bag))
-                tf += bag.values()
-            found = np.concatenate(term) if term else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(found.view(np.int64)), pa.array(tf, pa.int32())], names=["id", "key", "term", "tf"])
-
-    asked = rows.where(F.col("id") % every == 0)
-    count = max(1, -(-(asked.count()) // QUERIES))
+
+def query_block(table: pa.Table) -> pa.Table:
+    """The queries of a block: their keys, where each one's terms start, the terms in order, the weights, and thresholds of zero."""
+    place: dict[bytes, int] = {}
+    of = np.fromiter((place.setdefault(x.as_py(), len(place)) for x in table.column("key")), np.int64, table.num_rows)
+    names = list(place)
+    term, weight = table.column("term").to_numpy().view(np.uint64), table.column("weight").to_numpy()
+    order = np.lexsort((term, of))
+    first = np.searchsorted(of[order], np.arange(len(names) + 1))
+    blob = dump(key=np.frombuffer(b"".join(names), np.uint8).reshape(-1, 32), first=first, term=term[order], weight=weight[order], threshold=np.zeros(len(names)))
+    return pa.table({"qblock": table.column("qblock").slice(0, 1), "blob": pa.array([blob], pa.binary())})
+
+
+def search(docs: DataFrame, k: int = K, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, rank from 1, doc_id, score) of the k best rows for each query."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    number = Window.orderBy("at")  # a number a shard
+    made = materialize(rows.mapInArrow(index_rows, "n long, words long, blob binary").withColumn("at", F.monotonically_increasing_id()), "bm25-shards")
+    names = materialize(made.select("at").withColumn("shard", (F.row_number().over(number) - 1).cast("int")), "bm25-names")
+    shards, n, words = made.agg(F.count("*"), F.sum("n"), F.sum("words")).first()
+    n, mean, shards = n or 0, (words or 0) / max(n or 0, 1), max(shards, 1)
+    table = made.join(names, "at").select("shard", "blob")
+    df = made.select("blob").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+
+    asked = rows.where(F.col("id") % every == 0).select("id", F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    texts = materialize(asked.groupBy("key").agg(F.first("text").alias("text")), "bm25-texts")
+    count = max(1, -(-texts.count() // QUERIES))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = (
-        asked.mapInArrow(query_terms, "id long, key long, term long, tf int")
+        texts.mapInArrow(query_terms, "key binary, term long, tf int")
         .join(df, "term")
-        .select("id", "key", "term", (F.col("tf") * idf).alias("weight"), F.pmod(F.xxhash64("id", "key"), F.lit(count)).cast("int").alias("qblock"))
+        .select("key", "term", (F.col("tf") * idf).alias("weight"), F.pmod(F.xxhash64("key"), F.lit(count)).cast("int").alias("qblock"))
     )
-
-    def block(table: pa.Table) -> pa.Table:
-        r = np.empty(table.num_rows, [("id", "<i8"), ("key", "<i8"), ("term", "<i8"), ("weight", "<f8")])
-        for c in r.dtype.names:
-            r[c] = table.column(c).to_numpy()
-        r = np.unique(r)
-        return pa.table({"blob": pa.array([dump(rows=r)], pa.binary())})
-
-    blocks = materialize(weighed.groupBy("qblock").applyInArrow(block, "blob binary"), "bm25-queries")
-    to_all = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "blob")
-    both = table.select("shard", F.lit(0).alias("kind"), "blob").unionByName(to_all).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                s, kind, blob = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
-                if kind == 0:
-                    shard, held = s, Shard(load(blob), mean)
-                elif shard == s:
-                    r = load(blob)["rows"]
-                    first = np.flatnonzero(np.concatenate(([True], (r["id"][1:] != r["id"][:-1]) | (r["key"][1:] != r["key"][:-1]))))
-                    out: list[tuple] = []
-                    for a, z in zip(first, np.append(first[1:], len(r)), strict=True):
-                        found = held.top(r["term"][a:z].view(np.uint64), r["weight"][a:z], k)
-                        out += [(int(r["id"][a]), int(r["key"][a]), d, x) for d, x in found]
-                    cols = list(zip(*out, strict=True)) if out else [()] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "key", "doc", "score"])
-
-    found = both.mapInArrow(ask, "query_id long, key long, doc long, score double")
-    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), F.asc_nulls_last("doc"))  # shards x k rows
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("doc").alias(id_col), "score")
+    blocks = materialize(weighed.groupBy("qblock").applyInArrow(query_block, "qblock int, blob binary"), "bm25-queries")
+
+    def asking(schema: str, answer):
+        """``answer`` (shard, qblock, queries) for every query block that is with a shard."""
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, held = None, None
+            for b in batches:
+                for i in range(b.num_rows):
+                    s, q, blob = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                    if q < 0:
+                        shard, held = s, Shard(load(blob), mean)
+                    elif shard == s:
+                        yield answer(held, q, load(blob))
+
+        def run(given: DataFrame) -> DataFrame:
+            both = table.select("shard", F.lit(-1).alias("qblock"), "blob").unionByName(given)
+            return both.repartitionById(shards, "shard").sortWithinPartitions("shard", "qblock").mapInArrow(ask, schema)
+
+        return run
+
+    def begin(held: Shard, q: int, x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        for i, (a, z) in enumerate(zip(x["first"], x["first"][1:], strict=False)):
+            found = held.top(x["term"][a:z], x["weight"][a:z], k)
+            x["threshold"][i] = found[-1][1] if len(found) == k else 0.0
+        return pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([dump(**x)], pa.binary())], names=["qblock", "blob"])
+
+    def finish(held: Shard, q: int, x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for i, (a, z) in enumerate(zip(x["first"], x["first"][1:], strict=False)):
+            key = x["key"][i].tobytes()
+            out += [(key, d, s) for d, s in held.top(x["term"][a:z], x["weight"][a:z], k, float(x["threshold"][i]))]
+        cols = list(zip(*out, strict=True)) if out else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.float64()), strict=True)], names=["key", "doc", "score"])
+
+    first = blocks.select(F.pmod(F.xxhash64("qblock"), F.lit(shards)).cast("int").alias("shard"), "qblock", "blob")
+    started = materialize(asking("qblock int, blob binary", begin)(first), "bm25-started")
+    to_all = started.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "qblock", "blob")
+    found = asking("key binary, doc long, score double", finish)(to_all)
+    best = Window.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last("doc"))  # shards x k rows
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return asked.select(F.col("id").alias("query_id"), "key").distinct().join(top, "key").select("query_id", "rank", F.col("doc").alias(id_col), "score")

@@ -13,6 +13,12 @@ content. Where none of these has text in slots, the one with most text of the hi
 than that one has text. Only a host that has no such element loses texts that never change: those met three times or more,
 on pages that differ, and always the same as a whole. Pages of the host are cut accordingly; a page without that place is wrapped by itself.
 
+Inside the article the wrapper tells template from text, too. Elements that HTML itself marks as boilerplate (``nav``, ``aside``, ``form``,
+roles, hidden ones) go. An element whose name only says so (a class of nothing but such words: ``ad-slot``) goes, unless the word is a doubtful one (``widget``, but not ``comments``) and it
+holds half of what varies in the article or more. One whose name also says something else (``share-price``) stays, unless its text never changes. So does
+any other, unless its own text, if it isn't a heading, is the same on all pages, ``FIXED`` pages of different text at least. A page by itself shows nothing
+that never changes, so there names decide alone.
+
 Blocks are joined by one newline; white space in a block is one space, which a line break counts as; character references are decoded once.
 
 Defined cases: null html gives an empty text, as does a page of boilerplate; a null url belongs to the host of the empty name; truncated pages are
@@ -40,6 +46,8 @@ from .common import materialize
 DEPTH = 48
 #: Hosts whose wrappers a task holds at once, and elements that a host's wrapper tells apart under a parent, at most (beyond that, see ``fold``).
 HOSTS, KINDS = 2000, 64
+#: Pages of different text on which a text in an article is the same, for it to be template.
+FIXED = 8
 #: Stands in signatures for names not told apart; names are in lower case.
 OTHER = "ANY"
 
@@ -58,14 +66,30 @@ NOISE_WORDS = set(
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer copyright comment comments commentlist disqus reply replies respond "
     "related recommended recommendations share sharing social subscribe newsletter login signup search widget pagination pager toolbar".split()
 )
+DOUBTFUL_WORDS = set("banner modal notice notices overlay promo promotion search share sharing social toolbar widget".split())
+NEUTRAL_WORDS = set(
+    "area bar block body bottom box button buttons col column container content fixed float foot form global group head header holder home inline inner item items js label left "
+    "layout link links list main mobile mod module outer page panel part posts primary right row secondary section site slot small sticky text title top unit view wrap wrapper zone".split()
+)
 CONTENT_WORDS = set("article content post entry story main".split())
 CLOSED_BY_BLOCK = {"p"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 HOLDS_ITEMS = set("ul ol dl table tbody thead tfoot".split())
 
 
+def named_noise(names: str) -> int:
+    """What classes and ids say: 2 if one is of nothing but boilerplate's words, 1 if one has such a word among others, 0 if none has."""
+    found = 0
+    for name in names.split():
+        words = set(_WORD.findall(name))
+        if not words.isdisjoint(NOISE_WORDS):
+            found = max(found, 2 if words <= NOISE_WORDS | NEUTRAL_WORDS else 1)
+    return found
+
+
 class Element:
-    __slots__ = ("blocks", "kept", "level", "noise", "rank", "sig", "source", "tag", "words")
+    __slots__ = ("kept", "level", "named", "noise", "rank", "sig", "soft", "source", "tag", "words")
 
     def __init__(self, tag: str, attrs: str, inside_article: bool):
         values = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTR.finditer(attrs)} if attrs.strip() else {}
@@ -76,18 +100,20 @@ class Element:
         self.sig = ".".join([tag, *sorted(re.sub(r"\d+", "0", names).split())])
         hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")
         head = not inside_article and (tag == "header" or not words.isdisjoint(("header", "masthead")))
-        self.noise = tag in RAW or tag in NOISE_TAGS or hidden or head or values.get("role") in NOISE_ROLES or (tag not in ("body", "html", "article", "main") and not words.isdisjoint(NOISE_WORDS))
+        self.noise = tag in RAW or tag in NOISE_TAGS or hidden or head or values.get("role") in NOISE_ROLES
+        self.named = 0 if words.isdisjoint(NOISE_WORDS) or tag in ("body", "html", "article", "main") else named_noise(names)
         if values.get("role") == "main":
             self.tag = "main"
 
     def put_under(self, above: Element | None, around: list[Element]) -> None:
-        """Set what depends on the open elements: ``noise`` holds for all inside, ``kept`` says whether wrappers have a node for it, ``level`` how many do down to here."""
+        """Set what depends on the open elements: ``noise`` and ``soft``, noise by names, hold for all inside, ``kept`` says whether wrappers have a node for it, ``level`` how many do down to here."""
         level = above.level if above else 0
         self.noise = self.noise or bool(above and above.noise)
+        self.soft = self.noise or self.named == 2 or bool(above and above.soft)
         self.kept, self.rank = level < DEPTH, 0  # the highest rank down to here, known beyond DEPTH only
         if not self.kept:
             highest = above.rank if len(around) > DEPTH else max(_rank(x.sig) for x in around)
-            own = 0 if self.noise else _rank(self.sig)
+            own = 0 if self.soft else _rank(self.sig)
             self.kept, self.rank = own > highest, max(own, highest)
         self.level = level + self.kept
 
@@ -153,7 +179,7 @@ def events(html: str) -> Iterator[tuple]:
 
 # A wrapper node: [{page: times its text was met there}, text (None, the key of a text that is always the same, or 0 for a slot), characters of text, order conflict, {signature: [least, most, node]}]
 SLOT = 0
-#: A text that never changes is one if it was met so often; of more pages than that no node need know.
+#: A text that never changes, on a host without an article, is one if it was met so often.
 MET = 3
 
 
@@ -169,7 +195,8 @@ def text_key(text: str) -> str:
 def page_wrapper(html: str, kinds: float = KINDS) -> list:
     """The wrapper of one page: its own element tree, with runs of equal elements folded."""
     root = new_node()
-    page = xxhash.xxh3_64_hexdigest(html)  # equal pages are one
+    page = ""  # its name is known at the end
+    told = xxhash.xxh3_64()
     path = [(root, [], [])]  # node, its texts, signatures in order
     stack: list[Element] = []
     for ev in events(html):
@@ -182,13 +209,24 @@ def page_wrapper(html: str, kinds: float = KINDS) -> list:
         elif ev[0] == "close":
             if stack.pop().kept:
                 _finish(page, kinds, *path.pop())
-        elif ev[0] == "text" and ev[1].strip() and not (stack and stack[-1].noise and not stack[-1].kept):
-            path[-1][1].append(ev[1])
+        elif ev[0] == "text" and ev[1].strip():
+            if not (stack and stack[-1].noise):
+                told.update(ev[1])
+            if not (stack and stack[-1].soft and not stack[-1].kept):
+                path[-1][1].append(ev[1])
     while path:
         _finish(page, kinds, *path.pop())
+    _sign(root, told.hexdigest())  # pages of equal text are one, whatever is around it
     return root
 
 
+def _sign(node: list, page: str) -> None:
+    if node[0]:
+        node[0] = {page: node[0][""]}
+    for part in node[4].values():
+        _sign(part[2], page)
+
+
 def _finish(page: str, kinds: float, node: list, texts: list[str], kids: list[tuple[str, list]]) -> None:
     text = " ".join(" ".join(texts).split())
     if text:
@@ -214,7 +252,7 @@ def align(a: list, b: list, kinds: float = KINDS, same_page: bool = False) -> No
     for page, n in b[0].items():
         if page in a[0]:
             a[0][page] = a[0][page] + n if same_page else max(a[0][page], n)
-        elif len(a[0]) < MET:
+        elif len(a[0]) < FIXED:
             a[0][page] = n
     a[1] = b[1] if a[1] is None else a[1] if b[1] in (None, a[1]) else SLOT
     a[2] += b[2]
@@ -250,6 +288,11 @@ def never_changes(node: list) -> bool:
     return isinstance(node[1], str) and sum(node[0].values()) >= MET
 
 
+def is_template(node: list) -> bool:
+    """Stricter, for texts in an article: the same on ``FIXED`` pages of different text."""
+    return isinstance(node[1], str) and len(node[0]) >= FIXED
+
+
 def _rank(sig: str) -> int:
     tag, *names = sig.split(".")
     if tag == "article":
@@ -259,9 +302,10 @@ def _rank(sig: str) -> int:
     return int(tag in ("div", "section", "td") and not CONTENT_WORDS.isdisjoint(_WORD.findall(" ".join(names))))
 
 
-def _is_noise(sig: str, inside_article: bool) -> bool:
+def _is_noise(sig: str, inside_article: bool, named: bool = True) -> bool:
     tag, *names = sig.split(".")
-    return Element(tag, f' class="{" ".join(names)}"', inside_article).noise
+    e = Element(tag, f' class="{" ".join(names)}"', inside_article)
+    return e.noise or named and e.named == 2
 
 
 @lru_cache(4096)
@@ -306,16 +350,66 @@ def article_place(wrapper: list) -> tuple[list[str | list[str]], set[str]]:
     return ([] if not best[0] and slots > best[3] else best[5]), set()
 
 
+def _doubtful(sig: str) -> bool:
+    """Whether all words for boilerplate in the names may mean something else."""
+    return NOISE_WORDS.intersection(_WORD.findall(" ".join(sig.split(".")[1:]))) <= DOUBTFUL_WORDS
+
+
+def _weigh(node: list) -> tuple[int, int]:
+    """Characters in slots, and of all text, in a part of the article; undoubted boilerplate doesn't count."""
+    slots, total = 0 if is_template(node) else node[2], node[2]
+    for sig, (_, _, kid) in node[4].items():
+        if not _is_noise(sig, True, not _doubtful(sig)):
+            s, t = _weigh(kid)
+            slots, total = slots + s, total + t
+    return slots, total
+
+
+#: What a wrapper says of an element in an article: it stays, it goes, its own text goes.
+STAYS, GOES, OWN_GOES = 1, 2, 4
+
+
+def parts_told(node: list, whole: int) -> dict[str, list]:
+    """{signature: [what the wrapper says against names, the same for its parts]}, where it says anything."""
+    told = {}
+    for sig, (_, _, kid) in node[4].items():
+        if _is_noise(sig, True, False):
+            continue
+        tag, *names = sig.split(".")
+        named = named_noise(" ".join(names)) if OTHER not in names else 2 if _is_noise(sig, True) else 0
+        slots, total = _weigh(kid)
+        says = 0
+        if named == 2 and whole and 2 * slots >= whole and _doubtful(sig):
+            says = STAYS
+        elif named == 1 and total and not slots:
+            says = GOES
+        if is_template(kid) and tag not in HEADINGS:
+            says |= OWN_GOES
+        inside = parts_told(kid, whole)
+        if says or inside:
+            told[sig] = [says, inside]
+    return told
+
+
+def article_parts(wrapper: list, path: list[str | list[str]]) -> dict[str, list]:
+    node = wrapper
+    for step in path:
+        node = node[4][step if isinstance(step, str) else step[0]][2]
+    whole = _weigh(node)[0]
+    return parts_told(node, whole) if path and whole else {}
+
+
 def article_path(wrapper: list) -> list[str | list[str]]:
     """Signatures down to the article; empty: the whole page."""
     return article_place(wrapper)[0]
 
 
-def cut(html: str, path: list[str | list[str]], fixed: set[str]) -> str | None:
-    """The text of the article at ``path``; None if the page has no such place."""
+def cut(html: str, path: list[str | list[str]], fixed: set[str], parts: dict[str, list] | None = None) -> str | None:
+    """The text of the article at ``path``; None if the page has no such place. ``parts``: see ``parts_told``."""
     blocks: list[str] = []
     run: list[str] = []
-    stack: list[tuple[bool, bool, bool]] = []  # whether inside noise, inside the article, and on the path to it
+    top = (False, not path, True, parts or {}, 0)
+    stack: list[tuple[bool, bool, bool, dict, int]] = []  # whether inside noise, inside the article, on the path to it; what is told of parts, and of this one
     met = not path
 
     def end_block() -> None:
@@ -326,19 +420,23 @@ def cut(html: str, path: list[str | list[str]], fixed: set[str]) -> str | None:
 
     for ev in events(html):
         if ev[0] == "text":
-            noise, inside, _ = stack[-1] if stack else (False, not path, True)
-            if inside and not noise:
+            noise, inside, _, _, says = stack[-1] if stack else top
+            if inside and not noise and not says & OWN_GOES:
                 run.append(ev[1])
             continue
         if ev[0] == "open":
             e = ev[1]
-            _, inside, on_path = stack[-1] if stack else (False, not path, True)
+            noise, inside, on_path, told, says = stack[-1] if stack else top
             if e.kept:
+                says = 0
+                if inside:
+                    says, told = told.get(e.sig) or told.get(fold(e.sig)) or (0, {})
                 on_path = on_path and e.level <= len(path) and fits(path[e.level - 1], e.sig)
-                if on_path and not inside and not e.noise and e.level == len(path):
-                    inside = met = True
+            noise = noise or e.noise or bool(says & GOES) or (e.named == 2 and not says & STAYS)
+            if e.kept and on_path and not inside and not noise and e.level == len(path):
+                inside = met = True
             end_block()
-            stack.append((e.noise, inside, on_path))
+            stack.append((noise, inside, on_path, told, says))
         elif ev[0] == "close":
             end_block()
             stack.pop()
@@ -348,10 +446,10 @@ def cut(html: str, path: list[str | list[str]], fixed: set[str]) -> str | None:
     return "\n".join(blocks) if met else None
 
 
-def extract(html: str | None, path: list[str | list[str]], fixed: set[str]) -> str:
+def extract(html: str | None, path: list[str | list[str]], fixed: set[str], parts: dict[str, list] | None = None) -> str:
     if not html:
         return ""
-    text = cut(html, path, set() if path else fixed)
+    text = cut(html, path, set() if path else fixed, parts)
     if text is None:  # not built like its host's other pages
         text = cut(html, article_path(page_wrapper(html, math.inf)), set())
     return text or ""
@@ -409,21 +507,21 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ways = [json.loads(w) for w in b.column(1).to_pylist()]
-            found = [json.dumps([path, sorted(fixed)]) for path, fixed in map(article_place, ways)]
+            found = [json.dumps([path, sorted(fixed), article_parts(way, path)]) for way in ways for path, fixed in [article_place(way)]]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["host", "place"])
 
     places = materialize(wrappers.mapInArrow(place, "host string, place string"), "page-places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, set[str]]] = {}
+        known: dict[str, tuple[list, set[str], dict]] = {}
         for b in batches:
             texts = []
             for page, where in zip(b.column(2), b.column(3).to_pylist(), strict=True):
                 if where not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    path, fixed = json.loads(where) if where else ([], [])
-                    known[where] = (path, set(fixed))
+                    path, fixed, parts = json.loads(where) if where else ([], [], {})
+                    known[where] = (path, set(fixed), parts)
                 texts.append(extract(page.as_py(), *known[where]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 

@@ -447,6 +447,35 @@ def test_whole_texts_are_compared_and_copies_are_no_evidence(spark):
     assert extracted(spark, [("f", f"<body><div>Legal line</div><p>text {i}</p>") for i in range(4)]) == [f"text {i}" for i in range(4)]
 
 
+def test_names_alone_do_not_cut_an_article(spark):
+    page = '<body><article><p>Lead {i}</p><div class="share-price"><p>body para {i}</p></div><section class="search-results">found {i}</section><div class="ad-slot">Buy {i}</div></article></body>'
+    want = [f"Lead {i}\nbody para {i}\nfound {i}" for i in range(10)]
+    assert extracted(spark, [("a", page.format(i=i)) for i in range(10)]) == want
+    assert [extracted(spark, [("a", page.format(i=i))])[0] for i in range(2)] == want[:2]
+
+
+def test_pages_of_a_host_show_what_is_template(spark):
+    page = '<body><nav>Menu {i}</nav><article><h2>Report</h2><p>News {i} of the day</p><p class="cta">Join our list</p><div class="price-alert">Set one</div><p class="by">By {i}</p></article>'
+    alone = extracted(spark, [("a", page.format(i=3))])[0]
+    assert alone == "Report\nNews 3 of the day\nJoin our list\nSet one\nBy 3"
+    assert extracted(spark, [("a", page.format(i=i)) for i in range(12)]) == [f"Report\nNews {i} of the day\nBy {i}" for i in range(12)]
+    # copies in other surroundings show nothing
+    copies = [("b", page.format(i=3).replace("Menu 3", f"Menu {k}")) for k in range(12)]
+    assert extracted(spark, copies) == [alone] * 12
+    # a name of noise about the main text, and comments that are longer than the text
+    main = '<body><article><h1>T {i}</h1><div class="widget"><p>A long enough text, number {i}, which is the article</p></div></article>'
+    chat = main.replace("</div>", '</div><div class="comments">{i}' + " and so on" * 50 + "</div>")
+    assert extracted(spark, [("d", chat.format(i=i)) for i in range(3)]) == [f"T {i}\nA long enough text, number {i}, which is the article" for i in range(3)]
+    assert extracted(spark, [("c", main.format(i=i)) for i in range(3)]) == [f"T {i}\nA long enough text, number {i}, which is the article" for i in range(3)]
+
+
+def test_long_pages_and_clashing_names(spark):
+    body = "".join(f"<p>paragraph {k}</p>" for k in range(20000))
+    df = spark.createDataFrame([(1, "http://a.org/", f"<article>{body}</article>", "x", "y")], "page_id long, url string, html string, host string, place string")
+    r = wrappers.extract_text(df).collect()[0]
+    assert r["text"] == "\n".join(f"paragraph {k}" for k in range(20000)) and r["n_chars"] == len(r["text"])
+
+
 def test_elements_beyond_depth_and_kinds(spark):
     deep, ends = "<div>" * 60, "</div>" * 60
     pages = [("a", f"<body><div><article><p>First {i}</p>{deep}Deep {i}<nav>Menu</nav>{ends}<p>Last {i}</p></article></div>") for i in range(4)]
@@ -515,7 +544,7 @@ def test_units_of_any_length_go(spark):
 
 
 def test_search(spark, rows):
-    table = {(i, t or "") for i, t in rows}
+    table = [(i, t or "") for i, t in rows]
     bags = [(i, bm25.terms(t)) for i, t in table]
     n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
     df = Counter(w for _, b in bags for w in b)
@@ -528,15 +557,17 @@ def test_search(spark, rows):
             size = sum(other.values())
             s = sum(q * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * other[w] * 2.2 / (other[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w, q in bag.items() if w in other)
             if s > 0:
-                scores.append((round(s, 4), d))
-        want[i] = [s for s, _ in sorted(scores, key=lambda x: -x[0])[:10]]
+                scores.append((-round(s, 6), d is None, d or 0))
+        want[i] = [(s, None if none else d) for s, none, d in sorted(scores)[:10]]
     got = defaultdict(list)
     for r in bm25.search(docs_of(spark, rows)).collect():
-        got[r["query_id"]].append((r["rank"], r["score"]))
+        got[r["query_id"]].append((r["rank"], r["score"], r["doc_id"]))
     assert set(got) == set(want)
     for q, found in got.items():
-        assert [x for x, _ in sorted(found)] == list(range(1, len(found) + 1))
-        assert [x for _, x in sorted(found)] == pytest.approx(want[q], abs=1e-3)
+        found.sort(key=lambda x: x[0])
+        assert [x for x, _, _ in found] == list(range(1, len(found) + 1))
+        assert [x for _, x, _ in found] == pytest.approx([-s for s, _ in want[q]], abs=2e-6)
+        assert [x for _, _, x in found] == [d for _, d in want[q]]
     assert bm25.search(docs_of(spark, [])).count() == 0
 
 
@@ -550,14 +581,40 @@ def test_pruning_loses_nothing(seed, k):
     term, weight = bm25.digests(bag), np.array([1.0 + x for x in bag.values()])
     order = np.argsort(term)
     got = shard.top(term[order], weight[order], k)
+    if len(got) == k:  # what another shard found may be the same, or less
+        assert shard.top(term[order], weight[order], k, got[-1][1]) == got
+        assert shard.top(term[order], weight[order], k, 0.7 * got[-1][1]) == got
+        assert [x for x in got if x[1] > got[-1][1]] == shard.top(term[order], weight[order], k, got[-1][1] + 1e-5)
     weights = dict(zip(bag, weight, strict=True))
     every = []
     for i, t in enumerate(texts):
         b = bm25.terms(t)
         s = sum(weights[w] * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / 6.0)) for w in bag if w in b)
         if s > 0:
-            every.append(s)
-    assert [s for _, s in got] == pytest.approx(sorted(every, reverse=True)[:k], abs=1e-5)
+            every.append((-round(s, 6), i))
+    assert [(-s, i) for i, s in got] == sorted(every)[:k]
+
+
+def test_many_copies_rank_by_id(spark):
+    """More copies than blocks hold, in many blocks and shards, with others of the same score between."""
+    r = random.Random(4)
+    word = [f"w{i}" for i in range(40)]
+    rows = [(3 * i, "w1 w2 w2 w5") for i in range(700)] + [(3 * i + 1, " ".join(r.choice(word) for _ in range(6))) for i in range(900)] + [(2, "w5 w2 w1 w2")]
+    r.shuffle(rows)
+    out = defaultdict(list)
+    for x in bm25.search(docs_of(spark, rows), k=12).collect():
+        out[x["query_id"]].append((x["rank"], x["doc_id"]))
+    best = [d for _, d in sorted(out[60])]
+    assert best == sorted([2, *range(0, 33, 3)])
+
+
+def test_texts_larger_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 1000)
+    rows = [(20 * i, f"w{i} " * 700 + "w0") for i in range(4)] + [(5, "w0 w1"), (6, "")]
+    got = defaultdict(list)
+    for x in bm25.search(docs_of(spark, rows)).collect():
+        got[x["query_id"]].append((x["rank"], x["doc_id"]))
+    assert {q: sorted(v)[0][1] for q, v in got.items()} == {0: 0, 20: 20, 40: 40, 60: 60}
 
 
 # quality
