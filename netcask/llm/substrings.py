@@ -13,7 +13,7 @@ first, and a class of one suffix is dropped at once. The digits are chosen so th
    different tasks: that a core has others is seen from its count, which is larger than the context's.
 3. *Bytes.* Where one core has several contexts, one copy of each context is sent, and the windows in it are sorted by
    8-byte digits (``equal_windows``), singles dropped after each digit. What is left are the repeated windows, returned
-   as a bit mask of at most ``BLOCK`` bits. Cores with over ``GROUP`` contexts never meet in one task: their windows are
+   as a bit mask of at most ``BLOCK`` bits. Cores of over ``GROUP`` classes never meet in one task: where their contexts are, these are cut in windows, which are
    counted by 128-bit digest with a combine before the shuffle.
 
 Equal texts are found by SHA-256 before any of this and enter once; all of a text that has a copy goes.
@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import bucketed_table, free_name, materialize, shuffle_partitions
 
 SPAN, GRAM, BLOCK = 200, 40, 54
-#: Contexts of one core that meet in a task, at most.
-GROUP = 2000
+#: Classes of one core that meet in a task, at most.
+GROUP = 1000
 #: Bytes of text in a bucket, about.
 BUCKET_BYTES = 64 << 20
 _STRIDE = 1 << 19
@@ -171,9 +171,9 @@ def context_rows(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
     return pa.table({"core": u["core"], "s1": u["s1"], "s2": u["s2"], "total": u["total"], "b": np.full(len(u), key[0].as_py(), np.int32), "n": n})
 
 
-def shipped_rows(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
+def shipped_rows(key: tuple, table: pa.Table, messages: pa.Table, group: int) -> pa.Table:
     told = Messages(messages)
-    out: list[list] = [[] for _ in range(7)]
+    out: list[list] = [[] for _ in range(8)]
     for _, c in bucket_texts(table):
         for k, core in told.classes(c):
             s = c.context_digest(k)
@@ -181,10 +181,10 @@ def shipped_rows(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
             if multi is not None:
                 a, b = c.context(k)
                 lead = (int(c.g[k]) + 1) * BLOCK - 1 - int(c.hi[k])  # windows that the start of the text cuts off
-                for col, x in zip(out, (signed(core), *s, key[0].as_py(), multi, lead, c.text[a:b]), strict=True):
+                for col, x in zip(out, (signed(core), *s, key[0].as_py(), multi, lead, told.cores[core] > group, c.text[a:b]), strict=True):
                     col.append(x)
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["core", "s1", "s2", "b", "multi", "lead", "context"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+    return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["core", "s1", "s2", "b", "multi", "lead", "common", "context"])
 
 
 def final_rows(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
@@ -344,53 +344,45 @@ def equal_windows(group: np.ndarray, lead: list[int], contexts: list[bytes]) ->
     return masks
 
 
+def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts of common cores, a row for each window: where it stands, its digest, and the context it is of."""
+    names = ["b", "h1", "h2", "multi", "core", "place", "w1", "w2"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            made = []
+            for r in batch.slice(at, 500).to_pylist():
+                for k in range(len(r["context"]) - SPAN + 1):
+                    d = xxhash.xxh3_128_intdigest(r["context"][k : k + SPAN])
+                    made.append((r["b"], r["s1"], r["s2"], r["multi"], r["core"], r["lead"] + k, signed(d >> 64), signed(d & (1 << 64) - 1)))
+            cols = list(zip(*made, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+
 def solve_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by core. MASK messages, or for a core with over ``GROUP`` contexts a row for each window: kind = -1 - place, w1, w2 its digest."""
+    """Rows sorted by core, of few contexts each. MASK messages."""
     held: list[dict] = []
-    flooded: int | None = None
-    names = ["b", "kind", "h1", "h2", "value", "core", "w1", "w2"]
-    kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 6)
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-
-    def windows(rows: list[dict]) -> pa.RecordBatch:
-        made = []
-        for r in rows:
-            for k in range(len(r["context"]) - SPAN + 1):
-                d = xxhash.xxh3_128_intdigest(r["context"][k : k + SPAN])
-                made.append((r["b"], -1 - (r["lead"] + k), r["s1"], r["s2"], r["multi"], r["core"], signed(d >> 64), signed(d & (1 << 64) - 1)))
-        return out(made)
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
-        masks = equal_windows(np.unique([r["core"] for r in rows], return_inverse=True)[1], [r["lead"] for r in rows], [r["context"] for r in rows]) if rows else []
-        return out([(r["b"], MASK, r["s1"], r["s2"], m, 0, 0, 0) for r, m in zip(rows, np.asarray(masks).tolist(), strict=True) if m and not r["multi"]])
+        masks = equal_windows(np.unique([r["core"] for r in rows], return_inverse=True)[1], [r["lead"] for r in rows], [r["context"] for r in rows])
+        some = [(r["b"], r["s1"], r["s2"], m) for r, m in zip(rows, masks.tolist(), strict=True) if m and not r["multi"]]
+        b, h1, h2, m = (np.array([x[i] for x in some], np.int64) for i in range(4))
+        return message_batch(b, MASK, h1, h2, m)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, GROUP):
-            held += batch.slice(at, GROUP).to_pylist()
-            if not held:
-                continue
-            last = held[-1]["core"]
+        for at in range(0, batch.num_rows, 1000):
+            held += batch.slice(at, 1000).to_pylist()
             cut = len(held)
-            while cut and held[cut - 1]["core"] == last:
+            while cut and held[cut - 1]["core"] == held[-1]["core"]:
                 cut -= 1
-            done, held = held[:cut], held[cut:]
-            if done and done[0]["core"] == flooded:
-                n = next((i for i, r in enumerate(done) if r["core"] != flooded), len(done))
-                yield windows(done[:n])
-                done = done[n:]
-            yield solve(done)
-            if len(held) > GROUP or last == flooded:
-                flooded = last
-                yield windows(held)
-                held = []
+            if cut:
+                yield solve(held[:cut])
+                held = held[cut:]
     if held:
-        yield windows(held) if held[0]["core"] == flooded else solve(held)
+        yield solve(held)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(rows, found). rows: the columns of ``docs`` but the text as the struct ``row``, with tid (SHA-256 of the text) and n_bytes.
     found: for each tid that loses bytes: n_removed, n_spans, kept_sha256, and its removed runs as starts, ends."""
     spark = docs.sparkSession
@@ -426,20 +418,23 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     # dealt by context, not by core, which a third of all texts may share
     context_messages = materialize(contexts.repartition("core", "s1").sortWithinPartitions("core", "s1", "s2").mapInArrow(equal_contexts, MESSAGE), "substring-contexts")
     both = core_messages.unionByName(context_messages.where(F.col("kind") == SHIP))
-    shipped = told(shipped_rows, both, "core long, s1 long, s2 long, b int, multi long, lead int, context binary")
-    solved = materialize(shipped.repartition("core").sortWithinPartitions("core").mapInArrow(solve_contexts, MESSAGE + ", core long, w1 long, w2 long"), "substring-solved")
-    flood = solved.where("kind < 0")
-    again = materialize(flood.groupBy("core", "kind", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "substring-again")
+    shipped = materialize(
+        told(lambda key, table, messages: shipped_rows(key, table, messages, group), both, "core long, s1 long, s2 long, b int, multi long, lead int, common boolean, context binary"), "substring-contexts"
+    )
+    solved = materialize(shipped.where("NOT common").repartition("core").sortWithinPartitions("core").mapInArrow(solve_contexts, MESSAGE), "substring-solved")
+    windows = materialize(shipped.where("common").mapInArrow(window_rows, "b int, h1 long, h2 long, multi long, core long, place int, w1 long, w2 long"), "substring-windows")
+    window = ["core", "place", "w1", "w2"]
+    again = windows.groupBy(*window).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     masks = (
-        flood.where("value = 0")
-        .join(again, ["core", "kind", "w1", "w2"])
+        windows.where("multi = 0")
+        .join(again.hint("merge"), window)
         .groupBy("b", "h1", "h2")
-        .agg(F.bit_or(F.expr("shiftleft(1L, -1 - kind)")).alias("value"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("value"))
         .select("b", F.lit(MASK).alias("kind"), "h1", "h2", "value")
     )
     messages = (
         core_messages.unionByName(context_messages.where(F.col("kind") == EQUAL))
-        .unionByName(solved.where(F.col("kind") == MASK).select(*core_messages.columns))
+        .unionByName(solved)
         .unionByName(masks)
     )
     found = materialize(told(final_rows, messages, "tid binary, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"), "substring-found")
@@ -457,9 +452,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     return rows, materialize(found, "substring-removed")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are left), starts and ends of the removed runs."""
-    rows, found = repeated_spans(docs.select(id_col, text_col), text_col)
+    rows, found = repeated_spans(docs.select(id_col, text_col), text_col, group)
     return rows.join(found.hint("merge"), "tid", "left").select(
         F.col(f"row.`{id_col}`").alias(id_col),
         "n_bytes",

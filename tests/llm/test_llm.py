@@ -296,11 +296,10 @@ def passages(seed):
     return [*out, (900, None), (901, ""), (902, "x" * 199), (903, "x" * 200), (904, "y" * 201), (None, shared[0]), (905, out[3][1]), (905, out[3][1])]
 
 
-@pytest.mark.parametrize("group", [2000, 3])
-def test_repeated_strings(spark, monkeypatch, group):
-    monkeypatch.setattr(substrings, "GROUP", group)
+@pytest.mark.parametrize("group", [1000, 3])
+def test_repeated_strings(spark, group):
     data = passages(3)
-    got = substrings.remove_repeats(docs_of(spark, data)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = substrings.remove_repeats(docs_of(spark, data), group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = [(i, *x) for (i, _), x in zip(data, plain_removed([(t or "").encode() for _, t in data]), strict=True)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 

@@ -190,5 +190,6 @@ def test_repeats_are_the_plain_ones_for_a_common_core(spark):
     r = np.random.default_rng(8)
     core = "".join(map(chr, r.integers(97, 123, 170)))
     texts = ["".join(map(chr, r.integers(97, 100, int(n)))) + core + "".join(map(chr, r.integers(97, 99, int(m)))) for n, m in r.integers(0, 80, (60, 2))]
-    got = {x["doc_id"]: x["n_removed"] for x in substrings.remove_repeats(docs_of(spark, list(enumerate(texts)))).collect()}
-    assert got == {i: w[1] for i, w in enumerate(plain_removed([t.encode() for t in texts]))}
+    for group in (1000, 20):
+        got = {x["doc_id"]: x["n_removed"] for x in substrings.remove_repeats(docs_of(spark, list(enumerate(texts))), group=group).collect()}
+        assert got == {i: w[1] for i, w in enumerate(plain_removed([t.encode() for t in texts]))}
