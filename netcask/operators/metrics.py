@@ -73,6 +73,44 @@ def line_rate(df: DataFrame, by: str = "src", period_ns: int = 1_000_000_000) ->
     return b.select(by, "period", F.sum("pkts").over(total).alias("total_pkts"), F.sum("bytes").over(total).alias("total_bytes"), (F.col("pkts") * 1e9 / gap).alias("pps"), (F.col("bytes") * 8e3 / gap).alias("mbps"))
 
 
+def sliding(df: DataFrame, width_ns: int, step_ns: int) -> DataFrame:
+    """Packets and bytes of windows ``width_ns`` long that start every ``step_ns``: aggregated by step before it is put in the windows it belongs to."""
+    steps = df.groupBy(whole_div(F.col("ts_ns"), step_ns).alias("_step")).agg(F.count("*").alias("_n"), F.sum("frame_len").alias("_bytes"))
+    n = width_ns // step_ns
+    each = steps.withColumn("_start", F.explode(F.sequence(F.col("_step") - (n - 1), F.col("_step"))))
+    return each.groupBy((F.col("_start") * step_ns).alias("start_ns")).agg(F.sum("_n").alias("pkts"), F.sum("_bytes").alias("bytes"))
+
+
+def counters(df: DataFrame, by: str = "src", period_ns: int = 1_000_000_000) -> DataFrame:
+    """(object, period, field, value): the counters ``pkts`` and ``bytes`` of each object as they stand at the end of each period that has packets."""
+    b = df.groupBy(F.col(by).alias("object"), whole_div(F.col("ts_ns"), period_ns).alias("period")).agg(F.count("*").alias("pkts"), F.sum("frame_len").alias("bytes"))
+    total = Window.partitionBy("object").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumns({c: F.sum(c).over(total) for c in ("pkts", "bytes")})
+    return b.select("object", "period", F.explode(F.create_map(F.lit("pkts"), "pkts", F.lit("bytes"), "bytes")).alias("field", "value"))
+
+
+#: What a suffix makes of a counter: its change a second times a factor, or itself times a factor.
+RATES = {"rate": 1.0, "pps": 1.0, "mbps": 8e-6}
+SCALES = {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}
+
+
+def monitor(table: DataFrame, fields: list[str], period_ns: int = 1_000_000_000) -> DataFrame:
+    """A row for each object and period with the fields asked for: ``name``, or ``name.rate``, ``.pps``, ``.mbps`` (change since the object's period before, a second), ``.s``, ``.ms``,
+    ``.us``, ``.ns`` (as a time in seconds shown in that unit). A dot in a field becomes ``_``."""
+    names = sorted({f.partition(".")[0] for f in fields})
+    wide = table.groupBy("object", "period").pivot("field", names).agg(F.first("value"))
+    w = Window.partitionBy("object").orderBy("period")
+    gap = (F.col("period") - F.lag("period").over(w)) * period_ns / 1e9
+    out = {}
+    for f in fields:
+        name, _, suffix = f.partition(".")
+        if suffix and suffix not in RATES | SCALES:
+            raise ValueError(f"unknown suffix {suffix!r}")
+        change = F.col(name) - F.lag(name).over(w)
+        out[f.replace(".", "_")] = F.col(name) if not suffix else change * RATES[suffix] / gap if suffix in RATES else F.col(name) * SCALES[suffix]
+    return wide.select("object", "period", *[c.alias(k) for k, c in out.items()])
+
+
 def check_sequence(df: DataFrame, seq: str = "seq", bits: int = 32) -> DataFrame:
     """Classify steps of a sequence number: ok, gap (with the number missing), repeat, backwards. The first packet is ok."""
     d = with_previous(df, F.col(seq), "_prev")

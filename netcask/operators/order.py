@@ -58,6 +58,18 @@ def with_previous(df: DataFrame, value: Column, name: str, order: str = "pkt_idx
     return b.join(before, "_bucket").withColumn(name, F.when(at == 1, F.col("_before")).otherwise(F.lag("_value").over(inside))).drop("_bucket", "_value", "_before")
 
 
+def with_last_known(df: DataFrame, value: Column, name: str, by: str, order: str = "pkt_idx", width: int = WIDTH) -> DataFrame:
+    """Add ``name``: the last ``value`` that isn't NULL of the earlier rows with the same ``by``."""
+    b = _bucketed(df, order, width).withColumn("_value", value)
+    ends = b.where(F.col("_value").isNotNull()).groupBy(by, "_bucket").agg(F.max_by("_value", order).alias("_end"))
+    every = b.select(by, "_bucket").distinct().join(ends, [by, "_bucket"], "left")
+    carry = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over bucket rows only
+    before = every.select(by, "_bucket", F.last("_end", ignorenulls=True).over(carry).alias("_before"))
+    inside = Window.partitionBy(by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_before"))
+    return b.join(before, [by, "_bucket"]).withColumn(name, found).drop("_bucket", "_value", "_before")
+
+
 def first_value(df: DataFrame, value: str, order: str = "pkt_idx") -> DataFrame:
     """One row with ``value`` of the first row, as column ``first``; to be joined by a broadcast of that one row."""
     return df.agg(F.min_by(value, order).alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draw import draw
 from ..plans.filterlang import predicate, split
 from ..plans.ranges import in_ranges, time_bounds
 from ..plans.streamspec import stream_predicate
@@ -72,8 +73,8 @@ def discard(df: DataFrame, kinds: list[str] | int) -> DataFrame:
 
 def drop_at_random(df: DataFrame, share: float, seed: int) -> Links:
     """Decided by a hash of the index and the seed, so that a rerun decides alike."""
-    d = df.withColumn("_u", F.pmod(F.xxhash64("pkt_idx", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
-    return {"": d.where(F.col("_u") >= share).drop("_u"), "drop": d.where(F.col("_u") < share).drop("_u")}
+    gone = draw(F.col("pkt_idx"), seed) < int(share * (1 << 32))
+    return {"": df.where(~gone), "drop": df.where(gone)}
 
 
 def tap(df: DataFrame, bpf: str | None = None, snap: int | None = None, keep_flags: bool = False) -> Links:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bytes import bytes_be, bytes_le, drop_bytes, read_be, read_tail_be
+from ..functions.bytes import bytes_be, bytes_le, drop_bytes, mac_hex, read_be, read_tail_be, splice
 from ..schema import CRC_ERROR, seconds_of
+from .order import with_last_known
 
 NS = 1_000_000_000
 
@@ -26,9 +27,32 @@ def vss(df: DataFrame, strip: bool = True, timestamp: bool = True, portstamp: bo
     return df.withColumns(new)
 
 
-def footer_stamp(df: DataFrame, has_fcs: bool = True, strip: bool = True, max_diff_ns: int | None = None) -> DataFrame:
+# Bits of the footer's version byte and of an extension's header word.
+EXTENDED, FCS_VALID, FINAL, TAG, SECONDARY = 2, 1, 0x20, 0x1F, 0x1F
+
+
+def extension_length(data: Column, offset: int, size: Column) -> Column:
+    """Bytes of the extensions that end ``offset`` bytes before the end. Read backwards: a header word tells how many words stand before it, and whether it is
+    the final one; 0 if none is before the start of the frame."""
+
+    def step(acc: Column, _: Column) -> Column:
+        word = read_tail_be(data, F.lit(offset + 4) + acc["n"], 4)
+        more = F.when(word.bitwiseAND(TAG) == SECONDARY, F.shiftright(word, 6).bitwiseAND(0x3FF) + 1).otherwise(F.shiftright(word, 6).bitwiseAND(3))
+        read = ~acc["done"] & (size > F.lit(offset + 4) + acc["n"]) & word.isNotNull()
+        return F.struct(
+            F.when(read, acc["n"] + 4 * (more + 1)).otherwise(acc["n"]).cast("long").alias("n"),
+            (acc["done"] | (read & (word.bitwiseAND(FINAL) != 0))).alias("done"),
+        )
+
+    words = F.sequence(F.lit(1), F.greatest(F.lit(1), F.call_function("div", size, F.lit(4)).cast("int")))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("done"))
+    return F.aggregate(words, start, step, lambda acc: F.when(acc["done"], acc["n"]).otherwise(0))
+
+
+def footer_stamp(df: DataFrame, has_fcs: bool = True, strip: bool = True, max_diff_ns: int | None = None, extensions: bool = False) -> DataFrame:
     """Footer: old FCS, seconds, nanoseconds, version, device, port (16 bytes), and a new FCS where there is one. Adds ``device_id`` and ``port``. Packets with
-    a CRC error, with 10^9 nanoseconds or more, or too far from their own time pass unchanged."""
+    a CRC error, with 10^9 nanoseconds or more, or too far from their own time pass unchanged. ``extensions``: those that the version byte announces go with
+    the footer, and unless it says that the old FCS was valid the packet gets a CRC error; both only where the footer is taken off."""
     d = F.col("data")
     fcs = 4 if has_fcs else 0
     sec, ns = read_tail_be(d, fcs + 12, 4), read_tail_be(d, fcs + 8, 4)
@@ -39,8 +63,14 @@ def footer_stamp(df: DataFrame, has_fcs: bool = True, strip: bool = True, max_di
     good = F.coalesce(good, F.lit(False))
     new = {"ts_ns": F.when(good, stamp).otherwise(F.col("ts_ns")), "device_id": F.when(good, read_tail_be(d, fcs + 3, 2)), "port": F.when(good, read_tail_be(d, fcs + 1, 1))}
     if strip:  # sixteen bytes always, so the old FCS stays where there was a new one
-        new["data"] = F.when(good, F.substring(d, F.lit(1), F.length(d) - 16)).otherwise(d)
-        new["frame_len"] = F.when(good, F.col("frame_len") - 16).otherwise(F.col("frame_len"))
+        gone = F.lit(16).cast("long")
+        if extensions:
+            version = read_tail_be(d, fcs + 4, 1)
+            has = good & (version.bitwiseAND(EXTENDED) != 0)
+            gone = gone + F.when(has, extension_length(d, fcs + 12, F.col("frame_len"))).otherwise(0)
+            new["flags"] = F.when(has & (version.bitwiseAND(FCS_VALID) == 0), F.col("flags").bitwiseOR(CRC_ERROR)).otherwise(F.col("flags"))
+        new["data"] = F.when(good, F.substring(d, F.lit(1), (F.length(d) - gone).cast("int"))).otherwise(d)
+        new["frame_len"] = F.when(good, F.col("frame_len") - gone).otherwise(F.col("frame_len"))
     return df.withColumns(new)
 
 
@@ -63,14 +93,48 @@ def _switch_header(versions: tuple[int, ...], size: int):
     return F.coalesce((read_be(d, 12, 2) == SWITCH_TYPE) & (read_be(d, 14, 2) == SWITCH_SUBTYPE) & read_be(d, 16, 2).isin(*versions) & (F.length(d) >= 12 + size), F.lit(False))
 
 
-def switch48(df: DataFrame, strip: bool = True) -> DataFrame:
-    """16 bits of seconds, 32 of nanoseconds; the upper seconds come from the packet's own time, to the nearest. Adds ``stamped``."""
+def switch48(df: DataFrame, strip: bool = True, in_source: bool = False, new_source: str | None = None, no_stamp_oui: str | None = None) -> DataFrame:
+    """16 bits of seconds, 32 of nanoseconds; the upper seconds come from the packet's own time, to the nearest. Adds ``stamped``, and ``rollover``: whether
+    these differ from the own time's.
+
+    They stand behind the addresses, or (``in_source``; then nothing is stripped) in the source address, which ``new_source`` replaces. LLDP, packets from
+    ``no_stamp_oui``, with a CRC error, too short, or with 10^9 nanoseconds or more have no stamp."""
+    if in_source and strip:
+        raise ValueError("nothing can be stripped where the stamp is in the source address")
     d = F.col("data")
-    here = _switch_header(V48, 12)
+    at = 6 if in_source else 18
+    here = (F.length(d) >= 14) if in_source else _switch_header(V48, 12)
+    if no_stamp_oui is not None:
+        oui = int("".join(x.rjust(2, "0") for x in no_stamp_oui.split(":")), 16)
+        here = here & F.coalesce(read_be(d, 6, 3) != oui, F.lit(True))
+    lldp = F.coalesce(read_be(d, 12, 2) == 0x88CC, F.lit(False))
+    here = here & ~lldp & (F.col("flags").bitwiseAND(CRC_ERROR) == 0) & F.coalesce(read_be(d, at + 2, 4) < NS, F.lit(False))
     host = seconds_of(F.col("ts_ns"))
-    delta = F.pmod(read_be(d, 18, 2) - host.bitwiseAND(0xFFFF), F.lit(65536))
+    delta = F.pmod(read_be(d, at, 2) - host.bitwiseAND(0xFFFF), F.lit(65536))
     sec = host + F.when(delta >= 32768, delta - 65536).otherwise(delta)
-    return _stamped(df, here, sec * NS + read_be(d, 20, 4), strip, 12)
+    rolled = here & (F.shiftright(sec, 16) != F.shiftright(host, 16))
+    out = _stamped(df.withColumn("rollover", F.coalesce(rolled, F.lit(False))), here, sec * NS + read_be(d, at + 2, 4), strip, 12)
+    if new_source is not None:
+        out = out.withColumn("data", F.when(F.col("stamped"), splice(F.col("data"), 6, F.unhex(F.lit(mac_hex(new_source))), 6)).otherwise(F.col("data")))
+    return out
+
+
+def switch_stamps(df: DataFrame, switch_model: str = "7150", ts_format: str | None = None, **args) -> dict[str, DataFrame]:
+    """By model (``7150`` of none is given) and, for ``7280``, format (``48bit`` if none is given): ``""`` packets with the switch's time, ``no_timestamp``, ``lldp``
+    (always empty for ``7280``: these go the second way), and for ``7150`` ``keyframes``, ``no_sync`` and ``lost_sync``."""
+    if switch_model == "7150":
+        if ts_format is not None:
+            raise ValueError("7150 has one format")
+        from .ticks import stamp_ticks
+
+        done = stamp_ticks(df, **args)
+        return {link: done.where(F.col("link") == link) for link in ("", "no_timestamp", "lldp", "keyframes", "no_sync", "lost_sync")}
+    if switch_model != "7280":
+        raise ValueError(f"unknown model {switch_model!r}")
+    if ts_format not in (None, "48bit", "64bit"):
+        raise ValueError(f"unknown format {ts_format!r}")
+    done = (switch64 if ts_format == "64bit" else switch48)(df, **args)
+    return {"": done.where("stamped"), "no_timestamp": done.where(~F.col("stamped")), "lldp": done.where(F.lit(False))}
 
 
 def switch64(df: DataFrame, strip: bool = True, window_ns: int = 0, by: str = "src") -> DataFrame:
@@ -82,8 +146,7 @@ def switch64(df: DataFrame, strip: bool = True, window_ns: int = 0, by: str = "s
     if not window_ns:
         return _stamped(df, here, t, strip, 14)
     near = here & (F.pmod(t, F.lit(4 * NS)) >= 4 * NS - window_ns)
-    w = Window.partitionBy(by).orderBy("pkt_idx").rowsBetween(Window.unboundedPreceding, -1)
-    e = df.withColumn("_delta", F.last(F.when(here & ~near, F.col("ts_ns") - t), ignorenulls=True).over(w))
+    e = with_last_known(df, F.when(here & ~near, F.col("ts_ns") - t), "_delta", by)
     expected = F.col("ts_ns") - F.coalesce("_delta", F.lit(0))
     back = t - 4 * NS
     fixed = F.when(near & (F.abs(expected - back) < F.abs(expected - t)), back).otherwise(t)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bytes import U32
+from ..functions.draw import draw, unit
 from ..schema import whole_div
 from .order import first_value, with_position, with_prefix_sum, with_previous, with_running_max
 
@@ -57,10 +60,18 @@ def delays_ns(lines: int, low_us: float, high_us: float) -> list[int]:
     return [int(low_us + (i * (high_us - low_us) / (lines - 1) if lines > 1 else 0)) * 1000 for i in range(lines)]
 
 
+def address_hash(ip: Column) -> Column:
+    """The four bytes of an address, first to last: times 33, exclusive or with the byte, from 5381, in 32 bits."""
+    h = F.lit(5381).cast("long")
+    for shift in (24, 16, 8, 0):
+        h = (h * 33).bitwiseAND(U32).bitwiseXOR(F.shiftright(ip, shift).bitwiseAND(255))
+    return h
+
+
 def delay_line(df: DataFrame, lines: int = 1, low_us: float = 0, high_us: float = 0) -> DataFrame:
-    """Delay by the line of the destination address; what isn't IPv4 is on line 0. The line is a hash of the address mod ``lines``."""
+    """Delay by the line of the destination address; what isn't IPv4 is on line 0. The line is ``address_hash`` mod ``lines``."""
     delays = delays_ns(lines, low_us, high_us)
-    line = F.when(F.col("dst_ip").isNull() | F.lit(lines == 1), 0).otherwise(F.pmod(F.crc32(F.col("dst_ip").cast("string").cast("binary")), F.lit(lines))).cast("int")
+    line = F.when(F.col("dst_ip").isNull() | F.lit(lines == 1), 0).otherwise(F.pmod(address_hash(F.col("dst_ip")), F.lit(lines))).cast("int")
     d = df.withColumn("line", line)
     return d.withColumn("ts_ns", F.col("ts_ns") + F.element_at(F.array(*[F.lit(x).cast("long") for x in delays]), F.col("line") + 1))
 
@@ -70,6 +81,31 @@ def pacer(df: DataFrame) -> DataFrame:
     return with_running_max(df, F.col("ts_ns"), "release_ns")
 
 
+def paced(df: DataFrame, command: str, start_ns: int = 0, n: int | None = None) -> DataFrame:
+    """Add ``release_ns`` by a command to a pacer that is started at ``start_ns``: ``speedup N`` keeps the gaps, divided by N (0 counts as 1), ``pps N`` spaces
+    packets evenly, ``bw N`` by the bits of the frame before. The first packet leaves at once. After ``n`` packets it stops; the rest is left out."""
+    name, _, value = command.partition(" ")
+    rate = float(value)
+    d = with_position(df, "_pos")
+    if n is not None:
+        d = d.where(F.col("_pos") < n)
+    if name == "speedup":
+        first = first_value(df, "ts_ns").withColumnRenamed("first", "_first")
+        num, den = Decimal(str(rate or 1)).as_integer_ratio()
+        d = d.crossJoin(F.broadcast(first))  # one row
+        wait = whole_div((F.col("ts_ns") - F.col("_first")) * den, num)
+    elif name == "pps":
+        num, den = Decimal(str(rate)).as_integer_ratio()
+        wait = whole_div(F.col("_pos") * (NS * den), num)
+    elif name == "bw":
+        num, den = Decimal(str(rate)).as_integer_ratio()
+        d = with_prefix_sum(d, F.col("frame_len"), "_sent")
+        wait = whole_div(F.col("_sent") * (8 * NS * den), num)
+    else:
+        raise ValueError(f"unknown command {command!r}")
+    return d.withColumn("release_ns", start_ns + wait).drop("_pos", "_first", "_sent")
+
+
 def tracer(df: DataFrame) -> DataFrame:
     """Add ``ipg_ns``: time since the packet before; 0 for the first."""
     d = with_previous(df, F.col("ts_ns"), "_prev")
@@ -203,7 +239,35 @@ def adjust_script(df: DataFrame, script: str, by: str = "src") -> DataFrame:
     return df.groupBy(by).applyInPandas(run, df.schema)
 
 
-def jitter(df: DataFrame, low_ns: int, high_ns: int, seed: int = 0) -> DataFrame:
-    """Uniform extra delay from a hash of the index and the seed; packets keep their order."""
-    extra = low_ns + F.pmod(F.xxhash64("pkt_idx", F.lit(seed)), F.lit(high_ns - low_ns + 1))
+def constant(ns: int):
+    return lambda index, seed: F.lit(ns).cast("long")
+
+
+def uniform(low_ns: int, high_ns: int):
+    """From ``low_ns`` to below ``high_ns``."""
+    return lambda index, seed: low_ns + F.pmod(draw(index, seed), F.lit(max(high_ns - low_ns, 1)))
+
+
+def normal(mean_ns: float, deviation_ns: float, tries: int = 8):
+    """Rounded down. What is below zero is drawn anew, ``tries`` times, then zero."""
+
+    def law(index: Column, seed: int) -> Column:
+        draws = []
+        for k in range(tries):
+            a, b = (draw(index, seed + 2 * k) + 1) / float(1 << 32), unit(index, seed + 2 * k + 1)
+            x = mean_ns + deviation_ns * F.sqrt(-2 * F.log(a)) * F.cos(2 * math.pi * b)
+            draws.append(F.when(x >= 0, F.floor(x)))
+        return F.coalesce(*draws, F.lit(0)).cast("long")
+
+    return law
+
+
+def exponential(scale: float):
+    """``scale`` times e to (a number of 31 bits / ``scale``), as the reference law has it: no true exponential."""
+    return lambda index, seed: F.floor(scale * F.exp(F.shiftright(draw(index, seed), 1) / F.lit(float(scale)))).cast("long")
+
+
+def jitter(df: DataFrame, law, seed: int = 0) -> DataFrame:
+    """Extra delay by a law (``constant``, ``uniform``, ``normal``, ``exponential``) drawn from the index and the seed; packets keep their order."""
+    extra = law(F.col("pkt_idx"), seed)
     return with_running_max(df.withColumn("ts_ns", F.col("ts_ns") + extra), F.col("ts_ns"), "_t").withColumn("ts_ns", F.col("_t")).drop("_t")

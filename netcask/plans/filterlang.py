@@ -9,6 +9,7 @@ after them in the text. Arithmetic is on unsigned 32-bit numbers. An empty expre
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from dataclasses import dataclass, field
 
@@ -40,7 +41,7 @@ SERVICES = {"ftp": 21, "ssh": 22, "telnet": 23, "smtp": 25, "domain": 53, "http"
 FOREIGN = set("wlan fddi tr atm lane mtp2 mtp3 sio opc dpc sls isis iso clnp esis decnet ipx netbeui stp lat moprc mopdl aarp atalk inbound outbound ifname on rset ruleset reason action gateway protochain".split())
 
 _TOKEN = re.compile(
-    r"\s*(?:(?P<mac>[0-9a-fA-F]{1,2}(?:[:-][0-9a-fA-F]{1,2}){5}\b)|(?P<addr>\d+(?:\.\d+){1,3})|(?P<num>0[xX][0-9a-fA-F]+|\d+\b)"
+    r"\s*(?:(?P<ip6>[0-9a-fA-F:]*::[0-9a-fA-F:]*(?:(?<=:)\d+(?:\.\d+){3})?|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}\b)|(?P<mac>[0-9a-fA-F]{1,2}(?:[:-][0-9a-fA-F]{1,2}){5}\b)|(?P<addr>\d+(?:\.\d+){1,3})|(?P<num>0[xX][0-9a-fA-F]+|\d+\b)"
     r"|(?P<word>[a-zA-Z][\w]*(?:-[a-zA-Z][\w]*)*)|(?P<op>&&|\|\||<<|>>|>=|<=|!=|==|[-+*/&|<>=!()\[\]:]))"
 )
 
@@ -138,7 +139,7 @@ class Parser:
                         return True
                     elif kind == "word" and text in ("and", "or", "not") or text in ("&&", "||", "!"):
                         return False
-                    elif kind in ("mac", "addr"):
+                    elif kind in ("mac", "addr", "ip6"):
                         return False
                     i += 1
             return False
@@ -190,7 +191,7 @@ class Parser:
 
     def primitive(self, bare: bool) -> tuple:
         kind, text = self.peek()
-        if kind in ("num", "addr", "mac"):
+        if kind in ("num", "addr", "mac", "ip6"):
             if not bare or self.last.kind is None:
                 if kind == "num" and self.last.kind is None:
                     raise FilterError(f"{text} has no qualifier")
@@ -229,7 +230,7 @@ class Parser:
                 self.take()
         if self.peek()[1] in ("host", "net", "port", "portrange", "proto"):
             q.kind = self.take()[1]
-        if q.kind is None and self.peek()[0] not in ("num", "addr", "mac"):
+        if q.kind is None and self.peek()[0] not in ("num", "addr", "mac", "ip6"):
             if q.proto is None or q.proto == "ether" or q.way != "either":
                 raise FilterError(f"can't go on at {self.peek()[1] or 'the end'!r}")
             return ("proto", q.proto)
@@ -240,6 +241,8 @@ class Parser:
 
     def value(self, q: Qualifiers) -> tuple:
         kind, text = self.take()
+        if kind == "ip6" and q.kind in ("host", "net"):
+            return self.address6(q, text)
         if q.kind == "host":
             if kind == "mac":
                 if q.proto not in (None, "ether"):
@@ -288,6 +291,21 @@ class Parser:
             raise FilterError(f"non-network bits set in {text!r}")
         return ("addr", q.proto, q.way, value, mask)
 
+    def address6(self, q: Qualifiers, text: str) -> tuple:
+        try:
+            value = int(ipaddress.IPv6Address(text))
+        except ValueError as e:
+            raise FilterError(f"no IPv6 address: {text!r}") from e
+        if q.proto not in (None, "ip6"):
+            raise FilterError(f"'{q.proto}' modifier applied to an IPv6 address")
+        bits = int(self.take()[1], 0) if self.skip("/") else 128
+        if bits > 128 or (bits != 128 and q.kind != "net"):
+            raise FilterError(f"invalid mask length: {text}/{bits}")
+        mask = (1 << 128) - (1 << (128 - bits))
+        if value & ~mask:
+            raise FilterError(f"non-network bits set in {text!r}")
+        return ("addr6", q.way, value, mask)
+
     def port(self, kind: str, text: str) -> int:
         if kind == "num":
             n = int(text, 0)
@@ -484,6 +502,13 @@ class Compiler:
             raise FilterError(f"'{proto}' modifier applied to an address")
         return at(*ways[proto])
 
+    def on_addr6(self, way: str, value: int, mask: int) -> Test:
+        def same(off: int) -> Test:
+            words = [(off + 4 * k, value >> 96 - 32 * k & U32, mask >> 96 - 32 * k & U32) for k in range(4)]
+            return both(*[of(self.load(self.net_at + o, 4).bitwiseAND(m) == v) for o, v, m in words])
+
+        return self.ip6(self.directed(way, same(8), same(24)))
+
     # transport layer
 
     def transport(self) -> Column:

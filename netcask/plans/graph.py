@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import balance, edit, select, timing
+from ..operators import balance, edit, encap, metrics, select, stamps, timing
 from .filterlang import split
 
 Links = dict[str, DataFrame]
@@ -41,6 +43,30 @@ register_node("reflect")(lambda df: edit.reflect(df))
 register_node("rr_spreader")(lambda df, n: balance.spread(df, int(n)))
 
 
+register_node("merge_sorter")(lambda df: balance.merge(df))
+register_node("rr_gather")(lambda df, n: balance.gather(df, int(n)))
+register_node("flow_balancer")(lambda df, n, mode="rr": (balance.balance_least_load if mode == "estimate" else balance.balance_round_robin)(df, int(n)))
+register_node("token_bucket_shaper")(lambda df, max_pps=None, max_bps=None, overhead=0: timing.token_bucket(df, max_pps and parse_number(max_pps), max_bps and parse_number(max_bps), int(overhead)))
+register_node("delay_line")(lambda df, num_lines=1, usec_min=0, usec_max=0: timing.delay_line(df, int(num_lines), float(usec_min), float(usec_max)))
+register_node("batch_limiter")(lambda df, max_packets: timing.batch_ids(df, int(max_packets)))
+register_node("rt_pacer")(lambda df, command, n=None: timing.paced(df, command, n=None if n is None else int(n)))
+register_node("vss")(lambda df: stamps.vss(df))
+register_node("cpacket_ts")(lambda df, has_fcs=1, keep_cpacket_footer=0, is_metamako=0: stamps.footer_stamp(df, bool(int(has_fcs)), not int(keep_cpacket_footer), extensions=bool(int(is_metamako))))
+register_node("cpacket_encap")(lambda df, version=0, device_id=0, port=0: stamps.footer_encap(df, int(version), int(device_id), int(port)))
+register_node("arista_ts", ("", "no_timestamp", "lldp"))(lambda df, ts_format=None, switch_model="7280": stamps.switch_stamps(df, switch_model, ts_format))
+register_node("strip_stamp")(lambda df: stamps.switch48(df))
+register_node("header_editor")(lambda df, **rules: edit.edit_headers(df, **rules))
+register_node("append_ts")(lambda df: edit.append_timestamp(df))
+register_node("drop_n", ("", "drop"))(lambda df, n: select.drop_every(df, int(n)))
+register_node("dropper", ("", "drop"))(lambda df, p, seed=0: select.drop_at_random(df, float(p), int(seed)))
+register_node("scatter")(lambda df, n, seed=0: encap.scatter(df, int(n), int(seed)))
+register_node("mode1_encap")(lambda df, **args: encap.mode1_encap(df, **args))
+register_node("discard")(lambda df, mask: select.discard(df, mask.split(",")))
+register_node("rate_monitor")(lambda df, period=0.1, alpha=0.5: metrics.smoothed_rates(df, int(float(period) * 1e9), float(alpha)))
+register_node("check_cap_len")(lambda df: metrics.length_check(df))
+register_node("measure_ipg")(lambda df, skip=0: metrics.mean_gap(df, int(skip)))
+
+
 @register_node("ts_adjust")
 def _ts_adjust(df: DataFrame, speedup=None, pps=None, bw=None, start_at_ns=None, offset_ns=0) -> DataFrame:
     start, offset = None if start_at_ns is None else int(start_at_ns), int(offset_ns)
@@ -156,6 +182,27 @@ class Graph:
                     inputs.setdefault(to.name, []).append(df)
         return out
 
+    def stats(self) -> DataFrame:
+        """(node, pkts_in, pkts_out) of every node that isn't a source, over all its inputs and links. Counts only; data isn't kept."""
+        made = self.build()
+        rows: list[DataFrame] = []
+        for n in self.nodes.values():
+            if n.source is not None:
+                continue
+            for m in self.nodes.values():
+                for link, tos in m.links.items():
+                    rows += [made[m.name, link].select(F.lit(n.name).alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))] * sum(t is n for t in tos if (m.name, link) in made)
+            links = REGISTRY[n.type][1]
+            rows += [made[n.name, link].select(F.lit(n.name).alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")) for link in links if (n.name, link) in made and (link == "" or link in n.links)]
+        return balance.union(*rows).groupBy("node").agg(F.sum("i").alias("pkts_in"), F.sum("o").alias("pkts_out"))
+
+    def find(self, what: str) -> list[Node]:
+        """Nodes by name, by ``type=NAME``, or by ``ARG=VALUE``; ``*`` stands for anything."""
+        key, eq, value = what.rpartition("=")
+        if not eq:
+            return [n for n in self.nodes.values() if fnmatchcase(n.name, what)]
+        return [n for n in self.nodes.values() if fnmatchcase(str(n.type if key == "type" else n.args.get(key, "")), value) and (key == "type" or key in n.args)]
+
     def to_dot(self) -> str:
         rows = [f'  "{n.name}" [label="{n.name}\\n{n.type}"];' for n in self.nodes.values()]
         rows += [f'  "{n.name}" -> "{t.name}"' + (f' [label="{link}"]' if link else "") + ";" for n in self.nodes.values() for link, tos in n.links.items() for t in tos]

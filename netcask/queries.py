@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import headers
-from .functions.bytes import bytes_be, read_be
-from .operators import balance, edit, files, generate, lines, metrics, select, stamps, timing
+from .functions.bytes import bytes_be, bytes_le, read_be, splice
+from .functions.draw import draw_sql
+from .operators import balance, edit, encap, files, generate, joins, lines, metrics, select, stamps, timing
 from .plans.filterlang import predicate
 from .sources.packetview import PACKETS_SQL, packets
 
@@ -159,7 +160,7 @@ def tap_copy(spark, sf_dir):
     return select.tap(_pk(spark, sf_dir, True), bpf="udp", snap=64)["tap"].select("pkt_idx", F.length("data").cast("long").alias("n"), "flags")
 
 
-@query()
+@query(f"SELECT pkt_idx FROM pk WHERE {draw_sql('pkt_idx', 5)} < 429496729")
 def drop_at_random(spark, sf_dir):
     out = select.drop_at_random(_pk(spark, sf_dir), 0.1, seed=5)
     return out["drop"].select("pkt_idx")
@@ -256,7 +257,8 @@ def delay_line_fixed(spark, sf_dir):
     return timing.delay_line(_pk(spark, sf_dir), 1, 250, 250).select("pkt_idx", "ts_ns")
 
 
-@query()
+@query("""SELECT pkt_idx, h % 4 AS line, ts_ns + [100, 400, 700, 1000][h % 4 + 1] * 1000 AS ts_ns FROM (
+          SELECT pkt_idx, ts_ns, xor(xor(xor(xor(5381 * 33, dst_ip >> 24) * 33 % 4294967296, (dst_ip >> 16) & 255) * 33 % 4294967296, (dst_ip >> 8) & 255) * 33 % 4294967296, dst_ip & 255) AS h FROM pk)""")
 def delay_line_hashed(spark, sf_dir):
     return timing.delay_line(_pk(spark, sf_dir), 4, 100, 1000).select("pkt_idx", "line", "ts_ns")
 
@@ -482,7 +484,7 @@ def _switched(spark, sf_dir, version: int, stamp):
     return d.withColumn("data", F.concat(F.substring("data", 1, 12), head, F.substring(F.col("data"), F.lit(13), F.length("data"))))
 
 
-@query("SELECT pkt_idx, ts_ns + 123456789000 AS ts_ns, cap_len AS n, true AS stamped FROM pk")
+@query("SELECT pkt_idx, ts_ns + CASE WHEN flags & 2 = 0 THEN 123456789000 ELSE 0 END AS ts_ns, cap_len + CASE WHEN flags & 2 = 0 THEN 0 ELSE 12 END AS n, flags & 2 = 0 AS stamped FROM pk")
 def arista7280_48_decode(spark, sf_dir):
     from .schema import nanos_of, seconds_of
 
@@ -629,9 +631,9 @@ def ts_adjust_script(spark, sf_dir):
     return d.select("pkt_idx", "ts_ns")
 
 
-@query()
+@query(f"SELECT pkt_idx, max(ts_ns + {draw_sql('pkt_idx', 3)} % 1000) OVER (ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING) AS ts_ns FROM pk")
 def jitter(spark, sf_dir):
-    return timing.jitter(_pk(spark, sf_dir), 0, 1000, seed=3).select("pkt_idx", "ts_ns")
+    return timing.jitter(_pk(spark, sf_dir), timing.uniform(0, 1000), seed=3).select("pkt_idx", "ts_ns")
 
 
 @query("SELECT src, CAST(sum(cap_len + 16) AS BIGINT) AS bytes, count(*) AS pkts FROM pk GROUP BY src")
@@ -641,3 +643,274 @@ def packed_repack(spark, sf_dir):
     d = repack_stream(pack_stream(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), 4096), 65536)
     sizes = d.groupBy("src").agg(F.sum(F.length("buffer")).alias("bytes"))
     return sizes.join(unpack_stream(d).groupBy("src").agg(F.count("*").alias("pkts")), "src").select("src", "bytes", "pkts")
+
+
+# addresses of IPv6
+
+
+def _pk6(spark, sf_dir):
+    from .sources.packetview import with_bytes6
+
+    return with_bytes6(_pk(spark, sf_dir))
+
+
+@query("SELECT pkt_idx, frame_len FROM pk WHERE src_ip = 167772160 + 5 OR dst_ip = 3232235776 + 9 AND pkt_idx % 7 = 3 AND ip_proto = 17 OR dst_ip = 3232235776 AND pkt_idx % 7 = 0 AND sport IS NOT NULL AND dport = 80")
+def bpf_ip6_host(spark, sf_dir):
+    text = "ip6 host 2001:db8::5 or (dst host fd00:3::9 and udp) or (ip6 dst host fd00:0::0 and port 80)"
+    return _pk6(spark, sf_dir).where(predicate(text)).select("pkt_idx", "frame_len")
+
+
+@query("SELECT pkt_idx FROM pk WHERE pkt_idx % 7 IN (2, 3) OR src_ip - 167772160 BETWEEN 16 AND 31 AND ip_proto = 1")
+def bpf_ip6_net(spark, sf_dir):
+    return _pk6(spark, sf_dir).where(predicate("dst net fd00:2::/31 or (src net 2001:db8::10/124 and icmp6)")).select("pkt_idx")
+
+
+# stamps: extensions of the footer, places of the switch header, rollovers
+
+
+#: Case: words from the end, flags, bytes that go besides the footer's sixteen, whether the packet gets a CRC error.
+FOOTER_CASES = [
+    ([0x12345620], 3, 4, 0),
+    ([0x123456E0, 0x12345678, 0x12345678, 0x12345678], 3, 16, 0),
+    ([0x12345600, 0x12345620], 3, 8, 0),
+    ([0x1234017F, 0x12345678, 0x12345678, 0x12345678, 0x12345678, 0x12345678, 0x12345678], 3, 28, 0),
+    ([0x12345620], 1, 0, 0),
+    ([0x12345600], 3, 0, 0),
+    ([0x12345620], 2, 4, 2),
+]
+
+
+@query(f"""SELECT pkt_idx, ts_ns, frame_len + 20 + 4 * w - CASE WHEN flags & 2 = 0 THEN gone + 16 ELSE 0 END AS frame_len, CASE WHEN flags & 2 = 0 THEN flags | bad ELSE flags END AS flags,
+           CASE WHEN flags & 2 = 0 THEN cap_len + 4 + 4 * w - gone ELSE cap_len + 20 + 4 * w END AS n, true AS begins_alike
+           FROM (SELECT *, [{", ".join(str(len(c[0])) for c in FOOTER_CASES)}][pkt_idx % 7 + 1] AS w, [{", ".join(str(c[2]) for c in FOOTER_CASES)}][pkt_idx % 7 + 1] AS gone,
+                 [{", ".join(str(c[3]) for c in FOOTER_CASES)}][pkt_idx % 7 + 1] AS bad FROM pk WHERE frame_len = cap_len AND pkt_idx % 7 <> 5)""")
+def cpacket_extensions(spark, sf_dir):
+    """Frames with an FCS, extensions and a new FCS. The case that has no final word is in the tests: what is read then depends on the frame's bytes."""
+    from .schema import nanos_of, seconds_of
+
+    which = F.col("pkt_idx") % 7 + 1
+    words = F.element_at(F.array(*[F.lit("".join(f"{w:08X}" for w in reversed(c[0]))) for c in FOOTER_CASES]), which.cast("int"))
+    version = F.element_at(F.array(*[F.lit(c[1]) for c in FOOTER_CASES]), which.cast("int"))
+    foot = F.concat(F.unhex(F.lit("AABBCCDD")), F.unhex(words), bytes_be(seconds_of(F.col("ts_ns")), 4), bytes_be(nanos_of(F.col("ts_ns")), 4), bytes_be(version, 1), F.unhex(F.lit("01020755555555")))
+    d = _pk(spark, sf_dir, True).where("frame_len = cap_len AND pkt_idx % 7 <> 5").withColumn("was", F.col("data"))
+    d = d.withColumns({"data": F.concat("data", foot), "frame_len": F.col("frame_len") + F.length(foot), "ts_ns": F.when(F.col("flags").bitwiseAND(2) == 0, 0).otherwise(F.col("ts_ns"))})
+    out = stamps.footer_stamp(d, extensions=True)
+    alike = F.substring("data", 1, 60) == F.substring("was", 1, 60)
+    return out.select("pkt_idx", "ts_ns", "frame_len", "flags", F.length("data").cast("long").alias("n"), alike.alias("begins_alike"))
+
+
+@query("""SELECT pkt_idx, CASE WHEN flags & 2 = 0 AND pkt_idx % 5 <> 0 AND pkt_idx % 6 <> 0 THEN ts_ns + 123456789000 ELSE ts_ns END AS ts_ns, CASE WHEN flags & 2 = 0 AND pkt_idx % 5 <> 0 AND pkt_idx % 6 <> 0 THEN '' ELSE 'no_timestamp' END AS link,
+          CASE WHEN pkt_idx % 6 = 0 THEN 'ABCDEF' WHEN flags & 2 = 0 AND pkt_idx % 5 <> 0 THEN '00AA00' END AS source FROM pk""")
+def arista7280_48_source(spark, sf_dir):
+    """The stamp is in the source address; LLDP every fifth packet, an address without stamps every sixth."""
+    from .schema import nanos_of, seconds_of
+
+    t, i = F.col("ts_ns") + 123456789000, F.col("pkt_idx")
+    stamp = F.concat(bytes_be(F.pmod(seconds_of(t), F.lit(65536)), 2), bytes_be(nanos_of(t), 4))
+    source = F.when(i % 6 == 0, F.unhex(F.lit("ABCDEF000000"))).otherwise(stamp)
+    kind = F.when(i % 5 == 0, F.unhex(F.lit("88CC"))).otherwise(F.substring("data", 13, 2))
+    d = _pk(spark, sf_dir, True).withColumn("data", F.concat(F.substring("data", 1, 6), source, kind, F.substring(F.col("data"), F.lit(15), F.length("data"))))
+    out = stamps.switch_stamps(d, "7280", strip=False, in_source=True, new_source="00:AA:00:00:00:01", no_stamp_oui="ab:cd:ef")
+    shown = F.when((i % 6 == 0) | (F.col("stamped")), F.hex(F.substring("data", 7, 3)))
+    return balance.union(*[x.select("pkt_idx", "ts_ns", F.lit(link).alias("link"), shown.alias("source")) for link, x in out.items() if link != "lldp"])
+
+
+@query("""SELECT pkt_idx, ts_ns - 250 AS ts_ns FROM pk""")
+def arista7280_64_rollover(spark, sf_dir):
+    """The switch's clock is 250 ns behind; within a second of the end of its 4 s cycle every other stamp is a cycle ahead."""
+    from .schema import nanos_of, seconds_of
+
+    t = F.col("ts_ns") - 250
+    late = (F.pmod(t, F.lit(4_000_000_000)) >= 3_000_000_000) & (F.col("pkt_idx") % 2 == 1)
+    s = t + F.when(late, 4_000_000_000).otherwise(0)
+    d = _switched(spark, sf_dir, 0x111, F.concat(bytes_be(seconds_of(s), 4), bytes_be(nanos_of(s), 4)))
+    return stamps.switch64(d, window_ns=1_000_000_000).select("pkt_idx", "ts_ns")
+
+
+# pacing to a command, laws of delay
+
+
+@query("SELECT pkt_idx, CAST(1000 + coalesce(sum(frame_len) OVER (ORDER BY pkt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8000 AS BIGINT) AS release_ns FROM pk")
+def rt_pacer_bw(spark, sf_dir):
+    return timing.paced(_pk(spark, sf_dir), "bw 1000000", 1000).select("pkt_idx", "release_ns")
+
+
+@query("SELECT pkt_idx, (row_number() OVER (ORDER BY pkt_idx) - 1) * 1000000000 // 250 AS release_ns FROM pk WHERE ip_proto = 17 QUALIFY row_number() OVER (ORDER BY pkt_idx) <= 600")
+def rt_pacer_pps(spark, sf_dir):
+    return timing.paced(_pk(spark, sf_dir).where("ip_proto = 17"), "pps 250", n=600).select("pkt_idx", "release_ns")
+
+
+@query("SELECT pkt_idx, 5 + (ts_ns - (SELECT arg_min(ts_ns, pkt_idx) FROM pk)) // 4 AS release_ns FROM pk")
+def rt_pacer_speedup(spark, sf_dir):
+    return timing.paced(_pk(spark, sf_dir), "speedup 4", 5).select("pkt_idx", "release_ns")
+
+
+def _jitter_sql(law: str) -> str:
+    return f"SELECT pkt_idx, max(ts_ns + {law}) OVER (ORDER BY pkt_idx ROWS UNBOUNDED PRECEDING) AS ts_ns FROM pk"
+
+
+@query(_jitter_sql("777"))
+def jitter_constant(spark, sf_dir):
+    return timing.jitter(_pk(spark, sf_dir), timing.constant(777)).select("pkt_idx", "ts_ns")
+
+
+@query(_jitter_sql("CAST(coalesce(" + ", ".join(
+    f"CASE WHEN 5e12 + 4e12 * sqrt(-2 * ln(({draw_sql('pkt_idx', 9 + 2 * k)} + 1) / 4294967296.0)) * cos(2 * pi() * ({draw_sql('pkt_idx', 10 + 2 * k)} / 4294967296.0)) >= 0 "
+    f"THEN floor((5e12 + 4e12 * sqrt(-2 * ln(({draw_sql('pkt_idx', 9 + 2 * k)} + 1) / 4294967296.0)) * cos(2 * pi() * ({draw_sql('pkt_idx', 10 + 2 * k)} / 4294967296.0))) / 1e6) END" for k in range(3)
+) + ", 0) AS BIGINT) * 1000000"))
+def jitter_normal(spark, sf_dir):
+    """In whole milliseconds, as two libraries' cosines may differ in their last digits."""
+    law = timing.normal(5e12, 4e12, tries=3)
+    return timing.jitter(_pk(spark, sf_dir), lambda i, seed: F.call_function("div", law(i, seed), F.lit(1_000_000)) * 1_000_000, seed=9).select("pkt_idx", "ts_ns")
+
+
+@query(_jitter_sql(f"CAST(floor(1e9 * exp(({draw_sql('pkt_idx', 4)} >> 1) / 1e9) / 1000) AS BIGINT) * 1000"))
+def jitter_exponential(spark, sf_dir):
+    law = timing.exponential(1e9)
+    return timing.jitter(_pk(spark, sf_dir), lambda i, seed: F.call_function("div", law(i, seed), F.lit(1000)) * 1000, seed=4).select("pkt_idx", "ts_ns")
+
+
+@query(f"SELECT pkt_idx, CAST({draw_sql('pkt_idx', 21)} % 5 AS BIGINT) AS output FROM pk")
+def scatter(spark, sf_dir):
+    return encap.scatter(_pk(spark, sf_dir), 5, seed=21).select("pkt_idx", "output")
+
+
+# packets in packets and in messages
+
+
+@query("SELECT pkt_idx, frame_len + 22 + 6 - CASE WHEN vlan_id IS NULL THEN 0 ELSE 4 END AS frame_len, (row_number() OVER (ORDER BY pkt_idx) - 1) % 65536 AS ip_id, 167772161 AS outer_src, true AS inner_alike FROM pk")
+def mode1_encap(spark, sf_dir):
+    d = _pk(spark, sf_dir, True).withColumn("was", F.col("data"))
+    out = encap.mode1_encap(d, "10.0.0.1", "10.0.0.2", pad=6)
+    net = F.when(F.col("vlan_id").isNull(), 15).otherwise(19)
+    inner = encap.mode1_decap(out.withColumn("outer", F.col("data")))
+    alike = F.col("data") == F.substring(F.col("was"), net, F.length("was"))
+    return inner.select("pkt_idx", (F.col("frame_len") + 42).alias("frame_len"), read_be(F.col("outer"), 18, 2).alias("ip_id"), read_be(F.col("outer"), 26, 4).alias("outer_src"), alike.alias("inner_alike"))
+
+
+@query("""SELECT 'up-' || src AS link, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) AS place, ts_ns, flags, frame_len, true AS alike FROM pk""")
+def tunnel_roundtrip(spark, sf_dir):
+    """Each capture is a connection of one named link; packets go in messages and come back."""
+    d = _pk(spark, sf_dir, True).withColumn("stream_id", F.col("src") + 7)
+    sent = encap.tunnel_messages(d).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pkt_idx", "message"))).alias("m"))
+    start = [encap.handshake() + encap.link_message(f"up-{s}", s + 7) + bytes([encap.MAY_IGNORE + 3, 1, 0, 0, 0, 9]) for s in range(3)]
+    first = F.element_at(F.array(*[F.lit(bytearray(x)) for x in start]), (F.col("src") + 1).cast("int"))
+    body = F.unhex(F.concat_ws("", F.transform("m", lambda x: F.hex(x["message"]))))
+    got = encap.decode_tunnels(sent.select(F.col("src").cast("string").alias("path"), F.concat(first, body, F.unhex(F.lit("0502000000") ), bytes_le(F.col("src") + 7, 2)).alias("content")))
+    was = d.select(F.col("ts_ns"), F.col("src"), F.md5("data").alias("was"))
+    back = got.join(was.withColumn("path", F.col("src").cast("string")).drop("src"), ["path", "ts_ns"])
+    return back.select("link", (F.col("pkt_idx") + 1).alias("place"), "ts_ns", F.col("flags").cast("long").alias("flags"), F.col("frame_len").cast("long").alias("frame_len"), (F.md5("data") == F.col("was")).alias("alike"))
+
+
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS place, ts_ns, flags, frame_len, true AS alike FROM pk")
+def serialise_roundtrip(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = _pk(spark, sf_dir, True)
+    got = encap.deserialise(encap.serialise(d.withColumn("flags", F.col("flags").cast("int")), 4096))
+    place = (F.row_number().over(Window.partitionBy("src").orderBy("bucket", "place")) - 1).cast("long")
+    back = got.withColumn("place", place).join(d.select("src", "ts_ns", F.md5("data").alias("was")), ["src", "ts_ns"])
+    return back.select("src", "place", "ts_ns", F.col("flags").cast("long").alias("flags"), F.col("frame_len").cast("long").alias("frame_len"), (F.md5("data") == F.col("was")).alias("alike"))
+
+
+@query("""SELECT pkt_idx, coalesce(c.k, 0) AS connection_id FROM pk ASOF LEFT JOIN (SELECT ts_ns AS at, pkt_idx // 90 AS k FROM pk WHERE pkt_idx % 90 = 45) c ON pk.ts_ns >= c.at""")
+def connection_ids(spark, sf_dir):
+    d = _pk(spark, sf_dir)
+    control = d.where("pkt_idx % 90 = 45").select("ts_ns", F.expr("pkt_idx div 90").alias("connection_id"))
+    return encap.connection_ids(d, control).select("pkt_idx", "connection_id")
+
+
+@query("""WITH t AS (SELECT pkt_idx, src_ip, dst_ip, sport, dport, pkt_idx // 50 AS seq, row_number() OVER w AS r, first_value(pkt_idx // 50) OVER w AS pick FROM pk WHERE ip_proto = 6 AND vlan_id IS NULL WINDOW w AS (PARTITION BY src_ip, dport ORDER BY pkt_idx)),
+          n AS (SELECT pkt_idx, row_number() OVER (PARTITION BY src_ip, dport ORDER BY pkt_idx) AS k FROM t WHERE seq = pick)
+          SELECT pkt_idx FROM n WHERE k <= 2""".replace("WITH t", ", t", 1))
+def tcp_seq_drop(spark, sf_dir):
+    """Sequence numbers repeat within 50 packets; of each connection the first two packets with its first one go."""
+    d = _pk(spark, sf_dir, True).where("ip_proto = 6 AND vlan_id IS NULL")
+    d = d.withColumn("data", splice(F.col("data"), 38, bytes_be(F.expr("pkt_idx div 50"), 4), 4))
+    return encap.drop_tcp_segment(d, 2, by=("src_ip", "dport"))["drop"].select("pkt_idx")
+
+
+# lines with their ends
+
+
+@query("""SELECT doc_id, line_no, CASE WHEN length(l) > 40 THEN l[:40] ELSE l END || chr(10) AS line, length(l) > 40 AS truncated
+          FROM (SELECT doc_id, unnest(s) AS l, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS line_no FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS s FROM documents WHERE length(text) > 0))""", plain=True)
+def line_reader_ends(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return lines.read_lines(docs, lstrip=False, rstrip=False, strip_comments=False, strip_blank=False, add_new_line=True, limit=40, forward_truncated=True)
+
+
+# relational work: joins, grouping sets, sliding windows
+
+
+@query("SELECT pkt_idx FROM pk WHERE src_ip - 167772160 IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def semi_join_customers(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal < 0")
+    return _pk(spark, sf_dir).withColumn("c_custkey", F.col("src_ip") - 167772160).join(c, "c_custkey", "left_semi").select("pkt_idx")
+
+
+@query("SELECT pkt_idx FROM pk WHERE src_ip - 167772160 NOT IN (SELECT c_custkey FROM customer)")
+def anti_join_customers(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return _pk(spark, sf_dir).withColumn("c_custkey", F.col("src_ip") - 167772160).join(c, "c_custkey", "left_anti").select("pkt_idx")
+
+
+@query("""SELECT pkt_idx, c_custkey FROM pk JOIN (SELECT c_custkey, 167772160 + c_custkey * 8 AS low, 167772160 + c_custkey * 8 + 7 + c_custkey % 5 AS high FROM customer) r ON src_ip BETWEEN low AND high""")
+def range_join_blocks(spark, sf_dir):
+    """Addresses to ranges of them, some overlapping: both sides are cut in cells of 64 addresses, so the join is an equi-join."""
+    c = F.col("c_custkey")
+    ranges = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (167772160 + c * 8).alias("low"), (167772167 + c * 8 + c % 5).alias("high"))
+    return joins.range_join(_pk(spark, sf_dir), ranges, "src_ip", "low", "high", 64).select("pkt_idx", "c_custkey")
+
+
+@query("""SELECT a.pkt_idx AS pkt_idx, b.pkt_idx AS other FROM pk a JOIN pk b ON a.dst_ip = b.dst_ip AND b.ip_proto = 1 AND a.ip_proto = 17 AND b.ts_ns BETWEEN a.ts_ns AND a.ts_ns + 7200000000000""")
+def interval_join_errors(spark, sf_dir):
+    """Errors to the same address within two hours of a packet: time is cut in cells of that length, so the join is an equi-join."""
+    d = _pk(spark, sf_dir).select("pkt_idx", "dst_ip", "ts_ns", "ip_proto")
+    errors = d.where("ip_proto = 1").select(F.col("pkt_idx").alias("other"), "dst_ip", F.col("ts_ns").alias("then_ns"))
+    return joins.interval_join(d.where("ip_proto = 17"), errors, ["dst_ip"], "ts_ns", "then_ns", 7_200_000_000_000).select("pkt_idx", "other")
+
+
+@query("SELECT src, ip_proto, vlan_id, count(*) AS pkts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM pk GROUP BY CUBE (src, ip_proto, vlan_id)")
+def cube_traffic(spark, sf_dir):
+    return _pk(spark, sf_dir).cube("src", "ip_proto", "vlan_id").agg(F.count("*").alias("pkts"), F.sum("frame_len").alias("bytes"))
+
+
+@query("SELECT src, dport, count(*) AS pkts, count(DISTINCT src_ip) AS hosts FROM pk GROUP BY GROUPING SETS ((src, dport), (dport), ())")
+def grouping_sets_traffic(spark, sf_dir):
+    return _pk(spark, sf_dir).groupingSets([["src", "dport"], ["dport"], []], "src", "dport").agg(F.count("*").alias("pkts"), F.countDistinct("src_ip").alias("hosts"))
+
+
+@query("""SELECT w * 900000000000 AS start_ns, count(*) AS pkts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM (SELECT frame_len, ts_ns // 900000000000 - unnest([0, 1, 2, 3]) AS w FROM pk) GROUP BY 1""")
+def sliding_window_traffic(spark, sf_dir):
+    """Windows of an hour, one every quarter."""
+    return metrics.sliding(_pk(spark, sf_dir), 3_600_000_000_000, 900_000_000_000)
+
+
+@query("SELECT src, true AS close FROM pk GROUP BY src")
+def approximate_flows(spark, sf_dir):
+    """An estimate of distinct flows within 5 % of the count, by capture: HyperLogLog, a sketch a task."""
+    d = balance.with_flow_key(_pk(spark, sf_dir)).withColumn("flow", F.struct(*balance.KEY))
+    a = d.groupBy("src").agg(F.approx_count_distinct("flow", 0.01).alias("guess"), F.countDistinct("flow").alias("count"))
+    return a.select("src", (F.abs(F.col("guess") - F.col("count")) <= 0.05 * F.col("count")).alias("close"))
+
+
+# counters
+
+
+@query("SELECT 'filter' AS node, count(*) AS pkts_in, count(*) FILTER (WHERE vlan_id IS NULL AND ip_proto = 6) AS pkts_out FROM pk UNION ALL SELECT 'snap', count(*), count(*) FROM pk WHERE vlan_id IS NULL AND ip_proto = 6")
+def node_stats(spark, sf_dir):
+    from .plans.graph import Graph
+
+    g = Graph()
+    g.source("src", _pk(spark, sf_dir, True)).connect(g.node("filter:bpf=tcp", "filter")).connect(g.node("snap:snap=40", "snap"))
+    return g.stats()
+
+
+@query("""SELECT src AS object, period, total_pkts AS pkts, round(CASE WHEN gap > 0 THEN n * 1e9 / gap END, 9) AS pkts_rate, round(CASE WHEN gap > 0 THEN bytes * 8e3 / gap END, 9) AS bytes_mbps, total_bytes * 1.0 AS bytes_s FROM (
+            SELECT *, (period - lag(period) OVER w) * 3600000000000 AS gap, CAST(sum(n) OVER w AS BIGINT) AS total_pkts, CAST(sum(bytes) OVER w AS DOUBLE) AS total_bytes
+            FROM (SELECT src, ts_ns // 3600000000000 AS period, count(*) AS n, sum(frame_len) AS bytes FROM pk GROUP BY ALL) WINDOW w AS (PARTITION BY src ORDER BY period))""")
+def monitor_fields(spark, sf_dir):
+    counters = metrics.counters(_pk(spark, sf_dir), period_ns=3_600_000_000_000)
+    d = metrics.monitor(counters, ["pkts", "pkts.rate", "bytes.mbps", "bytes.s"], 3_600_000_000_000)
+    return d.withColumns({"pkts_rate": F.round("pkts_rate", 9), "bytes_mbps": F.round("bytes_mbps", 9)})

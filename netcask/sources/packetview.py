@@ -47,6 +47,16 @@ def packets(spark: SparkSession, sf_dir: str, with_data: bool = False) -> DataFr
     return with_bytes(df) if with_data else df
 
 
+def with_bytes6(df: DataFrame) -> DataFrame:
+    """Add ``data`` as IPv6: from 2001:db8::(user) to fd00:(index mod 7)::(last byte of the IPv4 address), otherwise as ``with_bytes`` has it."""
+    head = F.concat(
+        F.lit("001122334455006677889900" + "86DD" + "60000000"), hex_be(F.col("frame_len") - 54, 2), hex_be(F.when(F.col("ip_proto") == 1, 58).otherwise(F.col("ip_proto")), 1), F.lit("40"),
+        F.lit("20010DB8" + "0" * 16), hex_be(F.col("src_ip") - 167772160, 4), F.lit("FD00"), hex_be(F.col("pkt_idx") % 7, 2), F.lit("0" * 16), hex_be(F.col("dst_ip") - 3232235776, 4),
+        hex_be(F.coalesce("sport", F.lit(0)), 2), hex_be(F.coalesce("dport", F.lit(0)), 2),
+    )
+    return df.withColumn("data", F.when(F.monotonically_increasing_id() >= 0, F.unhex(F.rpad(head, (F.col("cap_len") * 2).cast("int"), F.lit("0")))))
+
+
 def with_bytes(df: DataFrame) -> DataFrame:
     """Add ``data``: Ethernet, an optional VLAN tag, IPv4 and TCP, UDP or ICMP, zeros up to ``cap_len``."""
     tagged = F.col("vlan_id").isNotNull()
