@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import with_position
+from ..schema import whole_div
+from .order import with_last_known, with_position
 
 #: Packets of a flow further apart than this start a new flow.
 FLOW_IDLE_NS = 5_000_000_000
@@ -91,26 +92,41 @@ def flows(df: DataFrame) -> DataFrame:
     )
 
 
-def balance_round_robin(df: DataFrame, n: int) -> DataFrame:
-    """Add ``output``: flows go to outputs in turn, by their first packet. The turn is counted over first packets only, in buckets."""
-    seen = with_position(flows(df).select(*KEY, F.col("first_idx").alias("pkt_idx")), "_turn")
-    return with_flow_key(df).join(seen.select(*KEY, (F.col("_turn") % n).alias("output")), KEY).drop(*KEY)
+def with_sessions(df: DataFrame, idle_ns: int | None = FLOW_IDLE_NS) -> DataFrame:
+    """Add the flow key and ``start_idx``, the first packet of the flow or, where packets of it are ``idle_ns`` or more apart, of the part since. In buckets, so that no
+    task sees all of a flow."""
+    d = with_flow_key(df).withColumn("_flow", F.struct(*KEY))
+    if idle_ns is None:
+        return d.join(d.groupBy("_flow").agg(F.min("pkt_idx").alias("start_idx")), "_flow").drop("_flow")
+    d = with_last_known(d, F.col("ts_ns"), "_prev", "_flow")
+    new = F.col("_prev").isNull() | (F.col("ts_ns") - F.col("_prev") >= idle_ns)
+    d = with_last_known(d.withColumn("_new", F.when(new, F.col("pkt_idx"))), F.col("_new"), "_from", "_flow")
+    return d.withColumn("start_idx", F.coalesce("_new", "_from")).drop("_flow", "_prev", "_new", "_from")
+
+
+def balance_round_robin(df: DataFrame, n: int, idle_ns: int | None = None) -> DataFrame:
+    """Add ``output``: flows go to outputs in turn, by their first packet; after ``idle_ns`` without a packet a flow is a new one. The turn is counted over first
+    packets only, in buckets."""
+    d = with_sessions(df, idle_ns)
+    seen = with_position(d.select(F.col("start_idx").alias("pkt_idx")).distinct(), "_turn")
+    return d.join(seen.select(F.col("pkt_idx").alias("start_idx"), (F.col("_turn") % n).alias("output")), "start_idx").drop(*KEY, "start_idx")
 
 
 def flow_sessions(df: DataFrame, idle_ns: int = FLOW_IDLE_NS) -> DataFrame:
     """Flows cut where a packet comes ``idle_ns`` or more after the one before: (key, session, pkts, first_ns, last_ns)."""
-    w = Window.partitionBy(*KEY).orderBy("ts_ns", "pkt_idx")
-    new = F.when(F.col("ts_ns") - F.lag("ts_ns").over(w) >= idle_ns, 1).otherwise(0)
-    d = with_flow_key(df).withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*KEY, "session").agg(F.count("*").alias("pkts"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+    parts = with_sessions(df, idle_ns).groupBy(*KEY, "start_idx").agg(F.count("*").alias("pkts"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("start_idx")) - 1  # a row a part
+    return parts.withColumn("session", number.cast("long")).drop("start_idx")
 
 
-def balance_least_load(df: DataFrame, n: int) -> DataFrame:
-    """Add ``output``: a new flow goes to the output with the least work so far (ties: the first), decided from the flows' totals in order of their first packets.
+def balance_least_load(df: DataFrame, n: int, idle_ns: int | None = None) -> DataFrame:
+    """Add ``output``: a new flow goes to the output with the least work so far (ties: the first), decided from the flows' totals in order of their first packets;
+    after ``idle_ns`` without a packet a flow is a new one.
 
     The decision for a flow depends on all before it, so this is a fold in order over the flow rows, in one task that holds n sums; packets aren't in it."""
-    f = flows(df).select(*KEY, "first_idx", "work")
-    schema = f.select(*KEY, F.lit(0).cast("long").alias("output")).schema
+    d = with_sessions(df, idle_ns)
+    f = d.groupBy("start_idx").agg(F.sum(300 + F.col("cap_len")).alias("work"))
+    schema = "start_idx long, output long"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = [(0, i) for i in range(n)]  # a heap
@@ -120,10 +136,34 @@ def balance_least_load(df: DataFrame, n: int) -> DataFrame:
                 load, i = loads[0]
                 heapq.heapreplace(loads, (load + (work or 0), i))
                 outputs.append(i)
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in KEY), pa.array(outputs, pa.int64())], names=[*KEY, "output"])
-
-    dealt = f.repartition(1).sortWithinPartitions("first_idx", *KEY).mapInArrow(deal, schema)
-    return with_flow_key(df).join(dealt, KEY).drop(*KEY)
+            yield pa.RecordBatch.from_arrays([b.column("start_idx"), pa.array(outputs, pa.int64())], names=["start_idx", "output"])
+
+    dealt = f.repartition(1).sortWithinPartitions("start_idx").mapInArrow(deal, schema)
+    return d.join(dealt, "start_idx").drop(*KEY, "start_idx")
+
+
+def load_averages(df: DataFrame, period_ns: int = 100_000_000, short: float = 0.1, long: float = 0.01, output_col: str = "output") -> DataFrame:
+    """(output, period, work, load_est_short, load_est_long) for periods that have packets: moving averages of an output's work (300 and the captured bytes for each packet) as
+    whole numbers, with weights in 65536ths. Between two such periods the averages decay by the empty ones. A fold over an output's period rows."""
+    weights = [int(short * 65536), int(long * 65536)]
+
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        t = table.sort_by("period")
+        last, est, out = None, [0, 0], []
+        for period, work in zip(t.column("period").to_pylist(), t.column("work").to_pylist(), strict=True):
+            for _ in range(0 if last is None else period - last - 1):
+                new = [e - (w * e >> 16) for e, w in zip(est, weights, strict=True)]
+                if new == est:
+                    break
+                est = new
+            est = [(w * work >> 16) + ((65536 - w) * e >> 16) for e, w in zip(est, weights, strict=True)]
+            last = period
+            out.append((period, work, *est))
+        cols = list(zip(*out, strict=True))
+        return pa.table({output_col: pa.array([key[0].as_py()] * len(out), pa.int64()), **{k: pa.array(c, pa.int64()) for k, c in zip(("period", "work", "load_est_short", "load_est_long"), cols, strict=True)}})
+
+    b = df.groupBy(F.col(output_col).cast("long").alias(output_col), whole_div(F.col("ts_ns"), period_ns).alias("period")).agg(F.sum(300 + F.col("cap_len")).alias("work"))
+    return b.groupBy(output_col).applyInArrow(fold, f"`{output_col}` long, period long, work long, load_est_short long, load_est_long long")
 
 
 def rings(df: DataFrame, n: int) -> DataFrame:

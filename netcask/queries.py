@@ -225,13 +225,8 @@ def ts_adjust_speedup(spark, sf_dir):
     return timing.adjust_speedup(_pk(spark, sf_dir), 2.5).select("pkt_idx", "ts_ns")
 
 
-@query("SELECT pkt_idx, 1000000 + ((row_number() OVER (ORDER BY pkt_idx)) * 1000000000) // 3000 AS ts_ns FROM pk WHERE src = 1")
-def ts_adjust_pps(spark, sf_dir):
-    return timing.adjust_pps(_pk(spark, sf_dir).where("src = 1"), 3000, start_at_ns=1000000).select("pkt_idx", "ts_ns")
-
-
 @query("SELECT pkt_idx, 1000000 + ((row_number() OVER (ORDER BY pkt_idx)) * 1000000000) // 3000 AS ts_ns FROM pk")
-def ts_adjust_pps_all(spark, sf_dir):
+def ts_adjust_pps(spark, sf_dir):
     return timing.adjust_pps(_pk(spark, sf_dir), 3000, start_at_ns=1000000).select("pkt_idx", "ts_ns")
 
 
@@ -240,15 +235,9 @@ def ts_adjust_bw(spark, sf_dir):
     return timing.adjust_bandwidth(_pk(spark, sf_dir), 1_000_000).select("pkt_idx", "ts_ns")
 
 
-@query("""SELECT copy * (top + 1) + pkt_idx AS pkt_idx, ts_ns + copy * ((z - a) * n // (n - 1)) AS ts_ns
-          FROM (SELECT * FROM pk WHERE src = 0), (SELECT arg_min(ts_ns, pkt_idx) AS a, arg_max(ts_ns, pkt_idx) AS z, count(*) AS n, max(pkt_idx) AS top FROM pk WHERE src = 0), (SELECT unnest([0, 1, 2]) AS copy)""")
-def repeater(spark, sf_dir):
-    return timing.repeat(_pk(spark, sf_dir).where("src = 0"), 3).select("pkt_idx", "ts_ns")
-
-
 @query("""SELECT copy * (top + 1) + pkt_idx AS pkt_idx, CAST(ts_ns + copy * ((z - a) * n // (n - 1)) AS BIGINT) AS ts_ns
           FROM pk, (SELECT CAST(arg_min(ts_ns, pkt_idx) AS HUGEINT) AS a, arg_max(ts_ns, pkt_idx) AS z, count(*) AS n, max(pkt_idx) AS top FROM pk), (SELECT unnest([0, 1, 2]) AS copy)""")
-def repeater_all(spark, sf_dir):
+def repeater(spark, sf_dir):
     return timing.repeat(_pk(spark, sf_dir), 3).select("pkt_idx", "ts_ns")
 
 
@@ -290,7 +279,27 @@ def batch_ids(spark, sf_dir):
     return timing.batch_ids(_pk(spark, sf_dir), 64, dense=True).select("pkt_idx", "batch")
 
 
-@query()
+def _refilled(state: str, now: str, step: int, period: int) -> tuple[str, str]:
+    """SQL of a bucket's tokens and last step at a time."""
+    n = f"(({now}) - {state}l) // {period}"
+    return f"CASE WHEN {n} > 0 THEN least({step}, {state}t + {n} * {step}) ELSE {state}t END", f"{state}l + {n} * {period}"
+
+
+def _token_bucket_sql(pkts: tuple[int, int], bytes_: tuple[int, int]) -> str:
+    """A fold in which each packet waits at most once: after the longer of two waits both buckets hold more than none. Stages are lists of one struct."""
+    (pt, pl), (bt, bl) = _refilled("s.p", "s.now", *pkts), _refilled("s.b", "s.now", *bytes_)
+    at_once = f"{{'now': s.now, 'size': s.size, 'o': s.o, 'pt': {pt}, 'pl': {pl}, 'bt': {bt}, 'bl': {bl}}}"
+    wait = f"greatest(s.now, CASE WHEN s.pt <= 0 THEN s.pl + {pkts[1]} * (1 + (-s.pt) // {pkts[0]}) ELSE s.now END, CASE WHEN s.bt <= 0 THEN s.bl + {bytes_[1]} * (1 + (-s.bt) // {bytes_[0]}) ELSE s.now END)"
+    waited = f"{{'now': {wait}, 'size': s.size, 'o': s.o, 'pt': s.pt, 'pl': s.pl, 'bt': s.bt, 'bl': s.bl}}"
+    gone = f"{{'now': s.now, 'pt': {pt} - 1, 'pl': {pl}, 'bt': {bt} - s.size, 'bl': {bl}, 'o': list_append(s.o, s.now)}}"
+    first = "{'now': greatest(a.now, x.ts), 'size': x.size, 'o': a.o, 'pt': a.pt, 'pl': a.pl, 'bt': a.bt, 'bl': a.bl}"
+    step = f"list_transform(list_transform(list_transform([{first}], lambda s: {at_once}), lambda s: {waited}), lambda s: {gone})[1]"
+    begin = "{'now': rows[1].ts, 'pt': 0::BIGINT, 'pl': rows[1].ts, 'bt': 0::BIGINT, 'bl': rows[1].ts, 'o': []::BIGINT[]}"
+    return f"""SELECT unnest(ids) AS pkt_idx, unnest(f.o) AS depart_ns FROM (SELECT ids, list_reduce(rows, lambda a, x: {step}, {begin}) AS f
+               FROM (SELECT list(pkt_idx ORDER BY pkt_idx) AS ids, list({{'ts': ts_ns, 'size': frame_len}} ORDER BY pkt_idx) AS rows FROM pk GROUP BY src))"""
+
+
+@query(_token_bucket_sql((1, 10**13), (60, 60 * 10**9)))
 def token_bucket(spark, sf_dir):
     return timing.token_bucket(_pk(spark, sf_dir), pps=1e-4, bps=2.0).select("pkt_idx", "depart_ns")
 
@@ -349,7 +358,12 @@ def flow_balance_rr(spark, sf_dir):
     return balance.balance_round_robin(_turned(spark, sf_dir), 5).select("pkt_idx", "output")
 
 
-@query()
+@query(f"""SELECT pkt_idx, output FROM (SELECT *, min(pkt_idx) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, flow_vlan, flow_proto) AS first_idx FROM ({KEYED})) JOIN (
+           SELECT unnest(firsts) AS first_idx, unnest(f.o) AS output FROM (SELECT firsts, list_reduce(works, lambda a, w: {{
+               'load': list_transform(a.load, lambda v, i: CASE WHEN i = list_position(a.load, list_min(a.load)) THEN v + w ELSE v END), 'o': list_append(a.o, CAST(list_position(a.load, list_min(a.load)) - 1 AS BIGINT))}},
+               {{'load': [0, 0, 0, 0, 0]::BIGINT[], 'o': []::BIGINT[]}}) AS f
+             FROM (SELECT list(first_idx ORDER BY first_idx) AS firsts, list(work ORDER BY first_idx) AS works FROM (
+               SELECT min(pkt_idx) AS first_idx, CAST(sum(300 + cap_len) AS BIGINT) AS work FROM ({KEYED}) GROUP BY ip_a, ip_b, port_a, port_b, flow_vlan, flow_proto)))) USING (first_idx)""")
 def flow_balance_load(spark, sf_dir):
     return balance.balance_least_load(_turned(spark, sf_dir), 5).select("pkt_idx", "output")
 
@@ -374,18 +388,10 @@ def rotate_seconds_bucket(spark, sf_dir):
     return files.rotate_by_time(_pk(spark, sf_dir), 4200).select("pkt_idx", "file_start")
 
 
-@query("""WITH RECURSIVE pk AS (""" + PACKETS_SQL + """), o AS (SELECT src, pkt_idx, cap_len, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) AS r FROM pk WHERE pkt_idx < 600),
-       f AS (SELECT src, pkt_idx, r, 0 AS file_index, 40 + cap_len AS held FROM o WHERE r = 1
-             UNION ALL SELECT o.src, o.pkt_idx, o.r, CASE WHEN held >= 4096 THEN file_index + 1 ELSE file_index END, CASE WHEN held >= 4096 THEN 40 + o.cap_len ELSE held + 16 + o.cap_len END
-                       FROM f JOIN o ON o.src = f.src AND o.r = f.r + 1)
-       SELECT pkt_idx, file_index FROM f""", plain=True)
-def rotate_size_bucket(spark, sf_dir):
-    return files.rotate_by_size(select.range_filter(_pk(spark, sf_dir), "0-599", dense=True)[""], 4096).select("pkt_idx", "file_index")
-
-
-@query()
-def rotate_size_all(spark, sf_dir):
-    """The same over all packets; its recursive SQL would be too slow, so tests hold it against a plain fold."""
+@query("""SELECT unnest(ids) AS pkt_idx, CAST(unnest(f.o) AS INTEGER) AS file_index FROM (SELECT ids, list_reduce(sizes, lambda a, x: {
+            'held': CASE WHEN a.held >= 4096 THEN 40 + x ELSE a.held + 16 + x END, 'i': CASE WHEN a.held >= 4096 THEN a.i + 1 ELSE a.i END, 'o': list_append(a.o, CASE WHEN a.held >= 4096 THEN a.i + 1 ELSE a.i END)},
+            {'held': 24::BIGINT, 'i': 0::BIGINT, 'o': []::BIGINT[]}) AS f FROM (SELECT list(pkt_idx ORDER BY pkt_idx) AS ids, list(cap_len ORDER BY pkt_idx) AS sizes FROM pk GROUP BY src))""")
+def rotate_size(spark, sf_dir):
     return files.rotate_by_size(_pk(spark, sf_dir), 4096).select("pkt_idx", "file_index")
 
 
@@ -459,13 +465,12 @@ def timestamp_inspection(spark, sf_dir):
 # hardware timestamps
 
 
-@query("SELECT pkt_idx, ts_ns + 1500 AS ts_ns, pkt_idx % 4 AS port, frame_len, cap_len AS n FROM pk WHERE ts_ns % 1000000000 + 1500 < 1000000000")
+@query("SELECT pkt_idx, ts_ns + 1500 AS ts_ns, pkt_idx % 4 AS port, frame_len, cap_len AS n FROM pk")
 def vss_route(spark, sf_dir):
-    d = _pk(spark, sf_dir, True).where("ts_ns % 1000000000 + 1500 < 1000000000")
-    ns = F.pmod(F.col("ts_ns"), F.lit(1_000_000_000))
-    from .schema import seconds_of
+    from .schema import nanos_of, seconds_of
 
-    foot = F.concat(bytes_be(seconds_of(F.col("ts_ns")), 4), bytes_be(ns + 1500 + (F.col("src") * 1073741824), 4), bytes_be(F.col("pkt_idx") % 4, 1))
+    d, t = _pk(spark, sf_dir, True), F.col("ts_ns") + 1500
+    foot = F.concat(bytes_be(seconds_of(t), 4), bytes_be(nanos_of(t) + (F.col("src") * 1073741824), 4), bytes_be(F.col("pkt_idx") % 4, 1))
     d = d.withColumns({"data": F.concat("data", foot), "frame_len": F.col("frame_len") + 9})
     return stamps.vss(d).select("pkt_idx", "ts_ns", "port", "frame_len", F.length("data").cast("long").alias("n"))
 
@@ -576,15 +581,8 @@ def capture_pipeline(spark, sf_dir):
     return d.select("pkt_idx", F.length("data").cast("long").alias("n"))
 
 
-@query("SELECT pkt_idx, a + (row_number() OVER (ORDER BY pkt_idx) * 1000000000) // 2000 AS ts_ns FROM pk, (SELECT arg_min(ts_ns, pkt_idx) AS a FROM pk WHERE pkt_idx BETWEEN 50 AND 900 AND ip_proto = 17 AND vlan_id IS NULL) WHERE pkt_idx BETWEEN 50 AND 900 AND ip_proto = 17 AND vlan_id IS NULL")
-def replay_pipeline(spark, sf_dir):
-    from . import cli
-
-    return cli.replay(_pk(spark, sf_dir, True), range="50-900", filter="udp", pps="2k").select("pkt_idx", "ts_ns")
-
-
 @query("SELECT pkt_idx, a + (row_number() OVER (ORDER BY pkt_idx) * 1000000000) // 2000 AS ts_ns FROM pk, (SELECT arg_min(ts_ns, pkt_idx) AS a FROM pk WHERE ip_proto = 17 AND vlan_id IS NULL) WHERE ip_proto = 17 AND vlan_id IS NULL")
-def replay_pipeline_all(spark, sf_dir):
+def replay_pipeline(spark, sf_dir):
     from . import cli
 
     return cli.replay(_pk(spark, sf_dir, True), range="0-", filter="udp", pps="2k").select("pkt_idx", "ts_ns")
@@ -914,3 +912,26 @@ def monitor_fields(spark, sf_dir):
     counters = metrics.counters(_pk(spark, sf_dir), period_ns=3_600_000_000_000)
     d = metrics.monitor(counters, ["pkts", "pkts.rate", "bytes.mbps", "bytes.s"], 3_600_000_000_000)
     return d.withColumns({"pkts_rate": F.round("pkts_rate", 9), "bytes_mbps": F.round("bytes_mbps", 9)})
+
+
+# flows that fall idle, loads of outputs
+
+
+@query(f"""SELECT pkt_idx, (dense_rank() OVER (ORDER BY start) - 1) % 5 AS output FROM (
+           SELECT pkt_idx, min(pkt_idx) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, flow_vlan, flow_proto, session) AS start FROM (
+           SELECT *, sum(fresh) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, flow_vlan, flow_proto ORDER BY pkt_idx) AS session FROM (
+           SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY ip_a, ip_b, port_a, port_b, flow_vlan, flow_proto ORDER BY pkt_idx) >= 86400000000000 THEN 1 ELSE 0 END AS fresh FROM ({KEYED}))))""")
+def flow_balance_rr_idle(spark, sf_dir):
+    return balance.balance_round_robin(_turned(spark, sf_dir), 5, 86_400_000_000_000).select("pkt_idx", "output")
+
+
+@query("""SELECT output, unnest(f.o).period AS period, unnest(f.o).work AS work, unnest(f.o).s AS load_est_short, unnest(f.o).l AS load_est_long FROM (
+          SELECT output, list_reduce(rows, lambda a, x: {'s': (6553 * x.work >> 16) + (58983 * a.s >> 16), 'l': (655 * x.work >> 16) + (64881 * a.l >> 16),
+            'o': list_append(a.o, {'period': x.period, 'work': x.work, 's': (6553 * x.work >> 16) + (58983 * a.s >> 16), 'l': (655 * x.work >> 16) + (64881 * a.l >> 16)})},
+            {'s': 0::BIGINT, 'l': 0::BIGINT, 'o': []::STRUCT(period BIGINT, work BIGINT, s BIGINT, l BIGINT)[]}) AS f
+          FROM (SELECT output, list({'period': period, 'work': work} ORDER BY period) AS rows FROM (
+            SELECT src AS output, pkt_idx // 12 AS period, CAST(sum(300 + cap_len) AS BIGINT) AS work FROM pk GROUP BY ALL) GROUP BY output))""")
+def flow_load_averages(spark, sf_dir):
+    """Times are made even, twelve packets a period, so that no period is empty."""
+    d = _pk(spark, sf_dir).withColumns({"ts_ns": F.col("pkt_idx") * 100, "output": F.col("src")})
+    return balance.load_averages(d, 1200)

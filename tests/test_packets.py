@@ -243,13 +243,13 @@ def test_size_rotation_of_all_packets(spark, sf):
         state[r["src"]] = index, held + 16 + r["cap_len"]
         want[r["pkt_idx"]] = index
     assert len(want) > 600
-    assert dict(map(tuple, QUERIES["rotate_size_all"](spark, sf).collect())) == want
+    assert dict(map(tuple, QUERIES["rotate_size"](spark, sf).collect())) == want
 
 
 def test_queries_over_all_packets(spark, sf):
     n = packets(spark, sf).count()
-    counts = {name: QUERIES[name](spark, sf).count() for name in ("repeater_all", "ts_adjust_pps_all", "replay_pipeline_all")}
-    assert counts == {"repeater_all": 3 * n, "ts_adjust_pps_all": n, "replay_pipeline_all": packets(spark, sf).where("ip_proto = 17 and vlan_id is null").count()}
+    counts = {name: QUERIES[name](spark, sf).count() for name in ("repeater", "ts_adjust_pps", "replay_pipeline")}
+    assert counts == {"repeater": 3 * n, "ts_adjust_pps": n, "replay_pipeline": packets(spark, sf).where("ip_proto = 17 and vlan_id is null").count()}
 
 
 def test_repeat_of_a_long_capture(spark):
