@@ -475,36 +475,36 @@ def vss_route(spark, sf_dir):
     return stamps.vss(d).select("pkt_idx", "ts_ns", "port", "frame_len", F.length("data").cast("long").alias("n"))
 
 
-@query("SELECT pkt_idx, ts_ns, CASE WHEN flags & 2 = 0 THEN 258 END AS device_id, CASE WHEN flags & 2 = 0 THEN 7 END AS port, cap_len + CASE WHEN flags & 2 = 0 THEN 0 ELSE 16 END AS n FROM pk")
+@query("SELECT pkt_idx, ts_ns, CASE WHEN flags & 2 = 0 THEN 258 END AS device_id, CASE WHEN flags & 2 = 0 THEN 7 END AS port, cap_len + CASE WHEN flags & 2 = 0 THEN 0 ELSE 16 END AS n, flags & 2 = 0 AS alike FROM pk")
 def cpacket_decode(spark, sf_dir):
-    d = stamps.footer_encap(_pk(spark, sf_dir, True), version=2, device_id=258, port=7)
+    d = stamps.footer_encap(_pk(spark, sf_dir, True).withColumn("was", F.col("data")), version=2, device_id=258, port=7)
     return stamps.footer_stamp(d.withColumn("ts_ns", F.when(F.col("flags") == 2, F.col("ts_ns")).otherwise(0)), has_fcs=False).select(
-        "pkt_idx", "ts_ns", F.col("device_id").cast("int").alias("device_id"), F.col("port").cast("int").alias("port"), F.length("data").cast("long").alias("n")
+        "pkt_idx", "ts_ns", F.col("device_id").cast("int").alias("device_id"), F.col("port").cast("int").alias("port"), F.length("data").cast("long").alias("n"), (F.col("data") == F.col("was")).alias("alike")
     )
 
 
 def _switched(spark, sf_dir, version: int, stamp):
-    d = _pk(spark, sf_dir, True)
+    d = _pk(spark, sf_dir, True).withColumn("was", F.col("data"))
     head = F.concat(F.unhex(F.lit(f"D28B0001{version:04X}")), stamp)
     return d.withColumn("data", F.concat(F.substring("data", 1, 12), head, F.substring(F.col("data"), F.lit(13), F.length("data"))))
 
 
-@query("SELECT pkt_idx, ts_ns + CASE WHEN flags & 2 = 0 THEN 123456789000 ELSE 0 END AS ts_ns, cap_len + CASE WHEN flags & 2 = 0 THEN 0 ELSE 12 END AS n, flags & 2 = 0 AS stamped FROM pk")
+@query("SELECT pkt_idx, ts_ns + CASE WHEN flags & 2 = 0 THEN 123456789000 ELSE 0 END AS ts_ns, cap_len + CASE WHEN flags & 2 = 0 THEN 0 ELSE 12 END AS n, flags & 2 = 0 AS stamped, flags & 2 = 0 AS alike FROM pk")
 def arista7280_48_decode(spark, sf_dir):
     from .schema import nanos_of, seconds_of
 
     t = F.col("ts_ns") + 123456789000  # two minutes ahead of the packet's own time
     d = _switched(spark, sf_dir, 0x20, F.concat(bytes_be(F.pmod(seconds_of(t), F.lit(65536)), 2), bytes_be(nanos_of(t), 4)))
-    return stamps.switch48(d).select("pkt_idx", "ts_ns", F.length("data").cast("long").alias("n"), "stamped")
+    return stamps.switch48(d).select("pkt_idx", "ts_ns", F.length("data").cast("long").alias("n"), "stamped", (F.col("data") == F.col("was")).alias("alike"))
 
 
-@query("SELECT pkt_idx, ts_ns + 5000000000 AS ts_ns, frame_len - 14 AS frame_len, true AS stamped FROM pk")
+@query("SELECT pkt_idx, ts_ns + 5000000000 AS ts_ns, frame_len - 14 AS frame_len, true AS stamped, true AS alike FROM pk")
 def arista7280_64_decode(spark, sf_dir):
     from .schema import nanos_of, seconds_of
 
     t = F.col("ts_ns") + 5_000_000_000
     d = _switched(spark, sf_dir, 0x111, F.concat(bytes_be(seconds_of(t), 4), bytes_be(nanos_of(t), 4)))
-    return stamps.switch64(d).select("pkt_idx", "ts_ns", "frame_len", "stamped")
+    return stamps.switch64(d).select("pkt_idx", "ts_ns", "frame_len", "stamped", (F.col("data") == F.col("was")).alias("alike"))
 
 
 @query("SELECT pkt_idx, CAST((pkt_idx * 1000) % 2147483648 AS BIGINT) AS ticks FROM pk")
@@ -528,16 +528,23 @@ def pktgen_ranges(spark, sf_dir):
 # files and buffers, there and back
 
 
-@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS pkt_idx, ts_ns, frame_len, least(cap_len, 200) AS n, CASE WHEN frame_len > least(cap_len, 200) THEN 4 ELSE 0 END AS flags FROM pk")
+def _alike(got: DataFrame, was: DataFrame) -> DataFrame:
+    """``data`` becomes ``alike``: whether the bytes are those of the packet with that time in that capture."""
+    before = was.select("src", "ts_ns", F.md5("data").alias("_was"))
+    return got.join(before, ["src", "ts_ns"]).withColumn("alike", F.md5("data") == F.col("_was")).drop("data", "_was")
+
+
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS pkt_idx, ts_ns, frame_len, least(cap_len, 200) AS n, CASE WHEN frame_len > least(cap_len, 200) THEN 4 ELSE 0 END AS flags, true AS alike FROM pk")
 def pcap_roundtrip(spark, sf_dir):
     from .sources.pcap import decode_files, encode_files
 
     d = encode_files(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), ["src"], snap=200)
     got = decode_files(d.select(F.col("src").cast("string").alias("path"), "content"))
-    return got.select(F.col("path").cast("long").alias("src"), "pkt_idx", "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"), "flags")
+    got = got.select(F.col("path").cast("long").alias("src"), "pkt_idx", "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"), "flags", "data")
+    return _alike(got, _pk(spark, sf_dir, True).withColumn("data", F.substring("data", 1, 200)))
 
 
-@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS place, ts_ns, frame_len, cap_len AS n FROM pk")
+@query("SELECT src, row_number() OVER (PARTITION BY src ORDER BY pkt_idx) - 1 AS place, ts_ns, frame_len, cap_len AS n, true AS alike FROM pk")
 def packed_roundtrip(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -545,7 +552,7 @@ def packed_roundtrip(spark, sf_dir):
 
     d = unpack_stream(pack_stream(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), 16384))
     w = Window.partitionBy("src").orderBy("buffer_no", "place")
-    return d.select("src", (F.row_number().over(w) - 1).cast("long").alias("place"), "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"))
+    return d.select("src", (F.row_number().over(w) - 1).cast("long").alias("place"), "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"), "data").transform(lambda x: _alike(x, _pk(spark, sf_dir, True)))
 
 
 @query("""SELECT pkt_idx, CASE WHEN r % 10 = 0 THEN 'keyframes' WHEN r <= 20 THEN 'no_sync' ELSE '' END AS link
@@ -588,7 +595,7 @@ def replay_pipeline(spark, sf_dir):
     return cli.replay(_pk(spark, sf_dir, True), range="0-", filter="udp", pps="2k").select("pkt_idx", "ts_ns")
 
 
-@query("SELECT pkt_idx, least(cap_len, 40) AS n, CASE WHEN vlan_id IS NULL AND ip_proto = 6 THEN 'tcp' ELSE 'other' END AS way FROM pk WHERE vlan_id IS NULL AND ip_proto = 6 OR pkt_idx % 1 = 0 AND NOT (vlan_id IS NULL AND ip_proto = 6)")
+@query("SELECT pkt_idx, least(cap_len, 40) AS n, CASE WHEN vlan_id IS NULL AND ip_proto = 6 THEN 'tcp' ELSE 'other' END AS way FROM pk WHERE vlan_id IS NULL AND ip_proto = 6 OR NOT (vlan_id IS NULL AND ip_proto = 6)")
 def graph_pipeline(spark, sf_dir):
     from .plans.graph import Graph
 
@@ -935,3 +942,17 @@ def flow_load_averages(spark, sf_dir):
     """Times are made even, twelve packets a period, so that no period is empty."""
     d = _pk(spark, sf_dir).withColumns({"ts_ns": F.col("pkt_idx") * 100, "output": F.col("src")})
     return balance.load_averages(d, 1200)
+
+
+# captures in several files
+
+
+@query("""SELECT CAST(place AS BIGINT) AS place, file_no, ts_ns, frame_len, cap_len AS n FROM (SELECT *, src AS file_no, row_number() OVER (ORDER BY src, pkt_idx) - 1 AS place FROM pk)""")
+def pcap_files_positions(spark, sf_dir):
+    """A capture in three files: packets are numbered over all of them, here by the order helper."""
+    from .operators.order import with_position
+    from .sources.pcap import FILE, decode_files, encode_files
+
+    d = encode_files(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), ["src"])
+    got = with_position(decode_files(d.select(F.col("src").cast("string").alias("path"), "content", F.col("src").alias("file_no"))), "place")
+    return got.select("place", F.expr(f"pkt_idx div {FILE}").alias("file_no"), "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"))

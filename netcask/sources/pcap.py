@@ -1,7 +1,7 @@
 """Capture files: a Python data source ``pcap`` for reading (classic in four byte-order and resolution variants, and pcapng) and writing.
 
 Reading lists files through Spark's own file source, so any store that Spark reads will do: ``read_pcap`` loads them with ``binaryFile`` and decodes
-in Arrow batches, a file to a task. ``register`` adds the data source for paths that Python can open."""
+in Arrow batches, a file to a task, in memory; ``split_pcap`` reads large files in parts. ``register`` adds the data source for paths that Python can open."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -21,7 +21,9 @@ from ..schema import TRUNCATED
 
 NS = 1_000_000_000
 # Magic numbers of the formats.
-MAGIC_US, MAGIC_NS, MAGIC_NG, ORDER_NG = 0xA1B2C3D4, 0xA1B23C4D, 0x0A0D0D0A, 0x1A2B3C4D
+MAGIC_US, MAGIC_NS, MAGIC_MODIFIED, MAGIC_NG, ORDER_NG = 0xA1B2C3D4, 0xA1B23C4D, 0xA1B2CD34, 0x0A0D0D0A, 0x1A2B3C4D
+#: Numbers of packets that are kept for each file of several.
+FILE = 1 << 40
 PACKETS = "path string, pkt_idx long, ts_ns long, flags int, frame_len int, data binary"
 
 
@@ -36,18 +38,36 @@ def packets_of(blob: bytes) -> Iterator[tuple[int, int, int, bytes]]:
     if struct.unpack_from("<I", blob)[0] == MAGIC_NG:
         yield from _packets_ng(blob)
         return
+    layout = layout_of(blob)
+    yield from records(blob, 24, layout)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Of a classic file: byte order, nanoseconds a unit of time, bytes of a record's header (the modified form has eight more), snap length and link type."""
+
+    order: str
+    unit: int
+    head: int
+    snap: int
+    link: int
+
+
+def layout_of(head: bytes) -> Layout:
+    """From the first 24 bytes."""
     for order in "<>":
-        magic = struct.unpack_from(order + "I", blob)[0]
-        if magic in (MAGIC_US, MAGIC_NS):
-            break
-    else:
-        raise CaptureError(f"unknown magic number {blob[:4].hex()}")
-    unit = 1 if magic == MAGIC_NS else 1000
-    header = struct.Struct(order + "IIII")
-    at = 24
-    while at + 16 <= len(blob):
+        magic = struct.unpack_from(order + "I", head)[0]
+        if magic in (MAGIC_US, MAGIC_NS, MAGIC_MODIFIED):
+            snap, link = struct.unpack_from(order + "II", head, 16) if len(head) >= 24 else (0, 1)
+            return Layout(order, 1 if magic == MAGIC_NS else 1000, 24 if magic == MAGIC_MODIFIED else 16, snap, link)
+    raise CaptureError(f"unknown magic number {head[:4].hex()}")
+
+
+def records(blob: bytes, at: int, layout: Layout) -> Iterator[tuple[int, int, int, bytes]]:
+    header, unit = struct.Struct(layout.order + "IIII"), layout.unit
+    while at + layout.head <= len(blob):
         sec, sub, size, length = header.unpack_from(blob, at)
-        at += 16
+        at += layout.head
         if at + size > len(blob):
             return
         yield sec * NS + sub * unit, TRUNCATED if size < length else 0, length, blob[at : at + size]
@@ -115,23 +135,182 @@ def record(ts_ns: int, frame_len: int, data: bytes, nanoseconds: bool = True, sn
 
 
 def decode_files(df: DataFrame) -> DataFrame:
-    """Packets of the files in (path, content); ``pkt_idx`` counts in each file."""
+    """Packets of the files in (path, content); ``pkt_idx`` counts in each file, from ``FILE`` times the column ``file_no``, where there is one."""
+    numbered = "file_no" in df.columns
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, blob, no in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 rows = list(packets_of(blob.as_py()))
                 cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
+                    [pa.array([name] * len(rows), pa.string()), pa.array(range(no * FILE, no * FILE + len(rows)), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
                     names=["path", "pkt_idx", "ts_ns", "flags", "frame_len", "data"],
                 )
 
-    return df.select("path", "content").mapInArrow(decode, PACKETS)
+    return df.select("path", "content", F.col("file_no") if numbered else F.lit(0).cast("long").alias("file_no")).mapInArrow(decode, PACKETS)
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    return decode_files(spark.read.format("binaryFile").load(path))
+    """Packets of all files that ``path`` names, in order of the files' paths: the first file's are numbered from 0, the next one's from ``FILE``, and so on."""
+    files = spark.read.format("binaryFile").load(path)
+    names = files.select("path").withColumn("file_no", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))  # a row a file
+    return decode_files(files.join(names, "path"))
+
+
+#: Headers in a row that make a place in a file the start of a record.
+CHAIN = 16
+
+
+def _walk(f, at: int, size: int, layout: Layout, until: int, most: int | None = None) -> tuple[int, int]:
+    """(end, records) from the record that starts at ``at`` to the first that starts at ``until`` or later. A record that the file ends in isn't counted."""
+    header, n = struct.Struct(layout.order + "IIII"), 0
+    buffer, base = b"", at
+    while at < until and (most is None or n < most):
+        if at + layout.head > size:
+            return size, n
+        if at - base + layout.head > len(buffer):
+            f.seek(at)
+            buffer, base = f.read(1 << 20), at
+        length = header.unpack_from(buffer, at - base)[2]
+        if at + layout.head + length > size:
+            return size, n
+        at, n = at + layout.head + length, n + 1
+    return at, n
+
+
+def _plausible(f, at: int, size: int, layout: Layout) -> bool:
+    """Whether headers that a capture could have stand one after another from here, to the end of the file or ``CHAIN`` of them."""
+    header, last = struct.Struct(layout.order + "IIII"), None
+    for _ in range(CHAIN):
+        if at == size:
+            return True
+        f.seek(at)
+        head = f.read(16)
+        if len(head) < 16:
+            return last is not None
+        sec, sub, length, whole = header.unpack(head)
+        if sub >= NS // layout.unit or length > max(layout.snap, 262144) or whole < length or whole > 1 << 24 or (last is not None and abs(sec - last) > 86400):
+            return False
+        last = sec
+        if at + layout.head + length > size:
+            return True
+        at += layout.head + length
+    return True
+
+
+def split_pcap(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """Like ``read_pcap``, for large classic files in folders that Python can open on every machine: files are read in parts, each by a task of its own.
+
+    A first pass looks in each part for a place where a chain of plausible headers starts, and walks to the part's end. A part holds if it starts where the one before
+    ends; parts that don't are walked again with the one before, so records are those of a walk from the file's start. Of the parts, a row each, the driver sums counts to numbers."""
+    name = path.removeprefix("file://")
+    found = sorted(p for p in (glob.glob(f"{name}/*") if os.path.isdir(name) else glob.glob(name)) if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_")))
+    parts = [(no, p, a, min(a + split_bytes, size)) for no, p in enumerate(found) for size in [os.path.getsize(p)] for a in range(0, size, split_bytes)]
+    span = "file_no long, path string, start long, stop long"
+
+    def start_of(f, start: int, stop: int, size: int, layout: Layout) -> int | None:
+        if start == 0:
+            return 24
+        return next((at for at in range(start, stop) if _plausible(f, at, size, layout)), None)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, end, count = [], [], []
+            for p, start, stop in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                with open(p, "rb") as f:
+                    layout, size = layout_of(f.read(24)), os.path.getsize(p)
+                    at = start_of(f, start, stop, size, layout)
+                    e, n = _walk(f, at, size, layout, stop) if at is not None else (None, 0)
+                first.append(at)
+                end.append(e)
+                count.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in (first, end, count))], names=[*b.schema.names, "first", "end", "n"])
+
+    if not parts:
+        return spark.createDataFrame([], PACKETS)
+    spread = spark.createDataFrame(parts, span).repartition(min(len(parts), 4096))
+    scanned = sorted(map(tuple, spread.mapInArrow(scan, span + ", first long, end long, n long").collect()))  # a row a part
+    todo: list[tuple[int, str, int, int, int]] = []  # file, path, first record, where to stop, number of the first record
+    at_file, reached, base = -1, 0, 0
+    for no, p, _, stop, first, end, n in scanned:
+        if no != at_file:
+            at_file, reached, base = no, 24, no * FILE
+        if reached >= stop:
+            continue
+        if first != reached:  # no record was found there, or one that isn't: walk from where the last part ended
+            with open(p, "rb") as f:
+                end, n = _walk(f, reached, os.path.getsize(p), layout_of(f.read(24)), stop)
+        todo.append((no, p, reached, end, base))
+        reached, base = end, base + n
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, first, end, at in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                with open(p, "rb") as f:
+                    layout = layout_of(f.read(24))
+                    f.seek(first)
+                    rows = list(records(f.read(end - first), 0, layout))
+                cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p] * len(rows), pa.string()), pa.array(range(at, at + len(rows)), pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                    names=["path", "pkt_idx", "ts_ns", "flags", "frame_len", "data"],
+                )
+
+    return spark.createDataFrame(todo, "file_no long, path string, first long, stop long, base long").repartition(min(len(todo), 4096)).mapInArrow(read, PACKETS)
+
+
+def write_captures(
+    df: DataFrame,
+    folder: str,
+    name: str = "capture",
+    rotate_seconds: int | None = None,
+    rotate_bytes: int | None = None,
+    append: bool = False,
+    postrotate: str | None = None,
+    pad: int = 0,
+    nanoseconds: bool = True,
+    snap: int = 65535,
+) -> DataFrame:
+    """Write all packets as one stream to a folder that Python can open on every machine; (file, pkts, bytes) of each file.
+
+    Rotation is by time, then by size within (see ``operators.files``, whose name templates ``name`` and ``postrotate`` are; the latter is what a file is called once it is
+    complete). Without rotation there is one file. A file appears under its name when it is complete. ``append`` keeps what a file of that name holds, which must be of the same kind.
+    Files are written by a task each, and a task that runs again writes the same."""
+    from ..operators import files
+
+    folder = folder.removeprefix("file://")
+    d = df.withColumns({"_all": F.lit(0), "cap_len": F.length("data").cast("long")})
+    d = files.rotate_by_time(d, rotate_seconds) if rotate_seconds else d.withColumn("file_start", F.lit(0).cast("long"))
+    d = files.rotate_by_size(d, rotate_bytes, snap, ["_all", "file_start"]) if rotate_bytes else d.withColumn("file_index", F.lit(0))
+    once = rotate_seconds is None and rotate_bytes is None
+    named = d.withColumns({"_name": F.lit(name) if once else files.file_name(name, F.col("file_index"), F.col("file_start"), pad), "_final": files.file_name(postrotate, F.col("file_index"), F.col("file_start"), pad) if postrotate else F.lit(None).cast("string")})
+    os.makedirs(folder, exist_ok=True)
+    held = {e.name: e.stat().st_size for e in os.scandir(folder) if e.is_file()} if append else {}
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        first, final = key[0].as_py(), key[1].as_py()
+        target, rows = f"{folder}/{final or first}", table.sort_by("pkt_idx")
+        partial = f"{target}.{uuid.uuid4().hex}.partial"
+        with open(partial, "wb") as f:
+            before = held.get(first, 0)
+            if before:
+                with open(f"{folder}/{first}", "rb") as old:
+                    whole = old.read(before)
+                if whole[:4] != file_header(nanoseconds, snap)[:4]:
+                    raise CaptureError(f"{first} is of another kind")
+                f.write(whole)
+            else:
+                f.write(file_header(nanoseconds, snap))
+            for t, n, data in zip(*(rows.column(c).to_pylist() for c in ("ts_ns", "frame_len", "data")), strict=True):
+                f.write(record(t, n, data, nanoseconds, snap))
+            size = f.tell()
+        os.replace(partial, target)
+        return pa.table({"file": pa.array([target]), "pkts": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    made = named.select("_name", "_final", "pkt_idx", "ts_ns", "frame_len", "data").groupBy("_name", "_final").applyInArrow(write, "file string, pkts long, bytes long")
+    return df.sparkSession.createDataFrame(made.collect(), "file string, pkts long, bytes long")  # a row a file
 
 
 def encode_files(df: DataFrame, by: list[str], nanoseconds: bool = True, snap: int = 65535) -> DataFrame:

@@ -365,3 +365,150 @@ def test_pacing_script(spark):
     assert times("bw 800000") == [i * 1_000_000 for i in range(6)]
     assert times("pps 1000; for 2 ms; pause 7 ms; speedup 10") == [1_000_000, 2_000_000, 10_000_000, 11_000_000, 12_000_000, 13_000_000]
     assert times("pps 1000; for 3 ms; stop") == [1_000_000, 2_000_000, 3_000_000]
+
+
+# captures in several files and parts
+
+
+def _captures(folder, n_files=3, n=400):
+    import struct as st
+
+    r = random.Random(6)
+    want = []
+    for k in range(n_files):
+        body = pcap.file_header()
+        for i in range(n + k):
+            data = bytes(r.randrange(256) for _ in range(r.randrange(14, 120)))
+            ts = 1_700_000_000_000_000_000 + i * 1_000_003
+            body += pcap.record(ts, len(data), data)
+            want.append((k * pcap.FILE + i, ts, data))
+        (folder / f"{k}.pcap").write_bytes(body + st.pack("<II", 1, 2))  # cut off in a header
+    return want
+
+
+def test_files_are_numbered_in_order(spark, tmp_path):
+    want = _captures(tmp_path)
+    got = sorted((r["pkt_idx"], r["ts_ns"], bytes(r["data"])) for r in pcap.read_pcap(spark, f"file://{tmp_path}/*.pcap").collect())
+    assert got == want
+    first = select.pass_n(pcap.read_pcap(spark, f"file://{tmp_path}/*.pcap"), 405)[""].collect()
+    assert sorted(r["pkt_idx"] for r in first) == [w[0] for w in want[:405]]
+
+
+@pytest.mark.parametrize("split", [700, 5000, 1 << 30])
+def test_files_are_read_in_parts(spark, tmp_path, split):
+    want = _captures(tmp_path)
+    # payloads that look like headers, which a part may start in
+    fake = b"".join(pcap.record(1_700_000_000_000_000_000, 60, b"") for _ in range(40))
+    body = pcap.file_header() + b"".join(pcap.record(1_700_000_000_000_000_000 + i, len(fake), fake) for i in range(20))
+    (tmp_path / "9.pcap").write_bytes(body)
+    want += [(3 * pcap.FILE + i, 1_700_000_000_000_000_000 + i, fake) for i in range(20)]
+    got = sorted((r["pkt_idx"], r["ts_ns"], bytes(r["data"])) for r in pcap.split_pcap(spark, str(tmp_path), split).collect())
+    assert got == want
+
+
+def test_modified_headers_are_read():
+    import struct as st
+
+    head = st.pack("<IHHiIII", 0xA1B2CD34, 2, 4, 0, 0, 65535, 1)
+    rec = st.pack("<IIIIIHBB", 5, 7, 4, 9, 1, 0x0800, 0, 0) + b"abcd"
+    assert list(pcap.packets_of(head + rec * 2)) == [(5_000_007_000, 4, 9, b"abcd")] * 2
+
+
+def test_one_writer_rotates_and_appends(spark, tmp_path):
+    rows = [(i, 10_000_000_000 + i * 500_000_000, 100, bytes(100)) for i in range(60)]
+    df = spark.createDataFrame(rows, "pkt_idx long, ts_ns long, frame_len int, data binary")
+    got = {r["file"].rsplit("/", 1)[1]: (r["pkts"], r["bytes"]) for r in pcap.write_captures(df, str(tmp_path / "a"), "cap_$i_%H%M%S.pcap", rotate_seconds=10, rotate_bytes=1500).collect()}
+    assert got == {f"cap_{i}_0000{s}.pcap": (n, 24 + 116 * n) for s in (10, 20, 30) for i, n in ((0, 13), (1, 7))}
+    once = pcap.write_captures(df, str(tmp_path / "b"), "all.pcap").collect()
+    assert [r["pkts"] for r in once] == [60]
+    pcap.write_captures(df, str(tmp_path / "b"), "all.pcap", append=True).collect()
+    back = list(pcap.packets_of((tmp_path / "b" / "all.pcap").read_bytes()))
+    assert [t for t, *_ in back] == [r[1] for r in rows] * 2
+    with pytest.raises(Exception, match="another kind"):
+        pcap.write_captures(df, str(tmp_path / "b"), "all.pcap", append=True, nanoseconds=False).collect()
+    pcap.write_captures(df.limit(0), str(tmp_path / "c")).collect()
+    done = pcap.write_captures(df, str(tmp_path / "d"), "tmp", rotate_seconds=10, postrotate="done_%S_$i.pcap").collect()
+    assert sorted(p.name for p in (tmp_path / "d").iterdir()) == ["done_10_0.pcap", "done_20_0.pcap", "done_30_0.pcap"] and len(done) == 3
+
+
+# footers, stamps, draws
+
+
+def test_extension_without_a_final_word(spark):
+    from netcask.operators import stamps
+
+    foot = bytes.fromhex("AABBCCDD" + "12345600" + "00000005" + "00000007" + "03" + "0102" + "07" + "55555555")
+    df = spark.createDataFrame([(0, 9, 0, 24 + len(foot), bytes(24) + foot)], "pkt_idx long, ts_ns long, flags int, frame_len int, data binary")
+    r = stamps.footer_stamp(df, extensions=True).collect()[0]
+    assert (r["ts_ns"], r["frame_len"], r["flags"], len(r["data"])) == (5_000_000_007, 24 + len(foot) - 16, 0, 24 + len(foot) - 16)
+
+
+def test_switch_rules(spark):
+    from netcask.operators import stamps
+
+    def frame(kind="D28B", version="0020", sec=5, ns=7, source="001122334455"):
+        return bytes.fromhex("FFFFFFFFFFFF" + source + kind + "0001" + version + f"{sec:04X}{ns:08X}" + "0800" + "00" * 30)
+
+    cases = [(frame(), 0, True), (frame(kind="88CC"), 0, False), (frame(), 2, False), (frame(version="0030"), 0, False), (frame(ns=10**9), 0, False), (frame()[:20], 0, False), (frame(source="ABCDEF000000"), 0, False)]
+    df = spark.createDataFrame([(i, 0, f, len(d), d) for i, (d, f, _) in enumerate(cases)], "pkt_idx long, ts_ns long, flags int, frame_len int, data binary")
+    out = stamps.switch_stamps(df, "7280", no_stamp_oui="ab:cd:ef")
+    assert sorted(r["pkt_idx"] for r in out[""].collect()) == [i for i, c in enumerate(cases) if c[2]]
+    assert out["no_timestamp"].count() == 6 and out["lldp"].count() == 0
+    late = spark.createDataFrame([(0, 65_535 * 10**9, 0, 60, frame(sec=1)), (1, 65_537 * 10**9, 0, 60, frame(sec=65_535))], "pkt_idx long, ts_ns long, flags int, frame_len int, data binary")
+    got = {r["pkt_idx"]: (r["ts_ns"], r["rollover"]) for r in stamps.switch48(late).collect()}
+    assert got == {0: (65_537 * 10**9 + 7, True), 1: (65_535 * 10**9 + 7, True)}
+    for bad in ({"switch_model": "9"}, {"switch_model": "7150", "ts_format": "48bit"}, {"switch_model": "7280", "ts_format": "32bit"}):
+        with pytest.raises(ValueError):
+            stamps.switch_stamps(df, **bad)
+    with pytest.raises(ValueError):
+        stamps.switch48(df, in_source=True)
+
+
+def test_draws_are_even(spark):
+    from netcask.functions.draw import draw
+
+    seen = [r[0] for r in spark.range(20000).select(draw(F.col("id"), 3) % 8).collect()]
+    assert all(abs(seen.count(k) - 2500) < 250 for k in range(8))
+
+
+def test_token_bucket_is_the_plain_one(spark):
+    r = random.Random(2)
+    at, rows = 0, []
+    for i in range(300):
+        at += r.randrange(0, 400_000)
+        rows.append((i, at, r.randrange(60, 1500), 0))
+    out = [x["depart_ns"] for x in timing.token_bucket(spark.createDataFrame(rows, "pkt_idx long, ts_ns long, frame_len int, src long"), pps=5000, bps=4e7).orderBy("pkt_idx").collect()]
+    pkt, byt = [1, 200_000, 0, None], [60, 12_000, 0, None]
+    now, want = 0, []
+    for _, ts, size, _ in rows:
+        now = max(now, ts)
+        for b in (pkt, byt):
+            b[3] = now if b[3] is None else b[3]
+        while True:  # a step of time at each period's end
+            for b in (pkt, byt):
+                while b[3] + b[1] <= now:
+                    b[3] += b[1]
+                    b[2] = min(b[0], b[2] + b[0])
+            if pkt[2] > 0 and byt[2] > 0:
+                break
+            now = min(b[3] + b[1] for b in (pkt, byt) if b[2] <= 0)
+        pkt[2] -= 1
+        byt[2] -= size
+        want.append(now)
+    assert out == want
+
+
+def test_least_load_of_uneven_flows(spark):
+    rows = [(i, i * 10**9, 1460 if i % 2 else 60, i, 1000 + i, 6, 5, 80, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "pkt_idx long, ts_ns long, cap_len long, src_ip long, dst_ip long, ip_proto long, sport long, dport long, vlan_id long")
+    work = {r["output"]: r["w"] for r in balance.balance_least_load(df, 2).groupBy("output").agg(F.sum(300 + F.col("cap_len")).alias("w")).collect()}
+    assert abs(work[0] - work[1]) <= 1760
+
+
+def test_nodes_are_found_by_name_type_and_argument(spark):
+    from netcask.plans.graph import Graph
+
+    g = Graph()
+    g.node("snap:snap=60", "cut")
+    g.node("filter:bpf=tcp", "tcp_only")
+    assert [n.name for n in g.find("c*")] == ["cut"] and [n.name for n in g.find("type=filter")] == ["tcp_only"] and [n.name for n in g.find("snap=6*")] == ["cut"]
