@@ -12,6 +12,7 @@
    candidate. Blocks whose bounds don't reach the threshold are skipped. The postings of the other terms in the blocks that are left are
    added up; documents that with the block bounds of the rest still reach the threshold are candidates. Only these are scored in
    full, best bound first, in steps, with the threshold raised after each, until no bound reaches it.
+   Queries are files in the shared folder, which every shard's task reads, where Python can open that folder; else they are shuffled to every shard.
 5. Each shard gives its k best, and the k best of those are kept for each query.
 
 Scores are compared as rounded to six digits; a bound prunes only if it is lower than the threshold by more than that. Equal scores rank by id.
@@ -32,13 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import can_open_shared, materialize, open_shared
 
 K, EVERY, K1, B = 10, 20, 1.2, 0.75
-BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 32 << 20, 500, 32
+BLOCK, SHARD_BYTES, QUERIES, STEP = 64, 16 << 20, 500, 12
+#: Queries that a task runs in its shard, about.
+PART_QUERIES = 32_000
 #: More than rounding moves a score.
 SLACK = 2e-6
 
@@ -118,8 +122,8 @@ class Shard:
         self.ids, self.null, self.term, self.first, self.doc = (index[k] for k in ("ids", "null", "term", "first", "doc"))
         self.row = np.concatenate(([0], np.cumsum(index["copies"])))
         self.docs = len(index["length"])
-        norm = K1 * (1 - B + B * index["length"] / max(mean, 1e-9))
-        self.impact = index["tf"] * (K1 + 1) / (index["tf"] + norm[self.doc])
+        self.norm = K1 * (1 - B + B * index["length"] / max(mean, 1e-9))
+        self.impact = index["tf"] * (K1 + 1) / (index["tf"] + self.norm[self.doc])
         self.blocks = -(-self.docs // BLOCK)
         new = np.zeros(len(self.doc) + 1, bool)
         new[self.first] = True
@@ -132,53 +136,71 @@ class Shard:
         self.cell_most = np.maximum.reduceat(self.impact, self.cell) if len(self.cell) else np.empty(0)
         self.term_cell = np.searchsorted(self.cell, self.first)
         self.term_most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(self.term) else np.empty(0)
-
-    def postings(self, cells: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and gains of the postings in these cells."""
-        at = spread(self.cell[cells], self.cell_end[cells])
-        return self.doc[at], np.repeat(weight, self.cell_end[cells] - self.cell[cells]) * self.impact[at]
+        # the same postings by document, terms in order
+        by = np.argsort(self.doc, kind="stable")
+        self.doc_term = np.repeat(np.arange(len(self.term), dtype=np.int32), np.diff(self.first))[by]
+        self.doc_tf = index["tf"][by]
+        self.doc_first = np.concatenate(([0], np.cumsum(np.bincount(self.doc, minlength=self.docs)))) if len(self.doc) else np.zeros(self.docs + 1, np.int64)
+        self.weight = np.zeros(len(self.term))
+
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """Scores by the weights that are set, of documents that have terms. Terms are in order, so that equal documents add up alike in every shard."""
+        a, z = self.doc_first[docs], self.doc_first[docs + 1]
+        at = spread(a, z)
+        tf = self.doc_tf[at]
+        gain = self.weight[self.doc_term[at]] * (tf * (K1 + 1) / (tf + np.repeat(self.norm[docs], z - a)))
+        return np.round(np.add.reduceat(gain, np.cumsum(z - a) - (z - a)), 6)
 
     def top(self, term: np.ndarray, weight: np.ndarray, k: int, threshold: float = 0.0) -> list[tuple[int | None, float]]:
-        """The best (id, score), at most ``k``, of those that reach ``threshold``. ``term`` is in order, so that equal documents add up alike in every shard."""
+        """The best (id, score), at most ``k``, of those that reach ``threshold``."""
         at = np.searchsorted(self.term, term)
         hit = np.flatnonzero(at < len(self.term))
         hit = hit[self.term[at[hit]] == term[hit]]
         if not len(hit):
             return []
         at, weight = at[hit], weight[hit]
+        # term bounds, the highest for its postings first; ``rest``: of all terms after one
+        bound = weight * self.term_most[at]
+        order = np.argsort(-bound / (self.first[at + 1] - self.first[at]), kind="stable")
+        at, weight, bound = at[order], weight[order], bound[order]
+        total = np.cumsum(bound)
+        rest = total[-1] - total
+        # block bounds: what no document of a block can pass; blocks below the threshold are skipped
         a, z = self.term_cell[at], self.term_cell[at + 1]
-        cells = spread(a, z)
-        of = np.repeat(weight, z - a)
-        block = self.cell_block[cells]
-        most = of * self.cell_most[cells]
-        bound = np.bincount(block, most, self.blocks)
-        live = bound >= threshold - SLACK
-        if not live.any():
+        cells, of = spread(a, z), np.repeat(np.arange(len(at)), z - a)
+        block, most = self.cell_block[cells], weight[of] * self.cell_most[cells]
+        left = np.bincount(block, most, self.blocks)
+        live = left >= threshold - SLACK
+        keep = live[block]
+        cells, of, block, most = cells[keep], of[keep], block[keep], most[keep]
+        if not len(cells):
             return []
-        term_bound = weight * self.term_most[at]
-        cheap = np.argsort(term_bound / (self.first[at + 1] - self.first[at]), kind="stable")
-        moves = np.ones(len(at), bool)  # whether a term's postings can make a pivot
-        moves[cheap[: int(np.searchsorted(np.cumsum(term_bound[cheap]), threshold - SLACK))]] = False
-        some = np.flatnonzero(np.repeat(moves, z - a) & live[block])
-        docs, gain = self.postings(cells[some], of[some])
-        part = np.bincount(docs, gain, self.docs)
-        rest = bound - np.bincount(block[some], most[some], self.blocks)
-        able = np.flatnonzero(part)
-        upto = part[able] + rest[able // BLOCK]
-        keep = np.flatnonzero(upto >= threshold - SLACK)
-        keep = keep[np.argsort(-upto[keep], kind="stable")]
-        able, upto = able[keep], upto[keep]
+        size = self.cell_end[cells] - self.cell[cells]
+        # the first cursors are moved until the others can't make a pivot by themselves, then in steps while there are candidates
+        least = max(threshold - SLACK, SLACK)
+        pivot = int(np.argmax(rest < least)) if threshold > SLACK else len(at) - 1
+        done, to = 0, int(np.searchsorted(of, pivot, "right"))
+        part, moved = np.zeros(self.docs), np.cumsum(size)
+        while True:
+            now = slice(done, to)
+            posts = spread(self.cell[cells[now]], self.cell_end[cells[now]])
+            part += np.bincount(self.doc[posts], np.repeat(weight[of[now]], size[now]) * self.impact[posts], self.docs)
+            left -= np.bincount(block[now], most[now], self.blocks)
+            able = np.flatnonzero(part > 0)
+            able = able[part[able] + left[able // BLOCK] >= least]
+            if not len(able):
+                return []
+            if to == len(cells):
+                break
+            done, to = to, max(to + 1, int(np.searchsorted(moved, 2 * moved[to - 1] if to else 1, "right")))
+        able = able[np.argsort(-part[able], kind="stable")]
         best: list[tuple[float, bool, int]] = []
-        s, size = 0, max(STEP, k)
-        while s < len(able) and upto[s] >= threshold - SLACK:
-            now = able[s : s + size]
-            s, size = s + size, 2 * size
-            wanted, inside = np.zeros(self.docs, bool), np.zeros(self.blocks, bool)
-            wanted[now], inside[now // BLOCK] = True, True
-            full = np.flatnonzero(inside[block])
-            docs, gain = self.postings(cells[full], of[full])
-            mine = wanted[docs]
-            score = np.round(np.bincount(docs[mine], gain[mine], self.docs)[now], 6)
+        s, step = 0, max(STEP, k)
+        self.weight[at] = weight
+        while s < len(able) and part[able[s]] >= threshold - SLACK:
+            now = able[s : s + step]
+            s, step = s + step, 2 * step
+            score = self.full(now)
             if len(now) > k:
                 good = np.flatnonzero(score >= np.partition(score, -k)[-k])
                 now, score = now[good], score[good]
@@ -189,6 +211,7 @@ class Shard:
             best = sorted(best)[:k]
             if len(best) == k:
                 threshold = max(threshold, -best[-1][0])
+        self.weight[at] = 0
         return [(None if null else i, -s) for s, null, i in best]
 
 
@@ -198,7 +221,7 @@ def spread(a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def index_rows(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Shards from (id, text), as they come."""
 
     def done(made: Builder) -> pa.RecordBatch:
@@ -209,7 +232,7 @@ def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = Builder()
     for b in batches:
         for i, t in zip(b.column(0), b.column(1), strict=True):
-            if made.size >= SHARD_BYTES:
+            if made.size >= shard_bytes:
                 yield done(made)
                 made = Builder()
             made.add(i.as_py(), t.as_py())
@@ -247,11 +270,11 @@ def query_block(table: pa.Table) -> pa.Table:
     return pa.table({"qblock": table.column("qblock").slice(0, 1), "blob": pa.array([blob], pa.binary())})
 
 
-def search(docs: DataFrame, k: int = K, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(docs: DataFrame, k: int = K, every: int = EVERY, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank from 1, doc_id, score) of the k best rows for each query."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     number = Window.orderBy("at")  # a number a shard
-    made = materialize(rows.mapInArrow(index_rows, "n long, words long, blob binary").withColumn("at", F.monotonically_increasing_id()), "bm25-shards")
+    made = materialize(rows.mapInArrow(lambda batches: index_rows(batches, shard_bytes), "n long, words long, blob binary").withColumn("at", F.monotonically_increasing_id()), "bm25-shards")
     names = materialize(made.select("at").withColumn("shard", (F.row_number().over(number) - 1).cast("int")), "bm25-names")
     shards, n, words = made.agg(F.count("*"), F.sum("n"), F.sum("words")).first()
     n, mean, shards = n or 0, (words or 0) / max(n or 0, 1), max(shards, 1)
@@ -302,10 +325,29 @@ def search(docs: DataFrame, k: int = K, every: int = EVERY, id_col: str = "doc_i
         cols = list(zip(*out, strict=True)) if out else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.float64()), strict=True)], names=["key", "doc", "score"])
 
+    def finish_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob, part in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                held = Shard(load(blob.as_py()), mean)
+                for path in files[part::parts]:
+                    with open_shared(path) as f:
+                        for some in parquet.ParquetFile(f).iter_batches(1, columns=["qblock", "blob"]):
+                            for x in some.column(1):
+                                yield finish(held, 0, load(x.as_py()))
+
     first = blocks.select(F.pmod(F.xxhash64("qblock"), F.lit(shards)).cast("int").alias("shard"), "qblock", "blob")
     started = materialize(asking("qblock int, blob binary", begin)(first), "bm25-started")
-    to_all = started.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "qblock", "blob")
-    found = asking("key binary, doc long, score double", finish)(to_all)
+    answers = "key binary, doc long, score double"
+    if can_open_shared(docs.sparkSession):
+        # the queries' files are read where a shard is: nothing is sent to every shard by a shuffle
+        files = sorted(started.inputFiles())
+        parts = max(1, -(-count * QUERIES // PART_QUERIES))
+        cells = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        found = cells.repartitionById(shards * parts, (F.col("shard") * parts + F.col("part")).cast("int")).mapInArrow(finish_files, answers)
+    else:
+        to_all = started.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "qblock", "blob")
+        found = asking(answers, finish)(to_all)
+    found = materialize(found, "bm25-found")
     best = Window.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last("doc"))  # shards x k rows
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return asked.select(F.col("id").alias("query_id"), "key").distinct().join(top, "key").select("query_id", "rank", F.col("doc").alias(id_col), "score")

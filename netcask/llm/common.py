@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from pyarrow import fs as filesystem
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -39,6 +40,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def open_shared(path: str):
+    """A file of the shared folder, for Python workers: any store that Arrow opens by a URI."""
+    store, name = filesystem.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return store.open_input_file(name)
+
+
+def can_open_shared(spark: SparkSession) -> bool:
+    """Whether Python can open the shared folder on this machine."""
+    try:
+        store, name = filesystem.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", shared_dir(spark)))
+        return store.get_file_info(name).type == filesystem.FileType.Directory
+    except (OSError, ValueError, ImportError):
+        return False
+
+
 def bucketed_table(df: DataFrame, label: str, buckets: int, column: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``column`` in the shared folder; ``drop_written`` takes it from the catalog."""
     spark = df.sparkSession

@@ -607,11 +607,12 @@ def test_many_copies_rank_by_id(spark):
     assert best == sorted([2, *range(0, 33, 3)])
 
 
-def test_texts_larger_than_a_shard(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_BYTES", 1000)
+@pytest.mark.parametrize("opens", [True, False])
+def test_texts_larger_than_a_shard(spark, monkeypatch, opens):
+    monkeypatch.setattr(bm25, "can_open_shared", lambda spark: opens)
     rows = [(20 * i, f"w{i} " * 700 + "w0") for i in range(4)] + [(5, "w0 w1"), (6, "")]
     got = defaultdict(list)
-    for x in bm25.search(docs_of(spark, rows)).collect():
+    for x in bm25.search(docs_of(spark, rows), shard_bytes=1000).collect():
         got[x["query_id"]].append((x["rank"], x["doc_id"]))
     assert {q: sorted(v)[0][1] for q, v in got.items()} == {0: 0, 20: 20, 40: 40, 60: 60}
 
