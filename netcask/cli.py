@@ -25,9 +25,57 @@ def parse_args(args: list[str], repeatable: tuple[str, ...] = ("filter", "stream
     return out
 
 
-def _extended(df: DataFrame, extensions: list[str]) -> DataFrame:
+def read_words(path: str) -> list[str]:
+    """Words of a settings file, one a line; what follows ``#`` isn't read."""
+    with open(path, encoding="utf-8") as f:
+        return [w for w in (line.split("#")[0].strip() for line in f) if w]
+
+
+def parse_command(words: list[str], known: set[str], repeatable: tuple[str, ...] = ("filter", "streams"), flags: tuple[str, ...] = ()) -> list[dict]:
+    """A command's words as sections of settings, one for each source.
+
+    ``key=value`` with a known key is a setting, a flag alone sets it, ``type:key=value;key=value`` adds a node to ``extensions``, ``config_file=PATH`` stands for the words of
+    that file, and any other ``NAME`` or ``NAME=VALUE`` begins the section of a source of that name. What stands before the first source holds for all. A repeatable key that
+    repeats in a section is joined by ``;``; else the last one holds."""
+    common: dict = {"extensions": []}
+    sections: list[dict] = []
+    own: set[str] = set()  # keys set in this section
+
+    def take(words: list[str], depth: int) -> None:
+        if depth > 16:
+            raise ValueError("config files name one another")
+        for word in words:
+            now = sections[-1] if sections else common
+            eq, colon = word.find("="), word.find(":")
+            if eq >= 0 and (colon < 0 or eq < colon):
+                key, value = word.split("=", 1)
+                if key == "config_file":
+                    take(read_words(value), depth + 1)
+                    continue
+                if key in known:
+                    now[key] = f"{now[key]};{value}" if key in repeatable and key in own else value
+                    own.add(key)
+                    continue
+            elif colon >= 0:
+                name, rest = word.split(":", 1)
+                args = dict(part.split("=", 1) if "=" in part else (part, "") for part in rest.split(";") if part)
+                now["extensions"] = [*now["extensions"], (name, args)]
+                continue
+            elif word in flags:
+                now[word] = True
+                continue
+            else:
+                key, value = word, None
+            own.clear()
+            sections.append(common | {"source": key, "value": value})
+
+    take(words, 0)
+    return sections or [common]
+
+
+def _extended(df: DataFrame, extensions: list[str | tuple[str, dict]]) -> DataFrame:
     for spec in extensions:
-        name, args = parse_spec(spec)
+        name, args = parse_spec(spec) if isinstance(spec, str) else spec
         made = REGISTRY[name][0](df, **args)
         df = made[""] if isinstance(made, dict) else made
     return df
@@ -89,10 +137,10 @@ def replay(
     return timing.pacer(timing.adjust_speedup(df, speedup or 1))
 
 
-def balance(df: DataFrame, channels: int, mode: str = "rr") -> DataFrame:
+def balance(df: DataFrame, channels: int, mode: str = "rr", idle_ns: int | None = balancing.FLOW_IDLE_NS) -> DataFrame:
     if mode not in ("rr", "estimate"):
         raise ValueError(f"unknown mode {mode!r}")
-    return (balancing.balance_round_robin if mode == "rr" else balancing.balance_least_load)(df, channels)
+    return (balancing.balance_round_robin if mode == "rr" else balancing.balance_least_load)(df, channels, idle_ns)
 
 
 def merge(*inputs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ CONSTANTS = {
     "tcp-fin": 1, "tcp-syn": 2, "tcp-rst": 4, "tcp-push": 8, "tcp-ack": 16, "tcp-urg": 32,
 }
 SERVICES = {"ftp": 21, "ssh": 22, "telnet": 23, "smtp": 25, "domain": 53, "http": 80, "ntp": 123, "snmp": 161, "https": 443}
-FOREIGN = set("wlan fddi tr atm lane mtp2 mtp3 sio opc dpc sls isis iso clnp esis decnet ipx netbeui stp lat moprc mopdl aarp atalk inbound outbound ifname on rset ruleset reason action gateway protochain".split())
+FOREIGN = set("wlan fddi tr atm lane mtp2 mtp3 sio opc dpc sls isis iso clnp esis decnet ipx netbeui stp lat moprc mopdl aarp atalk inbound outbound ifname on rset ruleset reason action gateway ".split())
 
 _TOKEN = re.compile(
     r"\s*(?:(?P<ip6>[0-9a-fA-F:]*::[0-9a-fA-F:]*(?:(?<=:)\d+(?:\.\d+){3})?|[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}\b)|(?P<mac>[0-9a-fA-F]{1,2}(?:[:-][0-9a-fA-F]{1,2}){5}\b)|(?P<addr>\d+(?:\.\d+){1,3})|(?P<num>0[xX][0-9a-fA-F]+|\d+\b)"
@@ -46,6 +46,14 @@ _TOKEN = re.compile(
 )
 
 
+def as_number(text: str) -> int:
+    """Decimal, hexadecimal after ``0x``, octal after ``0``."""
+    try:
+        return int(text, 8 if re.fullmatch(r"0\d+", text) else 0)
+    except ValueError as e:
+        raise FilterError(f"not a number: {text!r}") from e
+
+
 def tokens(text: str) -> list[tuple[str, str]]:
     out, at = [], 0
     text = text.rstrip()
@@ -173,7 +181,7 @@ class Parser:
             self.take(")")
             return inner
         if kind == "num":
-            return ("num", int(text, 0))
+            return ("num", as_number(text))
         if text == "len":
             return ("len",)
         if text in CONSTANTS:
@@ -182,7 +190,7 @@ class Parser:
             self.take("[")
             index, size = self.arith(), 1
             if self.skip(":"):
-                size = int(self.take()[1], 0)
+                size = as_number(self.take()[1])
                 if size not in (1, 2, 4):
                     raise FilterError("a load is of 1, 2 or 4 bytes")
             self.take("]")
@@ -199,16 +207,16 @@ class Parser:
             return self.value(self.last)
         if text in ("less", "greater"):
             self.take()
-            return ("rel", "<=" if text == "less" else ">=", ("len",), ("num", int(self.take()[1], 0)))
+            return ("rel", "<=" if text == "less" else ">=", ("len",), ("num", as_number(self.take()[1])))
         if text == "byte":
             self.take()
-            index, op, value = int(self.take()[1], 0), self.take()[1], int(self.take()[1], 0)
+            index, op, value = as_number(self.take()[1]), self.take()[1], as_number(self.take()[1])
             if op not in ("=", "<", ">", "&", "|"):
                 raise FilterError(f"byte has no {op!r}")
             return ("byte", index, op, value)
         if text in ("vlan", "mpls", "pppoed", "pppoes"):
             self.take()
-            number = int(self.take()[1], 0) if self.peek()[0] == "num" and text != "pppoed" else None
+            number = as_number(self.take()[1]) if self.peek()[0] == "num" and text != "pppoed" else None
             return (text, number)
         if text in FOREIGN:
             raise UnsupportedFilter(f"{text} isn't supported on Ethernet")
@@ -228,7 +236,7 @@ class Parser:
             if self.peek()[1] in ("or", "and") and self.peek(1)[1] in ("src", "dst") and self.peek(1)[1] != q.way:
                 q.way = "either" if self.take()[1] == "or" else "both"
                 self.take()
-        if self.peek()[1] in ("host", "net", "port", "portrange", "proto"):
+        if self.peek()[1] in ("host", "net", "port", "portrange", "proto", "protochain"):
             q.kind = self.take()[1]
         if q.kind is None and self.peek()[0] not in ("num", "addr", "mac", "ip6"):
             if q.proto is None or q.proto == "ether" or q.way != "either":
@@ -267,13 +275,13 @@ class Parser:
                     high = self.port(*self.take())
                 low, high = min(low, high), max(low, high)
             return ("port", q.proto, q.way, low, high)
-        if q.kind == "proto":
+        if q.kind in ("proto", "protochain"):
             if q.way != "either":
-                raise FilterError("direction applied to 'proto'")
-            number = int(text, 0) if kind == "num" else IP_PROTOS.get(text, ETHER_TYPES.get(text))
+                raise FilterError(f"direction applied to {q.kind!r}")
+            number = as_number(text) if kind == "num" else IP_PROTOS.get(text, ETHER_TYPES.get(text))
             if number is None:
                 raise FilterError(f"unknown protocol {text!r}")
-            return ("number", q.proto, number)
+            return ("number" if q.kind == "proto" else "chain", q.proto, number)
         raise FilterError(f"unknown qualifier {q.kind!r}")
 
     def net(self, q: Qualifiers, text: str) -> tuple:
@@ -281,7 +289,7 @@ class Parser:
         value = sum(x << (24 - 8 * i) for i, x in enumerate(parts))
         mask = U32 << (32 - 8 * len(parts)) & U32
         if self.skip("/"):
-            bits = int(self.take()[1], 0)
+            bits = as_number(self.take()[1])
             if bits > 32:
                 raise FilterError("mask length must be at most 32")
             mask = U32 << (32 - bits) & U32 if bits else 0
@@ -298,7 +306,7 @@ class Parser:
             raise FilterError(f"no IPv6 address: {text!r}") from e
         if q.proto not in (None, "ip6"):
             raise FilterError(f"'{q.proto}' modifier applied to an IPv6 address")
-        bits = int(self.take()[1], 0) if self.skip("/") else 128
+        bits = as_number(self.take()[1]) if self.skip("/") else 128
         if bits > 128 or (bits != 128 and q.kind != "net"):
             raise FilterError(f"invalid mask length: {text}/{bits}")
         mask = (1 << 128) - (1 << (128 - bits))
@@ -308,7 +316,7 @@ class Parser:
 
     def port(self, kind: str, text: str) -> int:
         if kind == "num":
-            n = int(text, 0)
+            n = as_number(text)
         elif text in SERVICES:
             n = SERVICES[text]
         else:
@@ -365,6 +373,25 @@ class Compiler:
     def load(self, off, size: int) -> Column:
         return read_be(self.data, off, size)
 
+    def within(self, off, size: int, low: int, high: int) -> Test:
+        """Whether the number at ``off`` is from ``low`` to ``high``: bytes compare like unsigned big-endian numbers, so none is made of them."""
+        at = off if isinstance(off, Column) else F.lit(off)
+        part = F.substring(self.data, at + 1, F.lit(size))
+        a, z = (F.lit(bytearray(n.to_bytes(size, "big"))) for n in (low, high))
+        return of(F.when((at >= 0) & (F.length(self.data) >= at + size), part == a if low == high else part.between(a, z)))
+
+    def same(self, off, size: int, value: int) -> Test:
+        if not 0 <= value < 1 << 8 * size:
+            return of(self.load(off, size) == value)
+        return self.within(off, size, value, value)
+
+    def masked(self, off, size: int, value: int, mask: int) -> Test:
+        """Whether the bits of ``mask`` are those of ``value``."""
+        low_bits = (1 << 8 * size) - 1 - mask
+        if low_bits & (low_bits + 1) == 0:  # a prefix
+            return self.within(off, size, value, value | low_bits)
+        return of(self.load(off, size).bitwiseAND(mask) == value)
+
     def compile(self, tree: tuple) -> Test:
         kind = tree[0]
         if kind in ("and", "or"):
@@ -389,10 +416,10 @@ class Compiler:
             if value not in (0x0800, 0x86DD):
                 raise FilterError("only IP is looked for under MPLS")
             bottom = of(self.load(self.net_at - 2, 1).bitwiseAND(1) == 1)
-            return both(bottom, of(self.load(self.net_at, 1).bitwiseAND(0xF0) == (0x40 if value == 0x0800 else 0x60)))
+            return both(bottom, self.masked(self.net_at, 1, 0x40 if value == 0x0800 else 0x60, 0xF0))
         if self.ppp:
             value = {0x0800: 0x21, 0x86DD: 0x57}.get(value, value)
-        return of(self.load(self.type_at, 2) == value)
+        return self.same(self.type_at, 2, value)
 
     def on_vlan(self, number) -> Test:
         if self.labels:
@@ -407,7 +434,7 @@ class Compiler:
         if self.labels:
             here = of(self.load(self.net_at - 2, 1).bitwiseAND(1) == 0)  # not the last label yet
         else:
-            here = of(self.load(self.type_at, 2) == 0x8847)
+            here = self.same(self.type_at, 2, 0x8847)
         if number is not None:
             here = both(here, of(self.load(self.net_at, 4).bitwiseAND(0xFFFFF000) == number << 12))
         self.labels += 1
@@ -415,10 +442,10 @@ class Compiler:
         return here
 
     def on_pppoed(self, number) -> Test:
-        return of(self.load(self.type_at, 2) == 0x8863)
+        return self.same(self.type_at, 2, 0x8863)
 
     def on_pppoes(self, number) -> Test:
-        here = of(self.load(self.type_at, 2) == 0x8864)
+        here = self.same(self.type_at, 2, 0x8864)
         if number is not None:
             here = both(here, of(self.load(self.net_at + 2, 2) == number))
         self.type_at, self.net_at, self.ppp = self.net_at + 6, self.net_at + 8, True
@@ -426,7 +453,7 @@ class Compiler:
 
     def on_mac(self, way: str, digits: str) -> Test:
         def same(off):
-            return of(F.when(F.length(self.data) >= off + 6, F.hex(F.substring(self.data, off + 1, 6)) == digits))
+            return self.same(off, 6, int(digits, 16))
 
         return self.directed(way, same(6), same(0))
 
@@ -436,7 +463,7 @@ class Compiler:
     def on_broadcast(self, proto: str) -> Test:
         if proto != "ether":
             raise FilterError("the netmask isn't known, so 'ip broadcast' is not supported")
-        return of(F.when(F.length(self.data) >= 6, F.hex(F.substring(self.data, 1, 6)) == "FFFFFFFFFFFF"))
+        return self.same(0, 6, (1 << 48) - 1)
 
     def on_multicast(self, proto: str) -> Test:
         if proto == "ether":
@@ -462,14 +489,14 @@ class Compiler:
         return both(self.ether_type(0x86DD), *more)
 
     def proto4(self, number: int) -> Test:
-        return of(self.load(self.net_at + 9, 1) == number)
+        return self.same(self.net_at + 9, 1, number)
 
     def proto6(self, number: int) -> Test:
-        return of(self.load(self.net_at + 6, 1) == number)
+        return self.same(self.net_at + 6, 1, number)
 
     def proto6_any(self, number: int) -> Test:
         """The next header, or the one after a fragment header."""
-        return any_of(self.proto6(number), both(self.proto6(44), of(self.load(self.net_at + 40, 1) == number)))
+        return any_of(self.proto6(number), both(self.proto6(44), self.same(self.net_at + 40, 1, number)))
 
     def on_proto(self, name: str) -> Test:
         if name in ETHER_TYPES:
@@ -491,9 +518,38 @@ class Compiler:
             return any_of(self.ip4(self.proto4(number)), self.ip6(self.proto6_any(number)))
         raise FilterError(f"'{proto} proto' is bogus")
 
+    def on_chain(self, proto: str | None, number: int) -> Test:
+        """A protocol anywhere in the chain of headers: authentication headers, and for IPv6 hop-by-hop, routing, fragment and destination options."""
+        if proto not in (None, "ip", "ip6"):
+            raise FilterError(f"bad protocol of 'protochain': {proto}")
+        four = self.ip4(self.chain(self.load(self.net_at + 9, 1), self.transport(), number, False))
+        six = self.ip6(self.chain(self.load(self.net_at + 6, 1), F.lit(self.net_at + 40), number, True))
+        return four if proto == "ip" else six if proto == "ip6" else any_of(four, six)
+
+    def chain(self, first: Column, start: Column, number: int, options: bool) -> Test:
+        going, found, lost, short = range(4)
+
+        def step(acc: Column, _: Column) -> Column:
+            kind, at, state = acc["kind"], acc["at"], acc["state"]
+            after, size = self.load(at, 1), self.load(at + 1, 1)
+            auth, option = kind == 51, kind.isin(0, 43, 44, 60) if options else F.lit(False)
+            new = F.when(kind == number, found).when(kind == 59, lost).when(~(auth | option), lost).when(after.isNull() | size.isNull(), short).otherwise(going)
+            now = F.when(state == going, new).otherwise(state)
+            move = now == going
+            return F.struct(
+                F.when(move, after).otherwise(kind).alias("kind"),
+                F.when(move, at + F.when(auth, (size + 2) * 4).otherwise((size + 1) * 8)).otherwise(at).cast("long").alias("at"),
+                now.cast("int").alias("state"),
+            )
+
+        begin = F.struct(first.cast("long").alias("kind"), start.cast("long").alias("at"), F.when(first.isNull() | start.isNull(), short).otherwise(going).cast("int").alias("state"))
+        headers = F.sequence(F.lit(1), F.greatest(F.lit(1), F.call_function("div", F.length(self.data), F.lit(8)).cast("int")))
+        end = F.aggregate(headers, begin, step, lambda acc: acc["state"])
+        return of(F.when(end != short, end == found))
+
     def on_addr(self, proto: str | None, way: str, value: int, mask: int) -> Test:
         def at(ether_type: int, src: int, dst: int) -> Test:
-            return both(self.ether_type(ether_type), self.directed(way, *[of(self.load(self.net_at + o, 4).bitwiseAND(mask) == value) for o in (src, dst)]))
+            return both(self.ether_type(ether_type), self.directed(way, *[self.masked(self.net_at + o, 4, value, mask) for o in (src, dst)]))
 
         ways = {"ip": (0x0800, 12, 16), "arp": (0x0806, 14, 24), "rarp": (0x8035, 14, 24)}
         if proto is None:
@@ -505,7 +561,7 @@ class Compiler:
     def on_addr6(self, way: str, value: int, mask: int) -> Test:
         def same(off: int) -> Test:
             words = [(off + 4 * k, value >> 96 - 32 * k & U32, mask >> 96 - 32 * k & U32) for k in range(4)]
-            return both(*[of(self.load(self.net_at + o, 4).bitwiseAND(m) == v) for o, v, m in words])
+            return both(*[self.masked(self.net_at + o, 4, v, m) for o, v, m in words])
 
         return self.ip6(self.directed(way, same(8), same(24)))
 
@@ -523,10 +579,9 @@ class Compiler:
         numbers = [IP_PROTOS[p] for p in ([proto] if proto else ["tcp", "udp", "sctp"])]
 
         def there(at) -> Test:
-            src, dst = (self.load(at + o, 2) for o in (0, 2))
-            return self.directed(way, of(src.between(low, high)), of(dst.between(low, high)))
+            return self.directed(way, *[self.within(at + o, 2, low, high) for o in (0, 2)])
 
-        six = self.ip6(any_of(*[self.proto6(n) for n in numbers]), there(F.lit(self.net_at + 40)))
+        six = self.ip6(any_of(*[self.proto6(n) for n in numbers]), there(self.net_at + 40))
         four = self.ip4(any_of(*[self.proto4(n) for n in numbers]), self.first_fragment(), there(self.transport()))
         return any_of(six, four)
 

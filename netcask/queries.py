@@ -956,3 +956,16 @@ def pcap_files_positions(spark, sf_dir):
     d = encode_files(_pk(spark, sf_dir, True).select("src", "pkt_idx", "ts_ns", "frame_len", "data"), ["src"])
     got = with_position(decode_files(d.select(F.col("src").cast("string").alias("path"), "content", F.col("src").alias("file_no"))), "place")
     return got.select("place", F.expr(f"pkt_idx div {FILE}").alias("file_no"), "ts_ns", F.col("frame_len").cast("long").alias("frame_len"), F.length("data").cast("long").alias("n"))
+
+
+@query("SELECT pkt_idx FROM pk WHERE pkt_idx % 3 < 2 AND ip_proto = 17")
+def bpf_protochain(spark, sf_dir):
+    """IPv6 with a header of options, and one of authentication behind it, in two of three packets; in the third a header that isn't looked behind."""
+    d = _pk6(spark, sf_dir)
+    i, proto = F.col("pkt_idx") % 3, F.substring("data", 21, 1)
+    options = F.concat(proto, F.unhex(F.lit("01" + "00" * 14)))
+    auth = F.concat(F.unhex(F.lit("3300" + "00" * 6)), proto, F.unhex(F.lit("04" + "00" * 22)))
+    more = F.when(i == 0, options).when(i == 1, auth).otherwise(options)
+    first = F.when(i == 0, F.unhex(F.lit("3C"))).when(i == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("FD")))
+    d = d.withColumn("data", F.concat(F.substring("data", 1, 20), first, F.substring("data", 22, 33), more, F.substring(F.col("data"), F.lit(55), F.length("data"))))
+    return d.where(predicate("ip6 protochain udp")).select("pkt_idx")

@@ -512,3 +512,18 @@ def test_nodes_are_found_by_name_type_and_argument(spark):
     g.node("snap:snap=60", "cut")
     g.node("filter:bpf=tcp", "tcp_only")
     assert [n.name for n in g.find("c*")] == ["cut"] and [n.name for n in g.find("type=filter")] == ["tcp_only"] and [n.name for n in g.find("snap=6*")] == ["cut"]
+
+
+def test_command_words(tmp_path):
+    (tmp_path / "more").write_text("# settings\nsnap=60  # short\neth1=b.pcap\nfilter=tcp\nfilter=udp\n")
+    words = ["filter=ip", "verbose", "snap:snap=40;x", "eth0=a.pcap", "filter=icmp", f"config_file={tmp_path}/more", "vss:"]
+    got = cli.parse_command(words, {"filter", "snap", "streams"}, flags=("verbose",))
+    first = ("snap", {"snap": "40", "x": ""})
+    assert got == [
+        {"extensions": [first], "filter": "icmp", "verbose": True, "snap": "60", "source": "eth0", "value": "a.pcap"},
+        {"extensions": [first, ("vss", {})], "filter": "tcp;udp", "verbose": True, "source": "eth1", "value": "b.pcap"},
+    ]
+    assert cli.parse_command(["filter=a", "filter=b"], {"filter"}) == [{"extensions": [], "filter": "a;b"}]
+    (tmp_path / "loop").write_text(f"config_file={tmp_path}/loop")
+    with pytest.raises(ValueError):
+        cli.parse_command([f"config_file={tmp_path}/loop"], set())
