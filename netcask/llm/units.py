@@ -1,9 +1,9 @@
-"""Line hashing: repeated lines and sentences of lines go, but for the earliest occurrence.
+"""Line hashing: repeated lines go, but for the earliest occurrence.
 
-A text is cut at line breaks, and lines after sentence ends, so that a passage set into a longer line is seen too. Each unit that
-has a word is normalised (lower case, white space as one space) and digested. Of equal digests the earliest by (id, digest of the text, place)
-stays and all others go, however short they are and whatever stands around them. Units that go in a row are one span.
-Offsets are in characters of the original text.
+A text is cut at line breaks (a paragraph is a line here). Each unit that has a word is normalised (lower case, white space as one space) and
+digested. Of equal digests the earliest by (id, digest of the text, place) stays and all others go, however short they are and whatever
+stands around them. Units that go in a row are one span. Offsets are in characters of the original text. Two parameters are off unless
+asked for: ``sentences`` cuts lines further after sentence ends, so that a passage set into a longer line is seen, and ``min_run`` keeps runs of fewer words.
 
 Equal units within a batch are settled where they are read: only the earliest of them is sent on, so a
 line found in a third of all documents is one row for each batch. Those rows are sorted by digest and read in one pass
@@ -11,7 +11,7 @@ that holds one row. What goes is sorted by document and read likewise. No group
 
 Defined cases: null text is an empty one and loses nothing; a null id ranks last; rows equal in id and text are one document
 given again, and get the same spans; documents that share an id but not a text are told apart; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored; texts of any length are cut as a whole.
 """
 
 from __future__ import annotations
@@ -27,33 +27,32 @@ from pyspark.sql import functions as F
 
 from .substrings import edges, numpy_rows, signed
 
-#: Words of a unit, and of a span, at least: all that have a word.
-MIN_UNIT, MIN_RUN = 1, 1
-_UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n|\Z))[^\S\n]*\n?")
-_LAST = np.iinfo(np.int64).max
-ROW = "h long, c int, id long, t long, ord int, start int, stop int, words int, sure boolean"
+_LINE = re.compile(r"[^\n]*\n|[^\n]+")
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n|\Z))[^\S\n]*\n?")
+DOC = ["none", "id", "t"]
+ROW = "h long, c int, none boolean, id long, t long, ord int, start int, stop int, words int, sure boolean"
 
 
-def units(text: str) -> Iterator[tuple[int, int, str, int]]:
+def units(text: str, sentences: bool = False) -> Iterator[tuple[int, int, str, int]]:
     """(start, stop, normalised, words) of every unit with a word."""
-    for m in _UNIT.finditer(text):
+    for m in (_SENTENCE if sentences else _LINE).finditer(text):
         words = m.group().lower().split()
-        if len(words) >= MIN_UNIT:
+        if words:
             yield m.start(), m.end(), " ".join(words), len(words)
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unit_rows(batches: Iterator[pa.RecordBatch], sentences: bool) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in ROW.split(", ")]
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_())
+    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_())
     for b in batches:
         rows: list[tuple] = []
         seen = set()
-        for i, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            key = (_LAST if i is None else i, t)
+        for none, i, t, text in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            key = (none, 0 if i is None else i, t)
             if key in seen:
                 continue
             seen.add(key)
-            for k, (a, z, unit, n) in enumerate(units(text or "")):
+            for k, (a, z, unit, n) in enumerate(units(text or "", sentences)):
                 d = xxhash.xxh3_128_intdigest(unit)
                 rows.append((signed(d & (1 << 64) - 1), signed(d >> 64) >> 32, *key, k, a, z, n))
         rows.sort()
@@ -62,7 +61,7 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in rows:
             sure.append(r[:2] == prior)
             prior = r[:2]
-        cols = [*zip(*rows, strict=True), sure] if rows else [()] * 9
+        cols = [*zip(*rows, strict=True), sure] if rows else [()] * 10
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
 
@@ -76,41 +75,42 @@ def later_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.zeros(len(r), bool)
         new[edges(r["sure"], r["h"], r["c"])] = True
         lead = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-        origin = r[["id", "t", "ord"]][lead]
+        origin = r[[*DOC, "ord"]][lead]
         if first is not None and (bool(r["sure"][0]), int(r["h"][0]), int(r["c"][0])) == first[0]:
             n = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(r)
             origin[:n] = first[1]
-        gone = r["sure"] | (r[["id", "t", "ord"]] != origin)
+        gone = r["sure"] | (r[[*DOC, "ord"]] != origin)
         first = ((bool(r["sure"][-1]), int(r["h"][-1]), int(r["c"][-1])), origin[-1])
-        yield b.select(["id", "t", "ord", "start", "stop", "words"]).filter(pa.array(gone))
+        yield b.select([*DOC, "ord", "start", "stop", "words"]).filter(pa.array(gone))
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (id, t, ord), a row for each document with runs."""
+def runs(batches: Iterator[pa.RecordBatch], min_run: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document and ord, a row for each document with runs."""
     held = None
 
     def solve(r: np.ndarray) -> pa.RecordBatch:
-        r = r[edges(r["id"], r["t"], r["ord"])]  # tasks may each have sent the same row
+        r = r[edges(r["none"], r["id"], r["t"], r["ord"])]  # tasks may each have sent the same row
         doc = np.zeros(len(r), bool)
-        doc[edges(r["id"], r["t"])] = True
+        doc[edges(*(r[c] for c in DOC))] = True
         new = doc.copy()
         new[1:] |= r["ord"][1:] != r["ord"][:-1] + 1
         at = np.flatnonzero(new)
         words = np.add.reduceat(r["words"], at)
         stop = np.append(at[1:], len(r))
-        keep = words >= MIN_RUN
+        keep = words >= min_run
         at, stop = at[keep], stop[keep]
-        start_of = edges(r["id"][at], r["t"][at]) if len(at) else at
+        start_of = edges(*(r[c][at] for c in DOC)) if len(at) else at
         ends_of = np.append(start_of[1:], len(at)) if len(at) else at
         count = stop - at
         return pa.RecordBatch.from_arrays(
             [
+                pa.array(r["none"][at[start_of]]),
                 pa.array(r["id"][at[start_of]]),
                 pa.array(r["t"][at[start_of]]),
                 pa.array([int(count[a:z].sum()) for a, z in zip(start_of, ends_of, strict=True)], pa.int32()),
                 pa.array([[[int(r["start"][i]), int(r["stop"][j - 1])] for i, j in zip(at[a:z], stop[a:z], strict=True)] for a, z in zip(start_of, ends_of, strict=True)], pa.list_(pa.list_(pa.int32()))),
             ],
-            names=["id", "t", "units", "spans"],
+            names=[*DOC, "units", "spans"],
         )
 
     for b in batches:
@@ -118,7 +118,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         r = numpy_rows(b)
         r = r if held is None else np.concatenate([held, r])
-        cut = int(edges(r["id"], r["t"])[-1])
+        cut = int(edges(*(r[c] for c in DOC))[-1])
         held = r[cut:]
         if cut:
             yield solve(r[:cut])
@@ -126,19 +126,19 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: bool = False, min_run: int = 1) -> DataFrame:
     """Per row: id (long), n_chars, n_removed_units, n_removed (characters), spans: [start, stop) pairs that go, in order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    id_ = F.col(id_col).cast("long")
+    keyed = docs.select(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
     # settled rows are spread by document, the others meet by digest
-    meet = F.when(F.col("sure"), F.xxhash64("id", "t", "ord")).otherwise(F.col("h"))
-    met = keyed.mapInArrow(unit_rows, ROW).repartition(meet).sortWithinPartitions("sure", "h", "c", "id", "t", "ord")
-    gone = met.mapInArrow(later_ones, "id long, t long, ord int, start int, stop int, words int")
-    found = gone.repartition("id", "t").sortWithinPartitions("id", "t", "ord").mapInArrow(runs, "id long, t long, units int, spans array<array<int>>")
-    rows = keyed.select("id", "t", F.length("text").cast("long").alias("n_chars"), F.coalesce("id", F.lit(_LAST)).alias("rank"))
-    found = found.withColumnRenamed("id", "rank")
-    return rows.join(found, ["rank", "t"], "left").select(
-        F.col("id").alias(id_col),
+    meet = F.when(F.col("sure"), F.xxhash64(*DOC, "ord")).otherwise(F.col("h"))
+    met = keyed.mapInArrow(lambda batches: unit_rows(batches, sentences), ROW).repartition(meet).sortWithinPartitions("sure", "h", "c", *DOC, "ord")
+    gone = met.mapInArrow(later_ones, "none boolean, id long, t long, ord int, start int, stop int, words int")
+    found = gone.repartition(*DOC).sortWithinPartitions(*DOC, "ord").mapInArrow(lambda batches: runs(batches, min_run), "none boolean, id long, t long, units int, spans array<array<int>>")
+    rows = keyed.select(*DOC, F.length("text").cast("long").alias("n_chars"))
+    return rows.join(found, DOC, "left").select(
+        F.when(~F.col("none"), F.col("id")).alias(id_col),
         "n_chars",
         F.coalesce("units", F.lit(0)).alias("n_removed_units"),
         F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s[1] - s[0]), F.lit(0)).cast("long").alias("n_removed"),

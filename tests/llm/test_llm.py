@@ -492,7 +492,8 @@ def test_elements_beyond_depth_and_kinds(spark):
 # line hashing
 
 
-def test_units(spark):
+@pytest.mark.parametrize(("sentences", "min_run"), [(False, 1), (True, 1), (True, 6)])
+def test_units(spark, sentences, min_run):
     r = random.Random(5)
     words = ["aa", "bb", "cc", "dd", "ee"]
 
@@ -500,29 +501,29 @@ def test_units(spark):
         return " ".join(r.choice(words) for _ in range(r.randrange(1, 8))) + r.choice([".", "!", "?", "\n", ". \n"])
 
     data = [(i % 70 if i % 9 else None, " ".join(sentence() for _ in range(r.randrange(13)))) for i in range(120)]
-    data += [(5, None), (5, None), (6, ""), (1000, "x " * 50), (1001, "x " * 50), (1001, "x " * 50)]
+    data += [(5, None), (5, None), (6, ""), (1000, "x " * 50), (1001, "x " * 50), (1001, "x " * 50), (2**63 - 1, "x " * 50), (1002, "a line\n" * 30000), (1003, "x " * 300000)]
     df = docs_of(spark, data)
     digest = {t: h for t, h in df.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
     cut, seen = {}, {}
     for i, t in data:
-        cut[units._LAST if i is None else i, digest[t or ""]] = list(units.units(t or ""))
+        cut[i is None, i or 0, digest[t or ""]] = list(units.units(t or "", sentences))
     for k in sorted(cut):
         for o, u in enumerate(cut[k]):
             seen.setdefault(u[2], (k, o))
     want = []
     for i, t in data:
-        k = (units._LAST if i is None else i, digest[t or ""])
+        k = (i is None, i or 0, digest[t or ""])
         spans, n, run = [], 0, []
         for o, u in enumerate([*cut[k], None]):
             if u is not None and seen[u[2]] != (k, o):
                 run.append(u)
             else:
-                if sum(x[3] for x in run) >= units.MIN_RUN:
+                if run and sum(x[3] for x in run) >= min_run:
                     spans.append([run[0][0], run[-1][1]])
                     n += len(run)
                 run = []
         want.append((i, len(t or ""), n, sum(b - a for a, b in spans), spans))
-    got = [(*r[:4], [list(s) for s in r[4]]) for r in units.dedup_units(df).collect()]
+    got = [(*r[:4], [list(s) for s in r[4]]) for r in units.dedup_units(df, sentences=sentences, min_run=min_run).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert units.dedup_units(docs_of(spark, [])).count() == 0
 
