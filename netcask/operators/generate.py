@@ -35,21 +35,32 @@ def field_value(spec: str | int, index: Column, ip: bool = False) -> Column:
     return F.lit(low).cast("long") + (F.pmod(F.xxhash64(index, F.lit(str(spec))), F.lit(n)) if drawn else index % n)
 
 
-def generate(spark: SparkSession, n: int, size: int = 60, pps: int | None = None, start_ns: int = 0, protocol: str = "udp", **fields: str | int) -> DataFrame:
-    """``n`` Ethernet frames with IPv4 and UDP or TCP; a 64-bit sequence number follows the headers. Defaults are those of a plain test packet."""
-    d = {"dmac": "00:11:22:33:44:55", "smac": "00:66:77:88:99:AA", "src_ip": "1.2.3.4", "dst_ip": "1.2.3.5", "sport": 0x1234, "dport": 0x5678, "ttl": 0xFF, "vlan_id": None} | fields
+FIELDS = {
+    "dmac": "00:11:22:33:44:55", "smac": "00:66:77:88:99:AA", "src_ip": "1.2.3.4", "dst_ip": "1.2.3.5", "sport": 0x1234, "dport": 0x5678, "ttl": 0xFF, "vlan_id": None, "vlan_pcp": 0,
+    "tos": 0, "ip_id": 0, "frag_off": 0, "tcp_seq": 0, "tcp_ack": 0, "tcp_flags": 0x10, "tcp_window": 0, "tcp_urgent": 0,
+}
+
+
+def generate(spark: SparkSession, n: int, size: int = 60, pps: int | None = None, start_ns: int = 0, protocol: str = "udp", bw: int | None = None, **fields: str | int) -> DataFrame:
+    """``n`` Ethernet frames with IPv4 and UDP or TCP; a 64-bit sequence number follows the headers. Defaults (``FIELDS``) are those of a plain test packet. ``bw``: bits a
+    second of frames, where ``pps`` isn't given."""
+    if unknown := set(fields) - set(FIELDS):
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    d = FIELDS | fields
     i = F.col("id")
+    num = {k: field_value(d[k], i) for k in ("tos", "ip_id", "frag_off", "vlan_pcp", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "tcp_urgent")}
     src, dst = field_value(d["src_ip"], i, True), field_value(d["dst_ip"], i, True)
     sport, dport, ttl = (field_value(d[k], i) for k in ("sport", "dport", "ttl"))
-    tag = F.lit("") if d["vlan_id"] is None else F.concat(F.lit("8100"), hex_be(field_value(d["vlan_id"], i), 2))
+    tag = F.lit("") if d["vlan_id"] is None else F.concat(F.lit("8100"), hex_be(num["vlan_pcp"] * 8192 + field_value(d["vlan_id"], i), 2))
     net = 14 if d["vlan_id"] is None else 18
     tcp = protocol == "tcp"
-    ip = F.concat(F.lit("4500"), hex_be(size - net, 2), F.lit("00000000"), hex_be(ttl, 1), F.lit("06" if tcp else "11"), F.lit("0000"), hex_be(src, 4), hex_be(dst, 4))
-    l4 = F.concat(hex_be(sport, 2), hex_be(dport, 2), F.lit("000000000000000050001000" + "00000000") if tcp else F.concat(hex_be(size - net - 20, 2), F.lit("0000")))
+    ip = F.concat(F.lit("45"), hex_be(num["tos"], 1), hex_be(size - net, 2), hex_be(num["ip_id"], 2), hex_be(num["frag_off"], 2), hex_be(ttl, 1), F.lit("06" if tcp else "11"), F.lit("0000"), hex_be(src, 4), hex_be(dst, 4))
+    rest = F.concat(hex_be(num["tcp_seq"], 4), hex_be(num["tcp_ack"], 4), F.lit("50"), hex_be(num["tcp_flags"], 1), hex_be(num["tcp_window"], 2), F.lit("0000"), hex_be(num["tcp_urgent"], 2))
+    l4 = F.concat(hex_be(sport, 2), hex_be(dport, 2), rest if tcp else F.concat(hex_be(size - net - 20, 2), F.lit("0000")))
     head = F.concat(F.lit(mac_hex(d["dmac"]) + mac_hex(d["smac"])), tag, F.lit("0800"), ip, l4, hex_be(i, 8))
     return spark.range(n).select(
         i.alias("pkt_idx"),
-        (start_ns + (i * NS / pps).cast("long") if pps else F.lit(start_ns).cast("long")).alias("ts_ns"),
+        (start_ns + F.expr(f"(id * {NS}) div {int(pps)}") if pps else start_ns + F.expr(f"(id * {8 * size * NS}L) div {int(bw)}") if bw else F.lit(start_ns).cast("long")).alias("ts_ns"),
         F.lit(0).alias("flags"),
         F.lit(size).alias("frame_len"),
         src.alias("src_ip"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draw import draw
 from ..plans.filterlang import predicate, split
 from ..plans.ranges import in_ranges, time_bounds
 from ..plans.streamspec import stream_predicate
-from ..schema import FLAG_NAMES
+from ..schema import FLAG_NAMES, whole_div
 from .order import first_value, with_position, with_running_max
 
 Links = dict[str, DataFrame]
@@ -77,6 +77,20 @@ def drop_at_random(df: DataFrame, share: float, seed: int) -> Links:
     return {"": df.where(~gone), "drop": df.where(gone)}
 
 
+def until(df: DataFrame, where: Column) -> DataFrame:
+    """All packets up to and with the first for which ``where`` holds; all, if it holds for none."""
+    first = df.where(where).agg(F.min("pkt_idx").alias("_last"))
+    return df.crossJoin(F.broadcast(first)).where(F.col("_last").isNull() | (F.col("pkt_idx") <= F.col("_last"))).drop("_last")  # one row
+
+
+def every_other(df: DataFrame, by: str = "src", second_ns: int = 1_000_000_000) -> Links:
+    """``tap``: of each second since the capture's first packet every other packet, from the second one on. ``""`` has all, with ``in_second``, the packet's number in its second."""
+    first = df.groupBy(by).agg(F.min_by("ts_ns", "pkt_idx").alias("_first"))  # a row a capture
+    d = df.join(first, by).withColumn("_second", whole_div(F.col("ts_ns") - F.col("_first"), second_ns))
+    d = d.withColumn("in_second", F.row_number().over(Window.partitionBy(by, "_second").orderBy("pkt_idx")).cast("long")).drop("_first", "_second")
+    return {"": d, "tap": d.where(F.col("in_second") % 2 == 0)}
+
+
 def tap(df: DataFrame, bpf: str | None = None, snap: int | None = None, keep_flags: bool = False) -> Links:
     """All packets go on; copies, filtered and cut, go to ``tap``. Copies carry no flags unless asked."""
     copy = df.where(predicate(bpf)) if bpf else df

@@ -969,3 +969,68 @@ def bpf_protochain(spark, sf_dir):
     first = F.when(i == 0, F.unhex(F.lit("3C"))).when(i == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit("FD")))
     d = d.withColumn("data", F.concat(F.substring("data", 1, 20), first, F.substring("data", 22, 33), more, F.substring(F.col("data"), F.lit(55), F.length("data"))))
     return d.where(predicate("ip6 protochain udp")).select("pkt_idx")
+
+
+# blocks on devices, raw bytes, the end of a capture
+
+
+BLOCKS = """SELECT *, before // 8128 AS block_no, ['a', 'b', 'c'][before // 8128 % 3 + 1] AS device, before // 8128 // 3 % 16 * 8192 AS byte_offset, before // 8128 // 3 // 16 AS wraps FROM (
+            SELECT *, CAST(coalesce(sum(cap_len + 16) OVER (ORDER BY pkt_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM pk)"""
+
+
+def _blocks(spark, sf_dir):
+    from .sources.blocks import with_blocks
+
+    return with_blocks(_pk(spark, sf_dir), 8192, ["a", "b", "c"], 16 * 8192 + 5)
+
+
+@query(f"SELECT block_no, device, byte_offset, wraps, min(pkt_idx) AS pkt_index, count(*) AS pkt_count, min(ts_ns) AS start_ns_epoch, max(ts_ns) AS end_ns_epoch FROM ({BLOCKS}) GROUP BY ALL")
+def block_index(spark, sf_dir):
+    from .sources import blocks
+
+    return blocks.block_index(_blocks(spark, sf_dir))
+
+
+@query(f"""WITH_BLOCKS SELECT block_no, ip_a, ip_b, port_a, port_b, flow_vlan, flow_proto, count(*) AS pkt_count, CAST(sum(cap_len) AS BIGINT) AS cap_bytes, min(ts_ns) AS start_ns_epoch, max(ts_ns) AS end_ns_epoch
+           FROM ({KEYED.replace("SELECT *,", "SELECT *,")}) JOIN (SELECT pkt_idx, block_no FROM ({BLOCKS})) USING (pkt_idx) GROUP BY ALL""".replace("WITH_BLOCKS ", ""))
+def block_flow_index(spark, sf_dir):
+    from .sources import blocks
+
+    d = _blocks(spark, sf_dir).select("pkt_idx", "block_no")
+    return blocks.flow_index(_turned(spark, sf_dir).join(d, "pkt_idx"))
+
+
+@query("""SELECT doc_id, CAST(turn * ceil(n / 64.0) + k AS BIGINT) AS chunk_no, least(64, n - k * 64) AS n_bytes FROM (
+          SELECT doc_id, n, turn, unnest(range(CAST(ceil(n / 64.0) AS BIGINT))) AS k FROM (SELECT doc_id, octet_length(encode(text)) AS n, unnest([0, 1]) AS turn FROM documents))""", plain=True)
+def fd_reader_chunks(spark, sf_dir):
+    from .sources.blocks import read_chunks
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    return read_chunks(docs, 64, "doc_id", repeat=2).select("doc_id", "chunk_no", F.length("data").cast("long").alias("n_bytes"))
+
+
+@query("SELECT src, CAST(pkt_idx // 65536 AS BIGINT) AS part, CAST(sum(cap_len) AS BIGINT) AS n_bytes FROM pk GROUP BY ALL")
+def fd_writer_parts(spark, sf_dir):
+    from .sources.blocks import payloads
+
+    return payloads(_pk(spark, sf_dir, True)).select("src", "part", F.length("content").cast("long").alias("n_bytes"))
+
+
+@query("SELECT pkt_idx FROM pk WHERE pkt_idx <= (SELECT min(pkt_idx) FROM pk WHERE ip_proto = 1 AND frame_len > 1400)")
+def exit_at_packet(spark, sf_dir):
+    return select.until(_pk(spark, sf_dir), F.expr("ip_proto = 1 AND frame_len > 1400")).select("pkt_idx")
+
+
+@query("""SELECT pkt_idx, n AS in_second FROM (SELECT pkt_idx, row_number() OVER (PARTITION BY src, (ts_ns - first) // 3600000000000 ORDER BY pkt_idx) AS n FROM (
+          SELECT *, first_value(ts_ns) OVER (PARTITION BY src ORDER BY pkt_idx) AS first FROM pk)) WHERE n % 2 = 0""")
+def every_other_packet(spark, sf_dir):
+    """Seconds are hours here, as packets are minutes apart."""
+    return select.every_other(_pk(spark, sf_dir), second_ns=3_600_000_000_000)["tap"].select("pkt_idx", "in_second")
+
+
+@query("""SELECT range AS pkt_idx, range * 1024 AS ts_ns, range % 256 AS tos, 100 + range % 5 AS ip_id, 8192 * 3 + 42 AS tag, range AS seq, CAST(16 + range % 3 AS BIGINT) AS flags FROM range(3000)""", plain=True)
+def pktgen_tcp_fields(spark, sf_dir):
+    d = generate.generate(spark, 3000, size=128, protocol="tcp", bw=10**9, tos="0-255", ip_id="100-104", vlan_id=42, vlan_pcp=3, tcp_seq="0-4294967295", tcp_flags="16-18")
+    data = F.col("data")
+    read = {"tos": (19, 1), "ip_id": (22, 2), "tag": (14, 2), "seq": (42, 4), "flags": (51, 1)}
+    return d.select("pkt_idx", "ts_ns", *[read_be(data, a, n).alias(k) for k, (a, n) in read.items()])
