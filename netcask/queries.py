@@ -868,12 +868,12 @@ def range_join_blocks(spark, sf_dir):
     return joins.range_join(_pk(spark, sf_dir), ranges, "src_ip", "low", "high", 64).select("pkt_idx", "c_custkey")
 
 
-@query("""SELECT a.pkt_idx AS pkt_idx, b.pkt_idx AS other FROM pk a JOIN pk b ON a.dst_ip = b.dst_ip AND b.ip_proto = 1 AND a.ip_proto = 17 AND b.ts_ns BETWEEN a.ts_ns AND a.ts_ns + 7200000000000""")
+@query("""SELECT a.pkt_idx AS pkt_idx, b.pkt_idx AS other FROM pk a JOIN pk b ON a.dst_ip = b.dst_ip AND b.ip_proto = 1 AND a.ip_proto = 17 AND b.ts_ns BETWEEN a.ts_ns AND a.ts_ns + 86400000000000""")
 def interval_join_errors(spark, sf_dir):
-    """Errors to the same address within two hours of a packet: time is cut in cells of that length, so the join is an equi-join."""
+    """Errors to the same address within a day of a packet: time is cut in cells of that length, so the join is an equi-join."""
     d = _pk(spark, sf_dir).select("pkt_idx", "dst_ip", "ts_ns", "ip_proto")
     errors = d.where("ip_proto = 1").select(F.col("pkt_idx").alias("other"), "dst_ip", F.col("ts_ns").alias("then_ns"))
-    return joins.interval_join(d.where("ip_proto = 17"), errors, ["dst_ip"], "ts_ns", "then_ns", 7_200_000_000_000).select("pkt_idx", "other")
+    return joins.interval_join(d.where("ip_proto = 17"), errors, ["dst_ip"], "ts_ns", "then_ns", 86_400_000_000_000).select("pkt_idx", "other")
 
 
 @query("SELECT src, ip_proto, vlan_id, count(*) AS pkts, CAST(sum(frame_len) AS BIGINT) AS bytes FROM pk GROUP BY CUBE (src, ip_proto, vlan_id)")
