@@ -193,3 +193,25 @@ def test_repeats_are_the_plain_ones_for_a_common_core(spark):
     for group in (1000, 20):
         got = {x["doc_id"]: x["n_removed"] for x in substrings.remove_repeats(docs_of(spark, list(enumerate(texts))), group=group).collect()}
         assert got == {i: w[1] for i, w in enumerate(plain_removed([t.encode() for t in texts]))}
+
+
+def test_pipeline_with_nulls_and_clashing_names(spark, sf):
+    import corpus_pipeline as p
+
+    good = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    rows = [(None, None, None, None, None), (7001, "", "en", "a", 0), (7002, None, "en", None, None), (7001, "", "en", "a", 0), (None, "word " * 30000, None, "b", 150000)]
+    docs = good.unionByName(spark.createDataFrame(rows, good.schema))
+    clash = {c: "x" for c in ("tid", "bag", "starts", "fp", "component_id", "score", "b", "id", "_nc_text", "n_bytes", "kind")}
+    docs = docs.selectExpr("*", *[f"'{v}' AS {c}" for c, v in clash.items()])
+    for _, stage in p.STAGES[:-1]:
+        made = stage(spark, docs, sf)
+        assert made.columns == docs.columns and made.dtypes == docs.dtypes
+        docs = common.materialize(made, "test")
+        assert {r[0] for r in docs.select("tid").distinct().collect()} <= {"x"}
+    packed = p.STAGES[-1][1](spark, docs, sf)
+    assert packed.where("piece = 0").count() == docs.count()
+    none = docs.limit(0)
+    for _, stage in p.STAGES[:-1]:
+        none = common.materialize(stage(spark, none, sf), "test")
+        assert none.columns == docs.columns and none.count() == 0
+    assert p.STAGES[-1][1](spark, none, sf).count() == 0
