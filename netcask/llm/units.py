@@ -9,7 +9,7 @@ Equal units within a batch are settled where they are read: only the earliest of
 line found in a third of all documents is one row for each batch. Those rows are sorted by digest and read in one pass
 that holds one row. What goes is sorted by document and read likewise. No group is ever gathered.
 
-Defined cases: null text is an empty one and loses nothing; a null id ranks last; rows equal in id and text are one document
+Defined cases: ids are whole numbers; null text is an empty one and loses nothing; a null id ranks last; rows equal in id and text are one document
 given again, and get the same spans; documents that share an id but not a text are told apart; an empty table gives an empty result;
 other columns are ignored; texts of any length are cut as a whole.
 """
