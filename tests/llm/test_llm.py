@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -618,6 +619,29 @@ def test_texts_larger_than_a_shard(spark, monkeypatch, opens):
     assert {q: sorted(v)[0][1] for q, v in got.items()} == {0: 0, 20: 20, 40: 40, 60: 60}
 
 
+def test_indexes_pass_through_a_jvm_once(spark, monkeypatch):
+    """Where Python opens the shared folder, every shard is a file, and no step after its writing scans or shuffles an index."""
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(1, 30)))) for i in range(300)]
+    kept, write = {}, bm25.materialize
+
+    def recorded(df, label, **more):
+        kept[label] = df, write(df, label, **more)
+        return kept[label][1]
+
+    monkeypatch.setattr(bm25, "materialize", recorded)
+    found = sorted(map(tuple, bm25.search(docs_of(spark, rows), shard_bytes=800).collect()))
+    shards = kept["bm25-shards"][1]
+    assert shards.count() > 8
+    assert all(bm25.parquet.ParquetFile(f.removeprefix("file://")).metadata.num_rows <= 1 for f in shards.inputFiles())
+    folder = re.search(r"bm25-shards-\w+", shards.inputFiles()[0])[0]
+    for label in ("bm25-queries", "bm25-started", "bm25-found"):
+        assert folder not in str(kept[label][0].inputFiles())
+    assert "Exchange" not in kept["bm25-found"][0]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(bm25, "can_open_shared", lambda spark: False)
+    assert sorted(map(tuple, bm25.search(docs_of(spark, rows), shard_bytes=800).collect())) == found
+
+
 # quality
 
 
