@@ -687,6 +687,55 @@ def test_indexes_pass_through_a_jvm_once(spark, monkeypatch):
     assert sorted(map(tuple, bm25.search(docs_of(spark, rows), shard_bytes=800).collect())) == found
 
 
+@pytest.mark.parametrize("opens", [True, False])
+def test_results_before_the_merge_grow_as_the_queries(spark, monkeypatch, opens):
+    """Of the shards that hold copies of a text, a query gets its best from groups of them, however many there are; none is lost."""
+    r = random.Random(8)
+    rows = [(i, "w1 w2 w2 w5" if i % 2 else " ".join(r.choice(["w1", "w2", "w3", "w4", f"x{i}"]) for _ in range(9))) for i in range(600)] + [(2000, "w5 w2 w1 w2")]
+    kept, write = {}, bm25.materialize
+
+    def recorded(df, label, **more):
+        kept[label] = write(df, label, **more)
+        return kept[label]
+
+    monkeypatch.setattr(bm25, "materialize", recorded)
+    monkeypatch.setattr(bm25, "can_open_shared", lambda spark: opens)
+    got = defaultdict(list)
+    for x in bm25.search(docs_of(spark, rows), shard_bytes=400).collect():
+        got[x["query_id"]].append((x["rank"], x["doc_id"]))
+    assert kept["bm25-shards"].count() > 20
+    assert kept["bm25-found"].count() <= 4 * 10 * 31
+    assert [d for _, d in sorted(got[2000])] == list(range(1, 20, 2))
+    assert all(len(x) == 10 for x in got.values())
+
+
+def test_columns_and_postings_give_the_same(monkeypatch):
+    """Common terms as columns of a band, or all terms as postings: over shards of several bands, what brute force finds."""
+    r = random.Random(9)
+    word = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(word, [1 / (j + 1) for j in range(60)], k=r.randrange(1, 40))) for _ in range(3000)]
+    bags = [bm25.terms(t) for t in texts]
+    asked = [bags[i] for i in range(0, 3000, 150)]
+    term = [np.sort(bm25.digests(b)) for b in asked]
+    weight = [np.array([{int(d): 1.0 + int(d) % 7 for d in bm25.digests(b)}[int(d)] for d in t]) for b, t in zip(asked, term, strict=True)]
+    want = []
+    for b in asked:
+        scores = []
+        for i, other in enumerate(bags):
+            by = {w: 1.0 + int(bm25.digests([w])[0]) % 7 for w in b if w in other}
+            s = sum(x * other[w] * 2.2 / (other[w] + 1.2 * (0.25 + 0.75 * sum(other.values()) / 20.0)) for w, x in by.items())
+            if s > 0:
+                scores.append((-round(s, 6), i))
+        want.append([i for _, i in sorted(scores)[:10]])
+    indexes = [bm25.build(list(range(a, a + 1500)), texts[a : a + 1500]) for a in (0, 1500)]
+    for common in (0.0, bm25.COMMON, 0.3, 2.0):
+        monkeypatch.setattr(bm25, "COMMON", common)
+        block = bm25.Asked(np.zeros((len(asked), 32), np.uint8), np.cumsum([0, *map(len, term)]), np.concatenate(term), np.concatenate(weight), np.zeros(len(asked)))
+        for x in indexes:
+            bm25.Shard(x, 20.0).ask(block, 10)
+        assert [[i for _, _, i in best] for best in block.best] == want
+
+
 # quality
 
 
