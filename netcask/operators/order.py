@@ -32,12 +32,14 @@ def with_prefix_sum(df: DataFrame, value: Column, name: str, order: str = "pkt_i
     return joined.withColumn(name, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_bucket", "_value", "_before")
 
 
-def with_position(df: DataFrame, name: str = "pos", order: str = "pkt_idx", ties: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
-    """Add ``name``: the row's number in order, from 0, without gaps."""
+def with_position(df: DataFrame, name: str = "pos", order: str = "pkt_idx", ties: tuple[str, ...] = (), width: int = WIDTH, by: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``name``: the row's number in order, from 0, without gaps; in each group of ``by``, if given."""
     b = _bucketed(df, order, width)
-    before = b.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(_carry()), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(order, *ties)
-    return b.join(before, "_bucket").withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long")).drop("_bucket", "_before")
+    n = b.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
+    carry = (Window.partitionBy(*by).orderBy("_bucket") if by else Window.orderBy("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # over bucket rows only
+    before = n.select(*by, "_bucket", F.coalesce(F.sum("_n").over(carry), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order, *ties)
+    return b.join(before, [*by, "_bucket"]).withColumn(name, (F.col("_before") + F.row_number().over(inside) - 1).cast("long")).drop("_bucket", "_before")
 
 
 def with_running_max(df: DataFrame, value: Column, name: str, order: str = "pkt_idx", ties: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:

@@ -1,7 +1,7 @@
 """Capture files: a Python data source ``pcap`` for reading (classic in four byte-order and resolution variants, and pcapng) and writing.
 
 Reading lists files through Spark's own file source, so any store that Spark reads will do: ``read_pcap`` loads them with ``binaryFile`` and decodes
-in Arrow batches, a file to a task, in memory; ``split_pcap`` reads large files in parts. ``register`` adds the data source for paths that Python can open."""
+in Arrow batches, a file to a task, in memory; ``split_pcap`` reads large files in parts, ``encode_parts`` makes them. ``register`` adds the data source for paths that Python can open."""
 
 from __future__ import annotations
 
@@ -11,13 +11,14 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..schema import TRUNCATED
+from ..schema import TRUNCATED, whole_div
 
 NS = 1_000_000_000
 # Magic numbers of the formats.
@@ -134,21 +135,74 @@ def record(ts_ns: int, frame_len: int, data: bytes, nanoseconds: bool = True, sn
     return struct.pack("<IIII", sec, sub if nanoseconds else sub // 1000, len(data), frame_len) + data
 
 
+#: Packets that are handed on at a time.
+CHUNK = 1 << 14
+
+
+def _tables(name: str, first: int, rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, CHUNK)):
+        cols, n = list(zip(*some, strict=True)), len(some)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
+            names=["path", "pkt_idx", "ts_ns", "flags", "frame_len", "data"],
+        )
+        first += n
+
+
 def decode_files(df: DataFrame) -> DataFrame:
-    """Packets of the files in (path, content); ``pkt_idx`` counts in each file, from ``FILE`` times the column ``file_no``, where there is one."""
-    numbered = "file_no" in df.columns
+    """Packets of the files in (path, content); ``pkt_idx`` counts in each file, from ``FILE`` times the column ``file_no``, where there is one.
+
+    With a column ``part`` a row is a part of a classic file, as ``encode_parts`` gives them, and each is read apart from the others."""
+    d = df.select("path", "content", F.col("file_no") if "file_no" in df.columns else F.lit(0).cast("long").alias("file_no"), *(["part"] if "part" in df.columns else []))
+    d = _with_head(d) if "part" in df.columns else d.withColumns({"_head": F.lit(None).cast("binary"), "_before": F.lit(0).cast("long")})
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, blob, no in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                rows = list(packets_of(blob.as_py()))
-                cols = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(rows), pa.string()), pa.array(range(no * FILE, no * FILE + len(rows)), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())],
-                    names=["path", "pkt_idx", "ts_ns", "flags", "frame_len", "data"],
-                )
+            for i in range(b.num_rows):
+                name, blob, no, head, before = (b.column(c)[i].as_py() for c in range(5))
+                yield from _tables(name, no * FILE + before, packets_of(blob) if head is None else records(blob, 0, layout_of(head)))
+
+    return d.select("path", "content", "file_no", "_head", "_before").mapInArrow(decode, PACKETS)
+
 
-    return df.select("path", "content", F.col("file_no") if numbered else F.lit(0).cast("long").alias("file_no")).mapInArrow(decode, PACKETS)
+#: Byte orders and bytes of a record's header that a classic file can have.
+FORMS = [("<", 16), ("<", 24), (">", 16), (">", 24)]
+
+
+def _with_head(d: DataFrame) -> DataFrame:
+    """Add ``_head``, the file's header, and ``_before``, the number of packets in the parts before, to parts; those with the headers go. A first pass counts the packets of each part."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head, form, counts = [], [], []
+            for part, blob in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                blob = blob.as_py()
+                layout = layout_of(blob) if part < 0 else None
+                head.append(blob if layout else None)
+                form.append(FORMS.index((layout.order, layout.head)) if layout else None)
+                # the header stands in another part: what a file of each form would have here
+                counts.append([0] * len(FORMS) if layout else [count(blob, order, size) for order, size in FORMS])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(head, pa.binary()), pa.array(form, pa.int32()), pa.array(counts, pa.list_(pa.int64()))], names=["path", "part", "_head", "_form", "_counts"]
+            )
+
+    kind = d.schema["part"].dataType.simpleString()
+    seen = d.select("path", "part", "content").mapInArrow(scan, f"path string, part {kind}, _head binary, _form int, _counts array<long>")
+    file, earlier = Window.partitionBy("path"), Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    known = seen.withColumns({"_head": F.max("_head").over(file), "_n": F.element_at("_counts", F.max("_form").over(file) + 1)})
+    known = known.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where("part >= 0").select("path", "part", "_head", "_before")
+    return d.join(F.broadcast(known), ["path", "part"])  # a row a part, so that parts stay where they are
+
+
+def count(blob: bytes, order: str, head: int) -> int:
+    """Records of this form in bytes that begin with one."""
+    size, at, n = struct.Struct(order + "I"), 0, 0
+    while at + head <= len(blob):
+        at += head + size.unpack_from(blob, at + 8)[0]
+        if at > len(blob):
+            break
+        n += 1
+    return n
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
@@ -314,7 +368,7 @@ def write_captures(
 
 
 def encode_files(df: DataFrame, by: list[str], nanoseconds: bool = True, snap: int = 65535) -> DataFrame:
-    """One row for each file: ``by``, and the file's bytes. Rotation (see ``operators.files``) keeps a file bounded."""
+    """One row for each file: ``by``, and the file's bytes. Rotation (see ``operators.files``) keeps a file bounded; ``encode_parts`` makes files of any length."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
@@ -326,6 +380,25 @@ def encode_files(df: DataFrame, by: list[str], nanoseconds: bool = True, snap: i
     return df.groupBy(*by).applyInArrow(encode, f"{kinds}, content binary")
 
 
+#: Index values of which a part of a file has the packets.
+PART = 1 << 14
+
+
+def encode_parts(df: DataFrame, by: list[str], nanoseconds: bool = True, snap: int = 65535, width: int = PART) -> DataFrame:
+    """The files' bytes in parts (``by``, part, content), which in order of their numbers make the file: -1 is its header, the others have the packets of ``width`` index values each."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def encode(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("pkt_idx")
+        parts = [record(t, n, d, nanoseconds, snap) for t, n, d in zip(*(rows.column(c).to_pylist() for c in ("ts_ns", "frame_len", "data")), strict=True)]
+        lead = {c: pa.array([k.as_py()], k.type) for c, k in zip(by, key[:-1], strict=True)}
+        return pa.table(lead | {"part": pa.array([key[-1].as_py()], pa.int64()), "content": pa.array([b"".join(parts)], pa.binary())})
+
+    d = df.withColumn("part", whole_div(F.col("pkt_idx"), width)).select(*by, "part", "pkt_idx", "ts_ns", "frame_len", F.substring("data", 1, snap).alias("data"))
+    heads = df.select(*by).distinct().select(*by, F.lit(-1).cast("long").alias("part"), F.lit(bytearray(file_header(nanoseconds, snap))).alias("content"))
+    return heads.unionByName(d.groupBy(*by, "part").applyInArrow(encode, f"{kinds}, part long, content binary"))
+
+
 class PcapSource(DataSource):
     """``spark.read.format("pcap").load(path)`` and ``df.write.format("pcap").save(folder)``, for folders that Python can open on every machine."""
 

@@ -13,7 +13,7 @@ from netcask.operators.ticks import LOST_SYNC, NO_SYNC, TickClock
 from netcask.plans.graph import Graph, parse_number, parse_size, parse_spec
 from netcask.plans.ranges import index_ranges, time_range
 from netcask.plans.streamspec import fields
-from netcask.queries import QUERIES
+from netcask.queries import ORACLE_SQL, QUERIES
 from netcask.sources import packed, pcap
 from netcask.sources.packetview import packets
 
@@ -527,3 +527,34 @@ def test_command_words(tmp_path):
     (tmp_path / "loop").write_text(f"config_file={tmp_path}/loop")
     with pytest.raises(ValueError):
         cli.parse_command([f"config_file={tmp_path}/loop"], set())
+
+
+def test_files_in_parts_are_the_files(spark):
+    """A capture's bytes are never in one row, parts read apart are numbered through, and packets of equal times stay apart."""
+    r = random.Random(4)
+    rows = [(i, i % 2, 5, 90, bytes([i % 256]) * r.randrange(60, 90)) for i in range(500)]
+    df = spark.createDataFrame(rows, "pkt_idx long, src long, ts_ns long, frame_len int, data binary").repartition(3)
+    parts = pcap.encode_parts(df, ["src"], snap=80, width=64)
+    made = parts.orderBy("src", "part").collect()
+    assert len(made) == 2 * (1 + 8) and max(len(x["content"]) for x in made) <= 32 * (16 + 80)
+    whole = {x["src"]: x["content"] for x in pcap.encode_files(df, ["src"], snap=80).collect()}
+    assert all(b"".join(x["content"] for x in made if x["src"] == s) == whole[s] for s in whole)
+    got = pcap.decode_files(parts.select(F.col("src").cast("string").alias("path"), "part", "content", F.col("src").alias("file_no")))
+    want = [(str(s), s * pcap.FILE + i, *p[:3], p[3]) for s in whole for i, p in enumerate(pcap.packets_of(whole[s]))]
+    assert sorted((*x[:5], bytes(x[5])) for x in got.collect()) == sorted(want)
+
+
+def test_round_trips_with_equal_times(spark, tmp_path):
+    """A row a packet, as the SQL has it, where packets of a capture have the same time."""
+    from .oracle import connect, same
+
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(90)
+    top = ev.agg(F.max("event_id")).first()[0] // 3000 * 3000 + 3000
+    ev.unionByName(ev.withColumn("event_id", F.col("event_id") + top)).coalesce(1).write.parquet(f"{tmp_path}/all")
+    next(tmp_path.glob("all/*.parquet")).rename(tmp_path / "events.parquet")
+    con = connect(tmp_path)
+    for name in TIED:
+        assert same(QUERIES[name](spark, str(tmp_path)), con, ORACLE_SQL[name]) == 180
+
+
+TIED = ["pcap_roundtrip"]
