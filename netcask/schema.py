@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,17 @@ def whole_div(a: Column, b) -> Column:
     return F.call_function("div", a - F.pmod(a, b), b)
 
 
+def times_over(a: Column, n: int, d: int) -> Column:
+    """Floor of a * n / d, exact where a * n is more than a long holds: whole d's and the rest are taken apart."""
+    n, d = n // math.gcd(n, d), d // math.gcd(n, d)
+    rest = F.pmod(a, F.lit(d))
+    if n * d < 1 << 63:
+        part = whole_div(rest * n, d)
+    else:  # both have 19 digits at most
+        part = F.call_function("div", rest.cast("decimal(19,0)") * F.lit(Decimal(n)), F.lit(Decimal(d)))
+    return whole_div(a, d) * n + part
+
+
 def seconds_of(ts_ns: Column) -> Column:
     return whole_div(ts_ns, 1_000_000_000)
 

@@ -558,3 +558,12 @@ def test_round_trips_with_equal_times(spark, tmp_path):
 
 
 TIED = ["pcap_roundtrip"]
+
+
+@pytest.mark.parametrize(("size", "bps"), [(1 << 30, 10**6), (1 << 50, 10**11), (1 << 30, 99_999_999_977), (1 << 20, 7), (60, 10**6)])
+def test_pacing_by_bits_of_much_data(spark, size, bps):
+    """The bits sent, in billionths of a second, are more than a long holds."""
+    df = spark.range(12).selectExpr("id AS pkt_idx", "id AS ts_ns", f"{size} + id AS frame_len", f"{size} + id AS cap_len")
+    want = [(i, sum(size + k for k in range(i)) * 8 * 10**9 // bps) for i in range(12)]
+    assert sorted(map(tuple, timing.adjust_bandwidth(df, bps).select("pkt_idx", "ts_ns").collect())) == want
+    assert sorted(map(tuple, timing.paced(df, f"bw {bps}").select("pkt_idx", "release_ns").collect())) == want
