@@ -7,8 +7,15 @@ bucket. ``order`` is a non-negative long whose values are about dense, such as `
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import whole_div
 
@@ -75,3 +82,51 @@ def with_last_known(df: DataFrame, value: Column, name: str, by: str, order: str
 def first_value(df: DataFrame, value: str, order: str = "pkt_idx") -> DataFrame:
     """One row with ``value`` of the first row, as column ``first``; to be joined by a broadcast of that one row."""
     return df.agg(F.min_by(value, order).alias("first"))
+
+
+def _stretches(df: DataFrame, order: str, width: int) -> DataFrame:
+    """Add ``_bucket``; rows without a place are the last."""
+    return df.withColumn("_bucket", whole_div(F.coalesce(F.col(order), F.lit((1 << 63) - 1)), width))
+
+
+def states(df: DataFrame, by: list[str], columns: list[str], start: Any, run: Callable, order: str = "pkt_idx", width: int = WIDTH) -> DataFrame:
+    """(``by``, ``_bucket``, ``_state``): the state of a fold before each bucket, pickled. The fold is sequential in each group of ``by``: a task runs over ``columns`` only, and holds a batch."""
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    d = _stretches(df, order, width).select(*by, "_bucket", order, *(c for c in columns if c not in (*by, order)))
+    d = d.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last(order))
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = state = None
+        for b in batches:
+            keys, first = list(zip(*(b.column(i).to_pylist() for i in range(len(by) + 1)), strict=True)), 0
+            new: list[tuple[int, bytes]] = []
+            for key, rows in groupby(keys):
+                n = sum(1 for _ in rows)
+                if at is None or at[:-1] != key[:-1]:
+                    state = start
+                if at != key:
+                    new.append((first, pickle.dumps(state)))
+                at = key
+                state, _ = run(state, pa.Table.from_batches([b.slice(first, n)]))
+                first += n
+            lead = b.select([*by, "_bucket"]).take(pa.array([i for i, _ in new], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*lead.columns, pa.array([x for _, x in new], pa.binary())], names=[*by, "_bucket", "_state"])
+
+    return d.mapInArrow(carry, f"{kinds}, _bucket long, _state binary")
+
+
+def fold(df: DataFrame, by: list[str], columns: list[str], start: Any, run: Callable, schema: StructType, order: str = "pkt_idx", width: int = WIDTH) -> DataFrame:
+    """A fold in order within each group of ``by``: ``run(state, rows)`` takes a stretch of rows in order and gives (state, rows as ``schema`` has them). It must not change
+    the state that it is given, and reads ``columns``. It runs twice: once over these columns to know the state before each bucket, then over whole rows, buckets apart."""
+    before = states(df, by, columns, start, run, order, width)
+
+    def finish(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
+        return run(pickle.loads(state.column("_state")[0].as_py()), rows.drop_columns("_bucket").sort_by(order))[1].select(schema.names)
+
+    parts = _stretches(df, order, width).groupBy(*by, "_bucket")
+    return parts.cogroup(before.groupBy(*by, "_bucket")).applyInArrow(finish, schema)
+
+
+def added(rows: pa.Table, name: str, values: pa.Array) -> pa.Table:
+    """The rows with a column that is new or takes the place of the one of that name."""
+    return rows.set_column(rows.schema.get_field_index(name), name, values) if name in rows.schema.names else rows.append_column(name, values)

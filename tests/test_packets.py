@@ -567,3 +567,40 @@ def test_pacing_by_bits_of_much_data(spark, size, bps):
     want = [(i, sum(size + k for k in range(i)) * 8 * 10**9 // bps) for i in range(12)]
     assert sorted(map(tuple, timing.adjust_bandwidth(df, bps).select("pkt_idx", "ts_ns").collect())) == want
     assert sorted(map(tuple, timing.paced(df, f"bw {bps}").select("pkt_idx", "release_ns").collect())) == want
+
+
+def test_token_bucket_past_a_long(spark):
+    """So few packets a second that the last leave after what a long holds."""
+    df = spark.range(3000).selectExpr("id AS pkt_idx", "id AS ts_ns", "60 AS frame_len", "id % 2 AS src")
+    out = timing.token_bucket(df, pps=1e-7).orderBy("src", "pkt_idx").collect()
+    assert [int(x["depart_ns"]) for x in out] == [s + (i + 1) * 10**16 for s in (0, 1) for i in range(1500)]
+    assert timing.token_bucket(df, pps=1.0).schema["depart_ns"].dataType.simpleString() == "bigint"
+
+
+def test_folds_are_run_in_stretches(spark, monkeypatch):
+    """No task of a fold gets all rows of a capture, and the states go on over stretches."""
+    rows = [(i, i * 1000, i % 50, 60 + i % 7, i % 2) for i in range(400)] + [(None, 7, 1, 60, 0), (3, 3, 1, 60, None)]
+    df = spark.createDataFrame(rows, "pkt_idx long, ts_ns long, cap_len long, frame_len long, src long").repartition(3)
+
+    def run(state, t):
+        longest = t.num_rows
+        return state + longest, order.added(order.added(t, "at", order.pa.array(range(state, state + longest), order.pa.int64())), "rows", order.pa.array([longest] * longest, order.pa.int64()))
+
+    schema = df.selectExpr("*", "0L AS at", "0L AS rows").schema
+    got = order.fold(df, ["src"], [], 0, run, schema, width=32).collect()
+    assert len(got) == 402 and max(x["rows"] for x in got) == 16
+    assert {(x["pkt_idx"], x["src"]): x["at"] for x in got} == {(i, i % 2): i // 2 for i in range(400)} | {(None, 0): 200, (3, None): 0}
+
+
+def test_size_rotation_over_stretches(spark):
+    """Files that are longer and shorter than a stretch of the fold; limits below a header's size."""
+    n = 3 * order.WIDTH
+    df = spark.range(0, n, 97).selectExpr("id AS pkt_idx", "id * 31 % 300 AS cap_len", "0 AS src")
+    for limit, snap in ((4096, None), (10, None), (200_000, 100)):
+        want, index, held = [], 0, 24
+        for i in range(0, n, 97):
+            if held >= limit:
+                index, held = index + 1, 24
+            held += 16 + min(i * 31 % 300, snap or 300)
+            want.append((i, index))
+        assert sorted(map(tuple, files.rotate_by_size(df, limit, snap).select("pkt_idx", "file_index").collect())) == want
