@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import whole_div
+from .order import added, fold
 
 NS = 1_000_000_000
 # The divisors, in seconds, to which the first file's time is rounded down.
@@ -30,22 +34,23 @@ def rotate_by_size(df: DataFrame, limit: int, snap: int | None = None, by: list[
     """Add ``file_index``. A file is closed before the packet that would come when it already holds ``limit`` bytes or more: 24 for its header, 16 and
     the captured bytes for each packet. Where a file ends depends on where it began, so this is a fold in order within each group of ``by``
     (``src`` unless given)."""
-    import pandas as pd
-
     by = by or ["src"]
-    schema = df.select("*", F.lit(0).alias("file_index")).schema
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pkt_idx")
-        index, held, out = 0, 24, []
-        for size in pdf["cap_len"] if snap is None else pdf["cap_len"].clip(upper=snap):
+    def cut(state: tuple[int, int], rows: pa.Table) -> tuple[tuple[int, int], pa.Table]:
+        index, held = state
+        sizes = pc.fill_null(rows.column("cap_len"), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(16 + (sizes if snap is None else np.minimum(sizes, snap)))
+        out, at, before = np.empty(len(ends), np.int32), 0, 0
+        while at < len(ends):
             if held >= limit:
                 index, held = index + 1, 24
-            held += 16 + size
-            out.append(index)
-        return pdf.assign(file_index=pd.Series(out, index=pdf.index, dtype="int32"))
+            last = max(at, int(np.searchsorted(ends, limit - held + before)))  # the packet with which the file is full
+            end = min(last + 1, len(ends))
+            out[at:end] = index
+            held, before, at = held + int(ends[end - 1]) - before, int(ends[end - 1]), end
+        return (index, held), added(rows, "file_index", pa.array(out))
 
-    return df.groupBy(*by).applyInPandas(cut, schema)
+    return fold(df, by, ["cap_len"], (0, 24), cut, df.select("*", F.lit(0).alias("file_index")).schema)
 
 
 def file_name(template: str, index: Column, start_seconds: Column, pad: int = 0) -> Column:

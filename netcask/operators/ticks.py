@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import struct
+from copy import copy
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .order import added, fold
+
 NS, MASK = 1_000_000_000, 0x7FFFFFFF
 NO_SYNC, SYNC1, SYNC2, LOST_SYNC = "no_sync", "sync1", "sync2", "lost_sync"
 
@@ -68,18 +71,17 @@ def stamp_ticks(df: DataFrame, by: str = "src", **clock) -> DataFrame:
     """``df`` has pkt_idx, ts_ns (host time), ticks, and for keyframes key_ticks and key_utc_ns. Adds ``link`` and ``utc_ns``."""
     schema = df.selectExpr("*", "'' AS link", "CAST(NULL AS BIGINT) AS utc_ns").schema
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pkt_idx")
-        machine = TickClock(**clock)
+    def run(state: TickClock, rows: pa.Table) -> tuple[TickClock, pa.Table]:
+        machine = copy(state)
         links, stamps = [], []
-        for host, ticks, key, utc in zip(pdf["ts_ns"], pdf["ticks"], pdf["key_ticks"], pdf["key_utc_ns"], strict=True):
-            if not pd.isna(key):
+        for host, ticks, key, utc in zip(*(rows.column(c).to_pylist() for c in ("ts_ns", "ticks", "key_ticks", "key_utc_ns")), strict=True):
+            if key is not None:
                 machine.keyframe(int(key), int(utc), int(host))
                 link, stamp = "keyframes", None
             else:
-                link, stamp = machine.stamp(0 if pd.isna(ticks) else int(ticks), int(host))
+                link, stamp = machine.stamp(0 if ticks is None else int(ticks), int(host))
             links.append(link)
             stamps.append(stamp)
-        return pdf.assign(link=links, utc_ns=pd.array(stamps, dtype="Int64"))
+        return machine, added(added(rows, "link", pa.array(links, pa.string())), "utc_ns", pa.array(stamps, pa.int64()))
 
-    return df.groupBy(by).applyInPandas(run, schema)
+    return fold(df, [by], ["ts_ns", "ticks", "key_ticks", "key_utc_ns"], TickClock(**clock), run, schema)
