@@ -15,7 +15,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import whole_div
 
@@ -89,39 +90,53 @@ def _stretches(df: DataFrame, order: str, width: int) -> DataFrame:
     return df.withColumn("_bucket", whole_div(F.coalesce(F.col(order), F.lit((1 << 63) - 1)), width))
 
 
-def states(df: DataFrame, by: list[str], columns: list[str], start: Any, run: Callable, order: str = "pkt_idx", width: int = WIDTH) -> DataFrame:
-    """(``by``, ``_bucket``, ``_state``): the state of a fold before each bucket, pickled. The fold is sequential in each group of ``by``: a task runs over ``columns`` only, and holds a batch."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+def states(
+    df: DataFrame, by: list[str], columns: list[str], start: Any, run: Callable, order: str = "pkt_idx", width: int = WIDTH, kinds: str = "_state binary", tell: Callable = lambda before, after: (pickle.dumps(before),)
+) -> DataFrame:
+    """(``by``, ``_bucket``, ``kinds``): what ``tell`` has of the state of a fold before and after each bucket; the state before, if not given. The fold is sequential in each group of
+    ``by``: a task runs over ``columns`` only, and holds a batch. Ties of ``order`` are broken by them."""
     d = _stretches(df, order, width).select(*by, "_bucket", order, *(c for c in columns if c not in (*by, order)))
-    d = d.repartition(*by).sortWithinPartitions(*by, F.asc_nulls_last(order))
+    d = d.repartition(*by).sortWithinPartitions(*by, *(F.asc_nulls_last(c) for c in (order, *columns)))
+    lead = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    told = list(to_arrow_schema(T.StructType.fromDDL(kinds)))
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = state = None
+        at = state = before = None
+        done: list[tuple] = []
+
+        def rows_of(b: pa.RecordBatch) -> pa.RecordBatch:
+            fields = [*(b.schema.field(i) for i in range(len(by) + 1)), *told]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), fields, strict=True)], names=[f.name for f in fields])
+
         for b in batches:
-            keys, first = list(zip(*(b.column(i).to_pylist() for i in range(len(by) + 1)), strict=True)), 0
-            new: list[tuple[int, bytes]] = []
-            for key, rows in groupby(keys):
+            first = 0
+            for key, rows in groupby(zip(*(b.column(i).to_pylist() for i in range(len(by) + 1)), strict=True)):
                 n = sum(1 for _ in rows)
-                if at is None or at[:-1] != key[:-1]:
-                    state = start
                 if at != key:
-                    new.append((first, pickle.dumps(state)))
-                at = key
+                    if at is not None:
+                        done.append((*at, *tell(before, state)))
+                    if at is None or at[:-1] != key[:-1]:
+                        state = start
+                    at, before = key, state
                 state, _ = run(state, pa.Table.from_batches([b.slice(first, n)]))
                 first += n
-            lead = b.select([*by, "_bucket"]).take(pa.array([i for i, _ in new], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*lead.columns, pa.array([x for _, x in new], pa.binary())], names=[*by, "_bucket", "_state"])
+            if len(done) > 1000:
+                yield rows_of(b)
+                done = []
+        if at is not None:
+            done.append((*at, *tell(before, state)))
+            yield rows_of(b)
 
-    return d.mapInArrow(carry, f"{kinds}, _bucket long, _state binary")
+    return d.mapInArrow(carry, f"{lead}, _bucket long, {kinds}")
 
 
-def fold(df: DataFrame, by: list[str], columns: list[str], start: Any, run: Callable, schema: StructType, order: str = "pkt_idx", width: int = WIDTH) -> DataFrame:
+def fold(df: DataFrame, by: list[str], columns: list[str], start: Any, run: Callable, schema: T.StructType, order: str = "pkt_idx", width: int = WIDTH) -> DataFrame:
     """A fold in order within each group of ``by``: ``run(state, rows)`` takes a stretch of rows in order and gives (state, rows as ``schema`` has them). It must not change
     the state that it is given, and reads ``columns``. It runs twice: once over these columns to know the state before each bucket, then over whole rows, buckets apart."""
     before = states(df, by, columns, start, run, order, width)
 
     def finish(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
-        return run(pickle.loads(state.column("_state")[0].as_py()), rows.drop_columns("_bucket").sort_by(order))[1].select(schema.names)
+        return run(pickle.loads(state.column("_state")[0].as_py()), rows.drop_columns("_bucket").sort_by([(c, "ascending") for c in (order, *columns)]))[1].select(schema.names)
 
     parts = _stretches(df, order, width).groupBy(*by, "_bucket")
     return parts.cogroup(before.groupBy(*by, "_bucket")).applyInArrow(finish, schema)

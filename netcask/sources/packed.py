@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..schema import CRC_ERROR, CSUM_ERROR
+from ..operators.order import states
+from ..schema import CRC_ERROR, CSUM_ERROR, whole_div
 
 HEADER = struct.Struct("<HBBHHII")  # next offset, packet start, flags, captured, original, seconds, nanoseconds
 NS = 1_000_000_000
@@ -48,16 +53,56 @@ def _closed(parts: list[bytes]) -> bytes:
     return b"".join(parts[:-1]) + b"\0\0" + parts[-1][2:]
 
 
-def pack_stream(df: DataFrame, buf_size: int = 1 << 16, by: str = "src") -> DataFrame:
-    """(by, buffer_no, buffer) from packets, in order of pkt_idx for each value of ``by``."""
+#: Index values of which the packets are made to buffers together.
+PART = 1 << 14
+#: Packets that are handed on at a time.
+CHUNK = 1 << 14
+
+
+def pack_stream(df: DataFrame, buf_size: int = 1 << 16, by: str = "src", width: int = PART) -> DataFrame:
+    """(by, buffer_no, buffer) from packets, in order of pkt_idx for each value of ``by``.
+
+    Where a buffer ends depends on where it began. A fold over the sizes alone finds for each stretch of ``width`` index values the first packet there that begins a buffer, and the
+    number of that buffer; packets before it are in one begun in an earlier stretch. Then the buffers that begin in a stretch are made, stretches apart."""
+    last, head = (1 << 63) - 1, HEADER.size
+
+    def cut(state: tuple, rows: pa.Table) -> tuple[tuple, None]:
+        """Number of the next buffer, bytes in the open one; the stretch, its first packet that begins a buffer, and that one's number; stretch and number of the last such; last index."""
+        number, held, stretch, first, new, home, base, index = state
+        if stretch != (here := rows.column("_bucket")[0].as_py()):
+            stretch, first, new = here, None, None
+        at, before, places = 0, 0, pc.fill_null(rows.column("pkt_idx"), last).to_numpy()
+        ends = np.cumsum(head + pc.fill_null(rows.column("_size"), 0).to_numpy().astype(np.int64))
+        while at < len(ends):
+            fit = int(np.searchsorted(ends, buf_size - held + before, "right"))
+            if number and fit > at:
+                held, before, at = held + int(ends[fit - 1]) - before, int(ends[fit - 1]), fit
+                continue
+            if first is None and places[at] != (places[at - 1] if at else index):  # packets of one index stay together
+                first, new = int(places[at]), number
+                home, base = stretch, number
+            number, held = number + 1, int(ends[at]) - before
+            before, at = int(ends[at]), at + 1
+        return (number, held, stretch, first, new, home, base, int(places[-1])), None
+
+    sized = df.withColumn("_size", F.length("data"))
+    kinds = "_first long, _new long, _home long, _base long"
+    known = states(sized, [by], ["_size"], (0, 0, None, None, None, None, None, None), cut, width=width, kinds=kinds, tell=lambda before, after: (*after[3:5], *before[5:7]))
+    d = sized.select(by, "pkt_idx", "ts_ns", "frame_len", "data", "_size", F.coalesce("pkt_idx", F.lit(last)).alias("_at"))
+    d = d.withColumn("_stretch", whole_div(F.col("_at"), width)).join(known.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_stretch") == F.col("_bucket")))
+    earlier = F.col("_first").isNull() | (F.col("_at") < F.col("_first"))
+    d = d.select(
+        by, "pkt_idx", "ts_ns", "frame_len", "data", "_size", F.when(earlier, F.col("_home")).otherwise(F.col("_stretch")).alias("_home"), F.when(earlier, F.col("_base")).otherwise(F.col("_new")).alias("_base")
+    )
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by("pkt_idx")
-        rows = zip(t.column("ts_ns").to_pylist(), t.column("frame_len").to_pylist(), t.column("data").to_pylist(), strict=True)
+        t = table.sort_by([("pkt_idx", "ascending"), ("_size", "ascending")])
+        rows = zip(*(t.column(c).to_pylist() for c in ("ts_ns", "frame_len", "data")), strict=True)
         out = list(pack(rows, buf_size))
-        return pa.table({by: pa.array([table.column(by)[0].as_py()] * len(out), table.schema.field(by).type), "buffer_no": pa.array(range(len(out)), pa.int64()), "buffer": pa.array(out, pa.binary())})
+        base = t.column("_base")[0].as_py()
+        return pa.table({by: pa.array([t.column(by)[0].as_py()] * len(out), t.schema.field(by).type), "buffer_no": pa.array(range(base, base + len(out)), pa.int64()), "buffer": pa.array(out, pa.binary())})
 
-    return df.groupBy(by).applyInArrow(run, f"`{by}` {df.schema[by].dataType.simpleString()}, buffer_no long, buffer binary")
+    return d.groupBy(by, "_home").applyInArrow(run, f"`{by}` {df.schema[by].dataType.simpleString()}, buffer_no long, buffer binary")
 
 
 def unpack_stream(df: DataFrame, by: str = "src") -> DataFrame:
@@ -66,19 +111,16 @@ def unpack_stream(df: DataFrame, by: str = "src") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(s, n, i, *p) for s, n, blob in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True) for i, p in enumerate(unpack(blob))]
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             types = (b.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[by, "buffer_no", "place", "ts_ns", "flags", "frame_len", "data"])
+            rows = ((s, n, i, *p) for s, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) for i, p in enumerate(unpack(blob.as_py())))
+            while some := list(islice(rows, CHUNK)):
+                cols = zip(*some, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[by, "buffer_no", "place", "ts_ns", "flags", "frame_len", "data"])
 
     return df.select(by, "buffer_no", "buffer").mapInArrow(run, f"`{by}` {kind}, buffer_no long, place int, ts_ns long, flags int, frame_len int, data binary")
 
 
-def repack_stream(df: DataFrame, buf_size: int = 1 << 20, by: str = "src") -> DataFrame:
-    """Buffers of another size with the same packets, in order."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    d = unpack_stream(df, by)
-    order = F.row_number().over(Window.partitionBy(by).orderBy("buffer_no", "place")) - 1
-    return pack_stream(d.withColumn("pkt_idx", order.cast("long")), buf_size, by)
+def repack_stream(df: DataFrame, buf_size: int = 1 << 20, by: str = "src", buffers: int = 64) -> DataFrame:
+    """Buffers of another size with the same packets, in order; the packets of ``buffers`` buffers are made to new ones together."""
+    index = F.shiftleft("buffer_no", 32) + F.col("place")
+    return pack_stream(unpack_stream(df, by).withColumn("pkt_idx", index), buf_size, by, buffers << 32)

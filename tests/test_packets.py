@@ -557,7 +557,7 @@ def test_round_trips_with_equal_times(spark, tmp_path):
         assert same(QUERIES[name](spark, str(tmp_path)), con, ORACLE_SQL[name]) == 180
 
 
-TIED = ["pcap_roundtrip"]
+TIED = ["packed_roundtrip", "pcap_roundtrip"]
 
 
 @pytest.mark.parametrize(("size", "bps"), [(1 << 30, 10**6), (1 << 50, 10**11), (1 << 30, 99_999_999_977), (1 << 20, 7), (60, 10**6)])
@@ -604,3 +604,26 @@ def test_size_rotation_over_stretches(spark):
             held += 16 + min(i * 31 % 300, snap or 300)
             want.append((i, index))
         assert sorted(map(tuple, files.rotate_by_size(df, limit, snap).select("pkt_idx", "file_index").collect())) == want
+
+
+@pytest.mark.parametrize("size", [300, 1000, 5000, 50_000])
+def test_packed_in_stretches_is_packed_in_one(spark, size):
+    """Buffers shorter and longer than a stretch, packets larger than a buffer, equal indices, gaps."""
+    r = random.Random(size)
+    index = sorted(r.choices(range(900), k=300) + list(range(5000, 5200)))
+    rows = [(None if i == 5100 else i, s, n, 90, bytes([n % 256]) * r.choice([0, 20, 60, 400])) for n, i in enumerate(index) for s in (0, None)]
+    df = spark.createDataFrame(rows, "pkt_idx long, src long, ts_ns long, frame_len int, data binary").repartition(3)
+    made = packed.pack_stream(df, size, width=64)
+    again = packed.repack_stream(made, 700, buffers=3)
+    for s in (0, None):
+        mine = sorted((x for x in rows if x[1] == s), key=lambda x: (x[0] is None, x[0] or 0, len(x[4])))
+        want = [[len(p[3]) for p in packed.unpack(b)] for b in packed.pack(iter(x[2:] for x in mine), size)]
+        got = sorted((x["buffer_no"], bytes(x["buffer"])) for x in made.where(F.col("src").eqNullSafe(s)).collect())
+        assert [n for n, _ in got] == list(range(len(want)))
+        assert [[len(p[3]) for p in packed.unpack(b)] for _, b in got] == want
+        stream = [(t, n, d) for _, b in got for t, _, n, d in packed.unpack(b)]
+        assert sorted(t for t, _, _ in stream) == sorted(x[2] for x in mine)
+        second = sorted((x["buffer_no"], bytes(x["buffer"])) for x in again.where(F.col("src").eqNullSafe(s)).collect())
+        assert [n for n, _ in second] == list(range(len(second)))
+        want = [[len(p[3]) for p in packed.unpack(b)] for b in packed.pack(iter(stream), 700)]
+        assert [[len(p[3]) for p in packed.unpack(b)] for _, b in second] == want
