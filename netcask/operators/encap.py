@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import bytes_be, bytes_le, hex_be, ip_number, mac_hex, read_be
@@ -104,18 +105,62 @@ def read_tunnel(blob: bytes) -> Iterator[tuple[int, str | None, int, int, int, b
             raise TunnelError(f"unknown message {kind}")
 
 
+#: Index values of which the messages are a part of a connection; packets that are handed on at a time.
+PART = CHUNK = 1 << 14
+
+
+def connection_parts(df: DataFrame, first: Column, last: Column, by: str = "src", width: int = PART) -> DataFrame:
+    """What is sent in one direction of the connections (``by``, part, content): ``first``, the messages in order of ``pkt_idx``, and ``last``, in parts of ``width`` index values that in order
+    of their numbers make the whole; ``first`` and ``last`` are columns of ``by``, in parts of their own."""
+    made = df.groupBy(by, whole_div(F.col("pkt_idx"), width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("pkt_idx", F.hex("message").alias("x")))).alias("_m"))  # a part is bounded
+    body = made.select(by, "part", F.unhex(F.concat_ws("", F.transform("_m", lambda r: r["x"]))).alias("content"))
+    ends = df.select(by).distinct().select(by, F.explode(F.array(*[F.struct(F.lit(n).alias("part"), c.alias("content")) for n, c in ((-1, first), ((1 << 63) - 1, last))])).alias("_e"))
+    return body.unionByName(ends.select(by, F.col("_e.part").cast("long").alias("part"), "_e.content"))
+
+
+def control_of(blob: bytes) -> tuple[bytes, int]:
+    """The messages that aren't packets, and the number of those that are."""
+    at, kept, n = 0, [], 0
+    while at + 5 <= len(blob):
+        kind, size = struct.unpack_from("<BI", blob, at)
+        if at + 5 + size > len(blob):
+            break
+        if kind == PACKET:
+            n += 1
+        else:
+            kept.append(blob[at : at + 5 + size])
+        at += 5 + size
+    return b"".join(kept), n
+
+
 def decode_tunnels(df: DataFrame) -> DataFrame:
-    """Packets of the connections in (path, content); ``pkt_idx`` counts in each."""
+    """Packets of the connections in (path, content); ``pkt_idx`` counts in each. With a column ``part`` a row is a part of a connection, cut between messages, and is read apart
+    from the others: a first pass counts the packets of each and keeps the messages of other kinds, which go with all later parts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = [control_of(x.as_py()) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c or None for c, _ in seen], pa.binary()), pa.array([n for _, n in seen], pa.int64())], names=["path", "part", "_control", "_n"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for b in batches:
-            for path, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = [(path, i, *r) for i, r in enumerate(read_tunnel(blob.as_py()))]
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "pkt_idx", "stream_id", "link", "ts_ns", "flags", "frame_len", "data"])
-
-    return df.select("path", "content").mapInArrow(decode, "path string, pkt_idx long, stream_id int, link string, ts_ns long, flags int, frame_len int, data binary")
+            for r in range(b.num_rows):
+                path, blob, control, before = (b.column(c)[r].as_py() for c in range(4))
+                rows = ((path, i, *x) for i, x in enumerate(read_tunnel(b"".join(control) + blob if control else blob), before))
+                while some := list(islice(rows, CHUNK)):
+                    cols = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["path", "pkt_idx", "stream_id", "link", "ts_ns", "flags", "frame_len", "data"])
+
+    if "part" in df.columns:
+        d = df.select("path", "part", "content")
+        seen = d.mapInArrow(scan, f"path string, part {d.schema['part'].dataType.simpleString()}, _control binary, _n long")
+        earlier = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+        known = seen.select("path", "part", F.collect_list("_control").over(earlier).alias("_control"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        d = d.join(F.broadcast(known), ["path", "part"])  # a row a part, so that parts stay where they are
+    else:
+        d = df.withColumns({"_control": F.lit(None).cast("array<binary>"), "_before": F.lit(0).cast("long")})
+    return d.select("path", "content", "_control", "_before").mapInArrow(decode, "path string, pkt_idx long, stream_id int, link string, ts_ns long, flags int, frame_len int, data binary")
 
 
 def serialise(df: DataFrame, block: int = 1 << 16, by: str = "src") -> DataFrame:

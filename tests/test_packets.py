@@ -557,7 +557,7 @@ def test_round_trips_with_equal_times(spark, tmp_path):
         assert same(QUERIES[name](spark, str(tmp_path)), con, ORACLE_SQL[name]) == 180
 
 
-TIED = ["packed_roundtrip", "pcap_roundtrip"]
+TIED = ["packed_roundtrip", "pcap_roundtrip", "tunnel_roundtrip", "serialise_roundtrip"]
 
 
 @pytest.mark.parametrize(("size", "bps"), [(1 << 30, 10**6), (1 << 50, 10**11), (1 << 30, 99_999_999_977), (1 << 20, 7), (60, 10**6)])
@@ -629,6 +629,25 @@ def test_packed_in_stretches_is_packed_in_one(spark, size):
         assert [[len(p[3]) for p in packed.unpack(b)] for _, b in second] == want
 
 
+def test_connections_in_parts(spark):
+    """A connection's bytes are never in one row; links and ends in one part hold in the others."""
+    from netcask.operators import encap
+
+    rows = [(i, i % 2, 5, 0, 90, bytes([i % 256]) * 60, i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "pkt_idx long, src long, ts_ns long, flags int, frame_len int, data binary, stream_id int").repartition(3)
+    start = encap.handshake() + encap.link_message("a", 0) + encap.link_message("b", 1)
+    parts = encap.connection_parts(encap.tunnel_messages(df), F.lit(bytearray(start)), F.lit(bytearray(encap.end_message(1))), width=64)
+    made = parts.orderBy("src", "part").collect()
+    assert len(made) == 2 * (2 + 5) and max(len(x["content"]) for x in made) < 32 * 100
+    got = encap.decode_tunnels(parts.select(F.col("src").cast("string").alias("path"), "part", "content")).collect()
+    whole = {s: b"".join(x["content"] for x in made if x["src"] == s) for s in (0, 1)}
+    assert sorted((*x[:7], bytes(x[7])) for x in got) == sorted((str(s), i, *x) for s in whole for i, x in enumerate(encap.read_tunnel(whole[s])))
+    assert {(x["path"], x["link"]) for x in got} == {("0", "a"), ("1", "b")}
+    late = parts.withColumn("part", F.when(F.col("part") == (1 << 63) - 1, 0).otherwise(F.col("part") + 1)).select(F.col("src").cast("string").alias("path"), "part", "content")
+    with pytest.raises(Exception, match="after the end of stream 1"):
+        encap.decode_tunnels(late.where("path = '1'")).collect()
+
+
 def test_no_sketch_for_each_flow(spark, sf):
     """The estimate takes distinct flows: its sketch is in no aggregate that groups by the flow."""
     plan = QUERIES["approximate_flows"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
